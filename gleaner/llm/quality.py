@@ -82,14 +82,12 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(by_sorting(hashes))
 
     def doubled(each: Column, step: int) -> Column:
-        return F.transform(each, lambda h, i: F.xxhash64(h, F.get(each, i + step)))
+        return let(each, lambda x: F.transform(x, lambda h, i: F.xxhash64(h, F.get(x, i + step))))
 
     def windows(each: Column) -> Column:
         """Hashes of 2, then 4, then 8 words; what begins in the last k-1 words is no whole window."""
-        out = each
-        for step in (1, 2, 4):
-            out = let(out, lambda x, step=step: doubled(x, step))
-        return F.slice(out, F.lit(1), F.size(each) - (k - 1))
+        eight = doubled(doubled(doubled(each, 1), 2), 4)
+        return F.slice(eight, F.lit(1), F.size(each) - (k - 1))
 
     hashed = F.transform(words, lambda w: F.xxhash64(w))
     return F.when(F.size(words) < k, F.lit(0)).otherwise(let(hashed, lambda each: let(windows(each), of_windows)))
