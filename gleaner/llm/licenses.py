@@ -91,7 +91,7 @@ GENERAL = (
     (90, 0.3, "all-rights-reserved", "all rights reserved", r"all rights reserved"),
     (95, 0.3, "copyright", "copyright", r"copyright (?:\(c\)|©)? ?\d{4}"),
     (96, 0.2, "public-domain", "public domain", r"(?:in|into) the public domain"),
-    (99, 0.1, "other", "licen", r"\b(?:licen[sc]ed|released|distributed) under (?:the )?(?:terms of )?[\w .-]{2,40}?licen[sc]e"),
+    (99, 0.1, "other", "licen", r"\b(?:licen[sc]ed|released|distributed) under (?:the )?(?:terms of )?[\w -]{2,40}?licen[sc]e"),
 )
 #: Each regex needs one of these in the text.
 GATES = (b"licen", b"copyright", b"spdx", b"rights reserved", b"public domain", b"under ", b"-")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET_BYTES = 16 << 20
+BROADCAST_BUCKETS = 500_000
 
 
 def shard_documents(
@@ -47,6 +48,8 @@ def shard_documents(
         np.random.default_rng([seed, bucket["_gl_bucket"][0].as_py()]).shuffle(order)
         return bucket.take(pa.array(order)).append_column("_gl_at", pa.array(np.arange(len(order))))
 
+    # a row for each bucket: broadcast while that is small, else left to Spark
+    starts = F.broadcast(starts) if n_buckets <= BROADCAST_BUCKETS else starts
     placed = tagged.groupBy("_gl_bucket").applyInArrow(fisher_yates, schema).join(starts, "_gl_bucket")
     at = F.col("_gl_start") + F.col("_gl_at")
     first = F.expr(f"(shard * {n}L + {n_shards - 1}) div {n_shards}")

@@ -6,7 +6,7 @@ and mean is the document's score, and runs of likely tokens are the offending sp
 
 Labels are given for documents. Token labels follow from them: in a toxic document those tokens are
 labelled toxic that have a feature found almost only in toxic documents. The field is fitted on the
-driver on a bounded sample of labelled rows (``SAMPLE`` documents a class, chosen by hash, copies and
+driver on a bounded sample of labelled rows (at most ``SAMPLE`` documents and ``SAMPLE_CHARS`` characters a class, chosen by hash, copies and
 near copies left out); everything is scored in tasks.
 """
 
@@ -26,12 +26,13 @@ from pyspark.sql import types as T
 from .common import as_texts, byte_slices
 
 TOKEN = re.compile(r"[^\W_]+")
-SAMPLE = 1500
-#: Texts of the sample are read up to so many bytes in all a class; the sample is bounded in bytes too.
-SAMPLE_BYTES = 6 << 20
+SAMPLE = {1: 1500, 0: 3000}
+#: Characters of each class's sample: it is bounded in size too.
+SAMPLE_CHARS = {1: 5 << 20, 0: 10 << 20}
 BEGINNINGS = (4, 5, 6)
-#: A marker: at least so many toxic documents hold it, and so large a share of its documents is toxic.
-MARKER_DOCS, MARKER_SHARE = 6, 0.97
+#: A marker: so large a share of its documents is toxic (with both labels weighed alike), and chance
+#: would give its counts with a probability of 10 to minus this.
+MARKER_SHARE, MARKER_EVIDENCE = 0.95, 5.0
 FEATURES = 20_000
 SPAN_PROBABILITY = 0.5
 THRESHOLD = 0.3
@@ -49,12 +50,12 @@ def tokens_of(text: str) -> list[str]:
 
 
 def sample_of(labelled: DataFrame) -> list[tuple[str, int]]:
-    """(text, label): up to SAMPLE distinct texts of each label, those of the smallest hashes."""
+    """(text, label): distinct texts of each label, those of the smallest hashes, near copies left out."""
     out = []
     for label in (0, 1):
         rows = labelled.where(F.col("label") == label).select("text").where("text is not null").distinct()
-        rows = rows.orderBy(F.xxhash64("text", F.lit(5)), "text").limit(SAMPLE)
-        left, seen = SAMPLE_BYTES, set()
+        rows = rows.orderBy(F.xxhash64("text", F.lit(5)), "text").limit(SAMPLE[label])
+        left, seen = SAMPLE_CHARS[label], set()
         for (text,) in rows.toLocalIterator():
             left -= len(text)
             if left < 0:
@@ -123,8 +124,14 @@ def fit(sample: list[tuple[str, int]], share_toxic: float, rounds: int = 40) ->
     chosen = [f for f, c in toxic.items() if c >= 3]
     chosen.sort(key=lambda f: (-(toxic[f] * np.log((toxic[f] * even + 0.5) / (clean[f] + 0.5))), f))
     index = {f: i for i, f in enumerate(chosen[:FEATURES])}
-    least = min(MARKER_DOCS, max(2, n_toxic // 20))
-    marker = {f for f in index if toxic[f] >= least and toxic[f] * even >= MARKER_SHARE * (toxic[f] * even + clean[f])}
+    share_here = n_toxic / len(docs)
+
+    def marks(f: str) -> bool:
+        t, c = toxic[f], clean[f]
+        evidence = t * np.log10(t / (t + c) / share_here) + (c * np.log10(c / (t + c) / (1 - share_here)) if c else 0)
+        return t * even >= MARKER_SHARE * (t * even + c) and evidence >= min(MARKER_EVIDENCE, n_toxic / 5)
+
+    marker = {f for f in index if marks(f)}
     of_word: dict[str, tuple[list[int], bool]] = {}
     for w in {w for words, _ in docs for w in words}:
         fs = features(w)
