@@ -1,0 +1 @@
+"""Analysis and curation of repeatedly harvested catalogue tables, as DataFrame operations."""
