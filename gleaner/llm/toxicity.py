@@ -13,6 +13,7 @@ near copies left out); everything is scored in tasks.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,9 +27,9 @@ from pyspark.sql import types as T
 from .common import as_texts, byte_slices
 
 TOKEN = re.compile(r"[^\W_]+")
-SAMPLE = {1: 1500, 0: 3000}
+SAMPLE = {1: 1000, 0: 2000}
 #: Characters of each class's sample: it is bounded in size too.
-SAMPLE_CHARS = {1: 5 << 20, 0: 10 << 20}
+SAMPLE_CHARS = {1: 5 << 19, 0: 4 << 20}
 BEGINNINGS = (4, 5, 6)
 #: A marker: so large a share of its documents is toxic (with both labels weighed alike), and chance
 #: would give its counts with a probability of 10 to minus this.
@@ -57,9 +58,9 @@ def sample_of(labelled: DataFrame) -> list[tuple[str, int]]:
         rows = rows.orderBy(F.xxhash64("text", F.lit(5)), "text").limit(SAMPLE[label])
         left, seen = SAMPLE_CHARS[label], set()
         for (text,) in rows.toLocalIterator():
+            if len(text) > left:
+                continue
             left -= len(text)
-            if left < 0:
-                break
             words = text.lower().split()
             grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
             least = {(s, min(g * s & 0xFFFFFFFFFFFFFFFF for g in grams)) for s in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)}
@@ -113,16 +114,18 @@ def fit(sample: list[tuple[str, int]], share_toxic: float, rounds: int = 40) ->
     """Fit on (text, label). Without both labels every score is the share of toxic rows."""
     share = min(max(share_toxic, 1e-4), 1 - 1e-4)
     flat = Field({}, -8.0, np.zeros((2, 2)), np.array([np.log(share / (1 - share)), 0, 0, 0]))
-    docs = [(tokens_of(t), y) for t, y in sample]
+    docs = [([sys.intern(w) for w in tokens_of(t)], y) for t, y in sample]
     n_toxic = sum(y for _, y in docs)
     if not n_toxic or n_toxic == len(docs):
         return flat
     toxic, clean = Counter(), Counter()
-    for words, y in docs:
-        (toxic if y else clean).update({f for w in set(words) for f in features(w)})
+    for words, _ in (d for d in docs if d[1]):
+        toxic.update({f for w in set(words) for f in features(w)})
+    toxic = Counter({f: c for f, c in toxic.items() if c >= 3})
+    for words, _ in (d for d in docs if not d[1]):
+        clean.update({f for w in set(words) for f in features(w) if f in toxic})
     even = (len(docs) - n_toxic) / n_toxic  # as if both labels were equally many
-    chosen = [f for f, c in toxic.items() if c >= 3]
-    chosen.sort(key=lambda f: (-(toxic[f] * np.log((toxic[f] * even + 0.5) / (clean[f] + 0.5))), f))
+    chosen = sorted(toxic, key=lambda f: (-(toxic[f] * np.log((toxic[f] * even + 0.5) / (clean[f] + 0.5))), f))
     index = {f: i for i, f in enumerate(chosen[:FEATURES])}
     share_here = n_toxic / len(docs)
 
@@ -132,10 +135,11 @@ def fit(sample: list[tuple[str, int]], share_toxic: float, rounds: int = 40) ->
         return t * even >= MARKER_SHARE * (t * even + c) and evidence >= min(MARKER_EVIDENCE, n_toxic / 5)
 
     marker = {f for f in index if marks(f)}
-    of_word: dict[str, tuple[list[int], bool]] = {}
+    of_word: dict[str, tuple[list[int], bool]] = {}  # words with a feature only
     for w in {w for words, _ in docs for w in words}:
-        fs = features(w)
-        of_word[w] = ([index[f] for f in fs if f in index], any(f in marker for f in fs))
+        fs = [f for f in features(w) if f in index]
+        if fs:
+            of_word[w] = ([index[f] for f in fs], any(f in marker for f in fs))
     # windows of whole documents, so that sequences have like lengths
     sizes, labels, at_token, at_feature, n = [], [], [], [], 0
     for words, y in docs:
@@ -143,7 +147,7 @@ def fit(sample: list[tuple[str, int]], share_toxic: float, rounds: int = 40) ->
             window = words[k : k + 256]
             sizes.append(len(window))
             for w in window:
-                fs, mark = of_word[w]
+                fs, mark = of_word.get(w, ((), False))
                 labels.append(int(mark and y))
                 at_token += [n] * len(fs)
                 at_feature += fs
