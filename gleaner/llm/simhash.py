@@ -264,9 +264,9 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 
 # ---- near copies by five-word shingles ------------------------------------------------------
 
-BANDS = 6
+BANDS = 4
 BAND_BUDGET = 3
-SIGNATURE = 8  # words of 64 bits
+SIGNATURE = 4  # words of 64 bits
 SHINGLE = 5
 SIMILARITY = 0.8
 
