@@ -26,12 +26,12 @@ from .common import as_texts, byte_slices
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 SEGMENT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 #: Pairs of pieces that a task remembers.
-PAIRS = 500_000
+PAIRS = 250_000
 #: New words that one suffix array indexes.
-INDEXED_CHARS = 1 << 20
+INDEXED_CHARS = 1 << 18
 
 
 class PieceCoder:
