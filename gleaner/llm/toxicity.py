@@ -37,7 +37,7 @@ MARKER_SHARE, MARKER_EVIDENCE = 0.95, 5.0
 FEATURES = 20_000
 SPAN_PROBABILITY = 0.5
 THRESHOLD = 0.3
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 6 << 20
 
 
 def features(word: str) -> list[str]:
@@ -50,14 +50,17 @@ def tokens_of(text: str) -> list[str]:
     return TOKEN.findall(low) if len(low) == len(text) else [w.lower() for w in TOKEN.findall(text)]
 
 
-def sample_of(labelled: DataFrame) -> list[tuple[str, int]]:
-    """(text, label): distinct texts of each label, those of the smallest hashes, near copies left out."""
+def sample_of(docs: DataFrame, labelled: DataFrame) -> list[tuple[str, int]]:
+    """(text, label): of each label the texts with the smallest hashes of their ids, near copies left out.
+
+    Only ids are sorted; the texts of the few that are chosen are fetched by a join with them."""
     out = []
     for label in (0, 1):
-        rows = labelled.where(F.col("label") == label).select("text").where("text is not null").distinct()
-        rows = rows.orderBy(F.xxhash64("text", F.lit(5)), "text").limit(SAMPLE[label])
+        few = labelled.where(F.col("label") == label).select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_gl_at"))
+        few = few.orderBy("_gl_at", "doc_id").limit(SAMPLE[label])  # bounded, so it can be broadcast
+        texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
         left, seen = SAMPLE_CHARS[label], set()
-        for (text,) in rows.toLocalIterator():
+        for text, _ in texts.select("text", "_gl_at").orderBy("_gl_at", "text").limit(SAMPLE[label]).toLocalIterator():
             if len(text) > left:
                 continue
             left -= len(text)
@@ -104,7 +107,7 @@ class Emissions(dict):
         self.field = field
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         x = self[word] = self.field.emission(word)
         return x
@@ -250,11 +253,13 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
     return out
 
 
-def train(labelled: DataFrame) -> Field:
-    """``labelled``: (text, label). Counts of labels cover all rows; only the fit is on a sample."""
-    rows = labelled.where(F.col("label").isin(0, 1))
+def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
+    """Fit on rows of ``docs`` for which ``learn`` holds. Counts of labels cover all of them; only the fit
+    is on a sample. Rows with a null id or a label other than 0 and 1 teach nothing."""
+    own = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    rows = docs.where(learn).select("doc_id").join(own, "doc_id")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    return fit(sample_of(rows), toxic / n if n else 0.0)
+    return fit(sample_of(docs.where(learn), rows.distinct()), toxic / n if n else 0.0)
 
 
 def score_documents(df: DataFrame, field: Field, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:
@@ -285,24 +290,20 @@ def score_documents(df: DataFrame, field: Field, text_col: str = "text", out_col
     return df.select(*names).mapInArrow(run, schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    return docs.where(learn).join(labels.select("doc_id", F.col("toxic").alias("label")), "doc_id").select("text", "label")
-
-
 def fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % 4
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents that score under the threshold, with their own columns."""
-    field = train(labelled_rows(docs.select("doc_id", "text"), labels, F.coalesce(fold() != 2, F.lit(False))))
+    field = train(docs.select("doc_id", "text"), labels, F.coalesce(fold() != 2, F.lit(False)))
     return score_documents(docs, field, out_col="_gl_toxicity").where(F.col("_gl_toxicity.score") < threshold).drop("_gl_toxicity")
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.coalesce(fold() == 2, F.lit(False))
     docs = docs.select("doc_id", "text")
-    out = score_documents(docs, train(labelled_rows(docs, labels, ~held_out)))
+    out = score_documents(docs, train(docs, labels, ~held_out))
     score = F.col("toxicity.score")
     return out.select(
         "doc_id", held_out.alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"),
