@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from gleaner.functions import payload
 from gleaner.functions import text as X
 from gleaner.operators import cdc, linkage, merge
 from gleaner.operators import relational as R
@@ -154,3 +155,18 @@ def test_histogram_and_scores(spark):
     assert [(r.bucket, r.n) for r in R.histogram(df, F.col("v"), ((10, "low"), (None, "high"))).collect()] == [("low", 2), ("high", 1)]
     score = R.batch_score(F.lit(0), F.lit(0.0), F.lit(0))
     assert spark.range(1).select(score).first()[0] == 50.0
+
+
+def test_payload_edges(spark):
+    """Missing paths, other types, empty texts and broken JSON are NULL; steps sort by number, other keys last."""
+    rows = [(1, '{"a": " ", "b": "x", "n": {"k": 7}, "l": [1], "f": true, "z": null}'), (2, "{broken"), (3, None), (4, "[]")]
+    df = spark.createDataFrame(rows, "id long, raw string").select("id", F.try_parse_json("raw").alias("v"))
+    v = F.col("v")
+    got = df.select("id", payload.first_text(v, "$.a", "$.b").alias("t"), payload.field(v, "$.n.k", "long").alias("k"), payload.field(v, "$.b", "long").alias("bad"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", 7, None), (2, None, None, None), (3, None, None, None), (4, None, None, None)]
+    kinds = {(r.path, r.kind) for r in payload.nodes(df).collect()}
+    assert kinds == {("a", "text"), ("b", "text"), ("n", "object"), ("n.k", "number"), ("l", "list"), ("f", "flag"), ("z", "null")}
+    steps = spark.sql("SELECT map('10', 'c', 'x', 'd', '2', 'b', '1', 'a') AS m").select(payload.ordered_steps(F.col("m")).alias("s"))
+    assert steps.first().s == ["a", "b", "c", "d"]
+    block = spark.sql("SELECT array(named_struct('label', ' Fee', 'value', '5'), named_struct('label', 'fee', 'value', '6')) AS b")
+    assert tuple(block.select(*payload.label_block(F.col("b"), {"fee": "fee", "type": "type"})).first()) == ("5", None)
