@@ -70,3 +70,21 @@ def conflicts(pairs: DataFrame, names: DataFrame, same: float = 0.8) -> DataFram
     inside = F.exists("ns", lambda x: F.exists("ns", lambda y: (x != y) & F.contains(y, x)))
     kind = F.when(alike, "duplicate").when((F.size("ts") == 1) & (F.get("ts", F.lit(0)) != "name"), "shared-signal").when(inside, "parent-child").otherwise("ambiguous")
     return groups.select("r_id", "n_claims", kind.alias("kind"))
+
+
+def overlap(left: DataFrame, right: DataFrame, strict: float = 0.99, loose: float = 0.6) -> DataFrame:
+    """(side, n, n_strict, n_loose): rows of each side whose best name partner on the other side is so similar;
+    the sides ``left-self`` and ``right-self`` match an inventory with itself, as a control of the method.
+
+    Rows with one set of name tokens are one entry with a count, so that a common name costs no more than a rare one.
+    """
+    key = F.array_sort(tokens(F.col("name")))
+    entries = lambda df: df.groupBy(F.array_join(key, " ").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    a, b = entries(left), entries(right)
+
+    def measured(side: str, x: DataFrame, y: DataFrame) -> DataFrame:
+        best = best_by_name(x, y, least=loose).select(F.col("l_id").alias("id"), "score")
+        held = lambda least: F.coalesce(F.sum(F.when(F.col("score") >= least, F.col("n"))), F.lit(0))
+        return x.join(best, "id", "left").agg(F.lit(side).alias("side"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), held(strict).alias("n_strict"), held(loose).alias("n_loose"))
+
+    return measured("left", a, b).union(measured("right", b, a)).union(measured("left-self", a, a)).union(measured("right-self", b, b))

@@ -675,6 +675,13 @@ def n11(t):
     return linkage.conflicts(linkage.merge_evidence(evidence(t)), sides(t)[0])
 
 
+@query("N13_overlap")
+def n13(t):
+    """How much two harvests of courses (odd and even ids) agree by name, both ways, and each with itself."""
+    named = t.courses.select(F.col("course_id").alias("id"), F.concat_ws(" ", "name", "course_type", F.regexp_replace("stream", "[^A-Za-z0-9]", "")).alias("name"))
+    return linkage.overlap(named.where("id % 2 = 1"), named.where("id % 2 = 0"))
+
+
 @query("N14_gap_profile", """SELECT CASE WHEN p.status IN ('done', 'empty') THEN 'matched' WHEN p.status = 'error' THEN 'pending' ELSE 'none' END AS bucket, count(*) AS n, count(*) FILTER (WHERE coalesce(trim(d.website), '') <> '') AS searchable FROM directory d LEFT JOIN progress p ON p.college_id = d.college_id GROUP BY 1""")
 def n14(t):
     bucket = F.when(F.col("status").isin("done", "empty"), "matched").when(F.col("status") == "error", "pending").otherwise("none")

@@ -170,3 +170,18 @@ def test_payload_edges(spark):
     assert steps.first().s == ["a", "b", "c", "d"]
     block = spark.sql("SELECT array(named_struct('label', ' Fee', 'value', '5'), named_struct('label', 'fee', 'value', '6')) AS b")
     assert tuple(block.select(*payload.label_block(F.col("b"), {"fee": "fee", "type": "type"})).first()) == ("5", None)
+
+
+def test_overlap_against_brute_force(spark):
+    left = [(1, "alpha beta gamma"), (2, "alpha beta gamma"), (3, "delta epsilon zeta eta"), (4, "lonely"), (5, ""), (6, None)]
+    right = [(10, "gamma beta alpha"), (11, "delta epsilon zeta theta"), (12, "other thing"), (13, "lonely hill")]
+    df = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    got = {r.side: (r.n, r.n_strict, r.n_loose) for r in linkage.overlap(df(left), df(right)).collect()}
+
+    def brute(xs, ys):
+        bag = lambda s: set((s or "").split())
+        best = [max((len(bag(x) & bag(y)) / len(bag(x) | bag(y)) if bag(x) and bag(y) else 0.0) for _, y in ys) for _, x in xs]
+        return len(xs), sum(b >= 0.99 for b in best), sum(b >= 0.6 for b in best)
+
+    assert got == {"left": brute(left, right), "right": brute(right, left), "left-self": brute(left, left), "right-self": brute(right, right)}
+    assert [r.n for r in linkage.overlap(df([]), df([])).collect()] == [0, 0, 0, 0]
