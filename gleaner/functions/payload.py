@@ -28,8 +28,8 @@ def label_block(entries: Column, labels: dict[str, str]) -> list[Column]:
 
 def ordered_steps(steps: Column) -> Column:
     """The values of a map keyed '1', '2', '10' in the order of the numbers; other keys come last, by text."""
-    keyed = F.transform(F.map_entries(steps), lambda e: F.struct(F.coalesce(e["key"].try_cast("long"), F.lit(2**62)).alias("at"), e["key"].alias("key"), e["value"].alias("value")))
-    return F.transform(F.array_sort(keyed), lambda e: e["value"])
+    keyed = F.transform(F.map_keys(steps), lambda k: F.struct(F.coalesce(k.try_cast("long"), F.lit(2**62)).alias("at"), k.alias("key")))
+    return F.transform(F.array_sort(keyed), lambda e: F.try_element_at(steps, e["key"]))
 
 
 def kind_of(v: Column) -> Column:

@@ -69,7 +69,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def absolute_url(c: Column, root: str) -> Column:
-    return F.when(missing(c), "").when(c.startswith("http"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(F.lit("/"), c)))
+    return F.when(missing(c), "").when(c.startswith("http"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(c, F.lit("/"))))
 
 
 def canonical(c: Column, kind: str) -> Column:
