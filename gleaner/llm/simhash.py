@@ -13,7 +13,7 @@ and every pair of chunks is a cell of its own, so that no task holds an unbounde
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, signed, u64
+from .common import as_bytes, byte_slices, checkpointed, signed, u64
 
 SEED = 42
 CELL_ROWS = 2048
@@ -107,6 +107,27 @@ class Forest:
         return np.concatenate(self.joins, axis=1) if self.joins else np.empty((2, 0), dtype=np.int64)
 
 
+def lightest(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest of least weight over 0..n-1.
+
+    Whatever hangs together by links up to some weight hangs together by the forest's links up to it.
+    """
+    root, kept = np.arange(n), []
+    for weight in np.unique(w):
+        at = np.flatnonzero(w == weight)
+        while len(at):
+            rx, ry = root[x[at]], root[y[at]]
+            at, rx, ry = (v[rx != ry] for v in (at, rx, ry))
+            if not len(at):
+                break
+            high, first = np.unique(np.maximum(rx, ry), return_index=True)
+            root[high] = np.minimum(rx, ry)[first]
+            kept.append(at[first])
+            while not np.array_equal(root, up := root[root]):
+                root = up
+    return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
+
+
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``budget`` bits inside each run [start, end) of ``values``, sorted inside the run.
 
@@ -156,11 +177,11 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget:
         stack.append((bit + 1, *(np.concatenate(x) for x in zip(*nxt))))
 
 
-def cell_links(rows: DataFrame, budget: int, verify: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) that join what is near: a spanning forest of each cell.
+def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b, w) that join what is near: a spanning forest of each cell.
 
-    ``rows``: (cell long, id long, fp long[, sig binary]). ``verify`` gets two arrays of signatures, a
-    row for each candidate pair, and says which pairs hold.
+    ``rows``: (cell long, id long, fp long[, sig binary]). With ``most`` a link's weight is the number of
+    differing bits of the signatures, links above it are none, and the forest is one of least weight.
     """
     sized = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
     chunks = F.coalesce(F.ceil(F.col("n") / cell_rows), F.lit(1)).cast("int")
@@ -183,22 +204,29 @@ def cell_links(rows: DataFrame, budget: int, verify: Callable[[np.ndarray, np.nd
         # signed order in the cells: sort each run anew as unsigned
         order = np.lexsort((values, cell))
         values, ids = values[order], ids[order]
-        sig = None
-        if verify is not None:
-            raw = b"".join(t["sig"].to_pylist())
-            sig = np.frombuffer(raw, dtype=np.uint64).reshape(len(ids), -1)[order]
-        forest = Forest(len(ids))
-        for xs, ys in trie_pairs(values, starts, ends, budget):
-            for i in range(0, len(xs), 1 << 16):
-                x, y = xs[i : i + (1 << 16)], ys[i : i + (1 << 16)]
-                if sig is not None:
-                    apart = forest.root[x] != forest.root[y]
-                    x, y = x[apart], y[apart]
-                    holds = verify(sig[x], sig[y])
-                    x, y = x[holds], y[holds]
+        if most is None:
+            forest = Forest(len(ids))
+            for x, y in trie_pairs(values, starts, ends, budget):
                 forest.add(x, y)
-        a, b = forest.links()
-        return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+            a, b = forest.links()
+            w = np.zeros(len(a), dtype=np.int64)
+        else:
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)[order]
+            a = b = w = np.empty(0, dtype=np.int64)
+            wait: list[tuple[np.ndarray, ...]] = []
+            for x, y in trie_pairs(values, starts, ends, budget):
+                far = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
+                near = far <= most
+                wait.append((x[near], y[near], far[near]))
+                if sum(len(v[0]) for v in wait) > 1 << 20:
+                    a, b, w = (np.concatenate(v) for v in zip((a, b, w), *wait))
+                    kept, wait = lightest(len(ids), a, b, w), []
+                    a, b, w = a[kept], b[kept], w[kept]
+            a, b, w = (np.concatenate(v) for v in zip((a, b, w), *wait))
+            kept = lightest(len(ids), a, b, w)
+            a, b, w = a[kept], b[kept], w[kept]
+        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(w)], ["a", "b", "w"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -215,7 +243,7 @@ def cell_links(rows: DataFrame, budget: int, verify: Callable[[np.ndarray, np.nd
         if held:
             yield joined(pa.Table.from_batches(held).combine_chunks())
 
-    return parted.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return parted.mapInArrow(run, "a long, b long, w long").where("a <> b").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -264,11 +292,13 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 
 # ---- near copies by five-word shingles ------------------------------------------------------
 
-BANDS = 4
+BANDS = 6
 BAND_BUDGET = 3
-SIGNATURE = 4  # words of 64 bits
+SIGNATURE = 2  # words of 64 bits
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Standard deviations of a signature's error within which a link is held against the texts.
+DOUBT = 2.75
 
 
 def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -289,20 +319,46 @@ def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, same long, bands binary, sig binary")
 
 
-def alike(similarity: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Signatures within the angle that sets of this Jaccard similarity and equal size have."""
+def doubtful_bits(similarity: float) -> tuple[int, int]:
+    """(sure, most): differing signature bits up to which a similarity is certain, and above which it is excluded.
+
+    Sets of this Jaccard similarity and equal size differ in a known share of their SimHash bits.
+    """
+    bits = 64 * SIGNATURE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    error = DOUBT * np.sqrt(bits * share * (1 - share))
+    return int(bits * share - error), int(np.ceil(bits * share + error))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, shingles array<int>): the distinct five-word shingles of each text, as 32 bits of their hashes."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in byte_slices(batch, batch.schema.names[1]):
+                sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).view(np.int32) for t in as_bytes(b.column(1))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
+
+    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, shingles array<int>")
 
-    def holds(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(x ^ y).sum(axis=1) <= share * 64 * x.shape[1]
 
-    return holds
+def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """The links (a, b) whose texts have at least this similarity of their five-word shingles, counted exactly."""
+    asked = links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
+    texts = df.select(id_col, text_col).join(asked, id_col, "left_semi")
+    sets = shingle_sets(texts, id_col, text_col).groupBy("id").agg(F.max("shingles").alias("s"))
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s_{k}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))
+    return links.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
 
 
 def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): texts of one group are linked by a five-word-shingle similarity of ``similarity`` or
-    more, as their SimHash signatures measure it; the group is its smallest id. Texts that differ only
-    in white space or ASCII case are one class. Null and wordless texts stay alone."""
+    more; the group is its smallest id. Candidates come from fingerprints of the words; a SimHash signature
+    of the shingles excludes what is far off and admits what is certain, the rest is counted exactly. Texts
+    that differ only in white space or ASCII case are one class. Null and wordless texts stay alone; rows
+    with one id are one document."""
     ids = checkpointed(near_signatures(df, id_col, text_col))
     classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     empty = F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).astype(np.int64)))
@@ -311,7 +367,10 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "do
     prints = F.array(*(F.struct(F.lit(i).alias("band"), band(i).alias("fp")) for i in range(BANDS)))
     runs = F.array(*(F.xxhash64("p.band", F.lit(i), F.shiftrightunsigned("p.fp", s).bitwiseAND((1 << w) - 1)) for i, (s, w) in enumerate(runs_of_bits(BAND_BUDGET))))
     rows = words.select("id", "sig", F.explode(prints).alias("p")).select(F.explode(runs).alias("cell"), "id", F.col("p.fp").alias("fp"), "sig")
-    found = components(cell_links(rows, BAND_BUDGET, alike(similarity))).select("id", "component")
+    sure, most = doubtful_bits(similarity)
+    links = checkpointed(cell_links(rows, BAND_BUDGET, most))
+    held = held_links(links.where(F.col("w") > sure), df, similarity, id_col, text_col)
+    found = components(links.where(F.col("w") <= sure).select("a", "b").union(held)).select("id", "component")
     named = classes.join(found, "id", "left").select("same", F.coalesce("component", "id").alias("group"))
     own = F.when((F.col("same") == empty) | F.col("group").isNull(), F.col("id")).otherwise(F.col("group"))
     return ids.select("id", "same").join(named, "same", "left").select("id", own.alias("group"))

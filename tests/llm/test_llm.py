@@ -306,6 +306,21 @@ def test_trie_join(spark, cell_rows):
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
 
 
+def test_lightest_forest():
+    """Links up to any weight hang together as the forest's links up to it do."""
+    rng = np.random.default_rng(6)
+    x, y, w = rng.integers(0, 60, 500), rng.integers(0, 60, 500), rng.integers(0, 9, 500)
+    kept = simhash.lightest(60, x, y, w)
+    for most in range(9):
+        parts = []
+        for at in (np.flatnonzero(w <= most), kept[w[kept] <= most]):
+            root = list(range(60))
+            for i, j in zip(x[at], y[at]):
+                root = [root[j] if r == root[i] else r for r in root]
+            parts.append({tuple(v for v in range(60) if root[v] == r) for r in root})
+        assert parts[0] == parts[1]
+
+
 def test_components_long_chain(spark):
     links = spark.range(300).selectExpr("id * 7919 % 301 as a", "(id + 1) * 7919 % 301 as b")
     assert {r.component for r in simhash.components(links).collect()} == {0}
@@ -332,6 +347,12 @@ def test_near_groups(spark, odd, empty):
                 assert groups[i] == groups[j]
             if of[i] != of[j]:
                 assert groups[i] != groups[j]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    assert all(root[i] == root[g] for i, g in groups.items())  # nothing is joined without a link
     kept = {r.doc_id for r in simhash.drop_near_copies(df).collect()}
     assert kept == {min(i for i in groups if groups[i] == g) for g in groups.values()}
     assert simhash.drop_near_copies(odd).count() == len(ODD)  # equal ids are one document
