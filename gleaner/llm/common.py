@@ -32,6 +32,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent_whole(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``keys`` marked for broadcast if it is counted to hold at most ``most_rows``; else the join shuffles.
+
+    For materialised tables of one or two numbers a row, so that the bound is one of bytes, too.
+    """
+    return F.broadcast(keys) if keys.limit(most_rows + 1).count() <= most_rows else keys
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it several times in ``body``.
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, checkpointed, signed, u64
+from .common import as_bytes, byte_slices, checkpointed, sent_whole, signed, u64
 
 SEED = 42
 CELL_ROWS = 2048
@@ -346,7 +346,7 @@ def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """The links (a, b) whose texts have at least this similarity of their five-word shingles, counted exactly."""
     asked = links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    texts = df.select(id_col, text_col).join(asked, id_col, "left_semi")
+    texts = df.select(id_col, text_col).join(sent_whole(asked), id_col, "left_semi")
     sets = shingle_sets(texts, id_col, text_col).groupBy("id").agg(F.max("shingles").alias("s"))
     side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s_{k}"))
     both = F.size(F.array_intersect("s_a", "s_b"))
@@ -378,5 +378,5 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "do
 
 def drop_near_copies(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays: the one with the smallest id. Rows with a null id stay."""
-    gone = near_groups(df, similarity, id_col, text_col).where("id <> group").select(F.col("id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    gone = checkpointed(near_groups(df, similarity, id_col, text_col).where("id <> group").select(F.col("id").alias(id_col)).distinct())
+    return df.join(sent_whole(gone), id_col, "left_anti")
