@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from gleaner.functions import payload
+from gleaner.functions import payload, records
 from gleaner.functions import text as X
 from gleaner.operators import cdc, linkage, merge
 from gleaner.operators import relational as R
@@ -185,3 +185,14 @@ def test_overlap_against_brute_force(spark):
 
     assert got == {"left": brute(left, right), "right": brute(right, left), "left-self": brute(left, left), "right-self": brute(right, right)}
     assert [r.n for r in linkage.overlap(df([]), df([])).collect()] == [0, 0, 0, 0]
+
+
+def test_record_texts(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(X.absolute_url(F.lit("/a/b"), "https://h.example/")) == "https://h.example/a/b"
+    assert one(X.absolute_url(F.lit(""), "https://h.example")) == ""
+    assert one(records.plain_text(F.lit("<p>Fees&nbsp;&amp;\n <b>seats</b></p>"))) == "Fees & seats"
+    span = lambda low, high: one(records.span_text(F.lit(low).cast("long"), F.lit(high).cast("long"), F.lit("years")))
+    assert [span(2, 2), span(2, None), span(2, 4), span(None, None)] == ["2 years", "2 years", "2-4 years", ""]
+    fee = lambda t: tuple(one(c) for c in records.native_fee(F.lit(t)))
+    assert [fee("USD 15,000"), fee("£9.5K"), fee("free")] == [("USD", 15000), ("GBP", 9500), (None, None)]
