@@ -13,7 +13,7 @@ and every pair of chunks is a cell of its own, so that no task holds an unbounde
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -177,11 +177,28 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget:
         stack.append((bit + 1, *(np.concatenate(x) for x in zip(*nxt))))
 
 
+def by_cell(batches: Iterator[pa.RecordBatch], joined: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``joined`` of runs of whole cells, from batches in the order of their ``cell``."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        t = pa.Table.from_batches(held)
+        cell = t["cell"].to_numpy()
+        cut = int(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])[-1])  # the last cell may go on
+        if cut:
+            yield joined(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut).to_batches()
+    if held:
+        yield joined(pa.Table.from_batches(held).combine_chunks())
+
+
 def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b, w) that join what is near: a spanning forest of each cell.
+    """Links (a, b) that join what is near: a spanning forest of each cell.
 
-    ``rows``: (cell long, id long, fp long[, sig binary]). With ``most`` a link's weight is the number of
-    differing bits of the signatures, links above it are none, and the forest is one of least weight.
+    ``rows``: (cell long, id long, fp long[, sig binary]). With ``most`` ids whose signatures differ in more bits are
+    not linked.
     """
     sized = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
     chunks = F.coalesce(F.ceil(F.col("n") / cell_rows), F.lit(1)).cast("int")
@@ -204,46 +221,19 @@ def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows:
         # signed order in the cells: sort each run anew as unsigned
         order = np.lexsort((values, cell))
         values, ids = values[order], ids[order]
-        if most is None:
-            forest = Forest(len(ids))
-            for x, y in trie_pairs(values, starts, ends, budget):
-                forest.add(x, y)
-            a, b = forest.links()
-            w = np.zeros(len(a), dtype=np.int64)
-        else:
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)[order]
-            a = b = w = np.empty(0, dtype=np.int64)
-            wait: list[tuple[np.ndarray, ...]] = []
-            for x, y in trie_pairs(values, starts, ends, budget):
-                far = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
-                near = far <= most
-                wait.append((x[near], y[near], far[near]))
-                if sum(len(v[0]) for v in wait) > 1 << 20:
-                    a, b, w = (np.concatenate(v) for v in zip((a, b, w), *wait))
-                    kept, wait = lightest(len(ids), a, b, w), []
-                    a, b, w = a[kept], b[kept], w[kept]
-            a, b, w = (np.concatenate(v) for v in zip((a, b, w), *wait))
-            kept = lightest(len(ids), a, b, w)
-            a, b, w = a[kept], b[kept], w[kept]
-        low, high = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(w)], ["a", "b", "w"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            t = pa.Table.from_batches(held)
-            cell = t["cell"].to_numpy()
-            cut = int(np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])[-1])  # the last cell may go on
-            if cut:
-                yield joined(t.slice(0, cut).combine_chunks())
-                held = t.slice(cut).to_batches()
-        if held:
-            yield joined(pa.Table.from_batches(held).combine_chunks())
+        sig = None if most is None else np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)[order]
+        forest = Forest(len(ids))
+        for x, y in trie_pairs(values, starts, ends, budget):
+            if sig is not None:
+                apart = forest.root[x] != forest.root[y]
+                x, y = x[apart], y[apart]
+                near = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= most
+                x, y = x[near], y[near]
+            forest.add(x, y)
+        a, b = forest.links()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
-    return parted.mapInArrow(run, "a long, b long, w long").where("a <> b").distinct()
+    return parted.mapInArrow(lambda batches: by_cell(batches, joined), "a long, b long").where("a <> b").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -297,8 +287,10 @@ BAND_BUDGET = 3
 SIGNATURE = 2  # words of 64 bits
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Standard deviations of a signature's error within which a link is held against the texts.
+#: Standard deviations of a signature's error beyond which a link is excluded without a count.
 DOUBT = 2.75
+#: Shingles of a component that are counted in one task.
+CELL_SHINGLES = 1 << 20
 
 
 def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -319,45 +311,106 @@ def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, same long, bands binary, sig binary")
 
 
-def doubtful_bits(similarity: float) -> tuple[int, int]:
-    """(sure, most): differing signature bits up to which a similarity is certain, and above which it is excluded.
+def most_bits(similarity: float) -> int:
+    """Differing signature bits above which a similarity is excluded.
 
     Sets of this Jaccard similarity and equal size differ in a known share of their SimHash bits.
     """
     bits = 64 * SIGNATURE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    error = DOUBT * np.sqrt(bits * share * (1 - share))
-    return int(bits * share - error), int(np.ceil(bits * share + error))
+    return int(np.ceil(bits * share + DOUBT * np.sqrt(bits * share * (1 - share))))
 
 
-def shingle_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles array<int>): the distinct five-word shingles of each text, as 32 bits of their hashes."""
-    kind = df.schema[id_col].dataType.simpleString()
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, component, n, shingles binary) of (id, component, text): the distinct five-word shingles of each
+    text, as 32 bits of their hashes, and their number."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in byte_slices(batch, batch.schema.names[1]):
-                sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)).view(np.int32) for t in as_bytes(b.column(1))]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
+            for b in byte_slices(batch, "text"):
+                sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)) for t in as_bytes(b.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id"), b.column("component"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["id", "component", "n", "shingles"],
+                )
+
+    return texts.select("id", "component", "text").mapInArrow(run, f"id {kind}, component long, n long, shingles binary")
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, shingles array<int>")
 
+def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
+    """Links of a forest that joins sets (sorted, distinct) exactly as all pairs of this Jaccard similarity do.
+
+    If there are two sides, only pairs across them count. A set is compared with all sets not yet joined to
+    it, through the postings of its members; what ends in the largest tree need not be compared again.
+    """
+    m, sizes = len(sets), np.array([len(x) for x in sets], dtype=np.int64)
+    owners = np.repeat(np.arange(m), sizes)
+    _, value, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    posted, first, at = owners[np.argsort(value, kind="stable")], np.cumsum(df) - df, np.cumsum(sizes) - sizes
+    root, waits, links, sided = np.arange(m), np.ones(m, dtype=bool), [], len(np.unique(side)) > 1
+    while True:
+        left = np.flatnonzero(waits & (root != np.bincount(root).argmax()))
+        if not len(left):
+            break
+        i = int(left[0])
+        waits[i] = False
+        other = (root != root[i]) & (side != side[i] if sided else True)
+        if not other.any():
+            continue
+        own = value[at[i] : at[i] + sizes[i]]
+        spans = df[own]
+        lists = posted[np.repeat(first[own] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())]
+        both = np.bincount(lists, minlength=m)
+        found = np.flatnonzero(other & (both > 0) & (both >= similarity * (sizes + sizes[i] - both)))
+        if len(found):
+            # one link for each tree reached
+            reached, one = np.unique(root[found], return_index=True)
+            links += [(i, int(j)) for j in found[one]]
+            root[np.isin(root, reached)] = root[i]
+    return np.array(links, dtype=np.int64).reshape(-1, 2).T
+
+
+def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Links (a, b) that join the ids inside each component of the candidates ``links`` exactly as all pairs
+    of this similarity of the five-word shingles do, whichever candidates the forests of the cells kept.
+
+    A component of more than ``cell_shingles`` shingles is cut into chunks by hash, and every pair of chunks is
+    counted by itself.
+    """
+    found = components(links)
+    members = checkpointed(found.union(found.select("component", "component").distinct()).toDF(id_col, "component"))
+    texts = df.select(id_col, text_col).join(sent_whole(members), id_col)
+    sets = checkpointed(shingle_sets(texts.select(F.col(id_col).alias("id"), "component", F.col(text_col).alias("text"))))
+    large = sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles)
+    chunks = F.coalesce(F.ceil(F.col("total") / cell_shingles), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(11)), F.col("chunks")).cast("int")
+    dealt = (
+        sets.join(F.broadcast(large), "component", "left").withColumn("chunks", chunks).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select(
+            F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
+            (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "shingles",
+        )
+    )
+
+    def joined(t: pa.Table) -> pa.RecordBatch:
+        cell, side, ids = (t[c].to_numpy() for c in ("cell", "side", "id"))
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in t["shingles"].to_pylist()]
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        pairs = [similar(sets[x:z], side[x:z], similarity) + x for x, z in zip(starts, [*starts[1:], len(cell)]) if z - x > 1]
+        a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
-def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """The links (a, b) whose texts have at least this similarity of their five-word shingles, counted exactly."""
-    asked = links.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-    texts = df.select(id_col, text_col).join(sent_whole(asked), id_col, "left_semi")
-    sets = shingle_sets(texts, id_col, text_col).groupBy("id").agg(F.max("shingles").alias("s"))
-    side = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s_{k}"))
-    both = F.size(F.array_intersect("s_a", "s_b"))
-    return links.join(side("a"), "a").join(side("b"), "b").where(both >= similarity * (F.size("s_a") + F.size("s_b") - both)).select("a", "b")
+    parted = dealt.repartition("cell").sortWithinPartitions("cell", "id")
+    return parted.mapInArrow(lambda batches: by_cell(batches, joined), "a long, b long").where("a <> b").distinct()
 
 
 def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): texts of one group are linked by a five-word-shingle similarity of ``similarity`` or
     more; the group is its smallest id. Candidates come from fingerprints of the words; a SimHash signature
-    of the shingles excludes what is far off and admits what is certain, the rest is counted exactly. Texts
-    that differ only in white space or ASCII case are one class. Null and wordless texts stay alone; rows
+    of the shingles excludes what is far off. Whatever hangs together by candidates is then joined by exact
+    counts only, of all its pairs. Texts that differ only in white space or ASCII case are one class. Null and wordless texts stay alone; rows
     with one id are one document."""
     ids = checkpointed(near_signatures(df, id_col, text_col))
     classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
@@ -367,10 +420,8 @@ def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "do
     prints = F.array(*(F.struct(F.lit(i).alias("band"), band(i).alias("fp")) for i in range(BANDS)))
     runs = F.array(*(F.xxhash64("p.band", F.lit(i), F.shiftrightunsigned("p.fp", s).bitwiseAND((1 << w) - 1)) for i, (s, w) in enumerate(runs_of_bits(BAND_BUDGET))))
     rows = words.select("id", "sig", F.explode(prints).alias("p")).select(F.explode(runs).alias("cell"), "id", F.col("p.fp").alias("fp"), "sig")
-    sure, most = doubtful_bits(similarity)
-    links = checkpointed(cell_links(rows, BAND_BUDGET, most))
-    held = held_links(links.where(F.col("w") > sure), df, similarity, id_col, text_col)
-    found = components(links.where(F.col("w") <= sure).select("a", "b").union(held)).select("id", "component")
+    links = checkpointed(cell_links(rows, BAND_BUDGET, most_bits(similarity)))
+    found = components(checkpointed(held_links(links, df, similarity, id_col, text_col)))
     named = classes.join(found, "id", "left").select("same", F.coalesce("component", "id").alias("group"))
     own = F.when((F.col("same") == empty) | F.col("group").isNull(), F.col("id")).otherwise(F.col("group"))
     return ids.select("id", "same").join(named, "same", "left").select("id", own.alias("group"))
