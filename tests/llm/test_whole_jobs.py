@@ -42,3 +42,30 @@ def test_exact_links_are_not_displaced(spark):
         assert [found.get(i, i) for i in range(len(texts))] == want
     groups = {r.id: r.group for r in simhash.near_groups(df).collect()}
     assert [groups[i] for i in range(len(texts))] == want
+
+
+def test_candidates_by_kind_of_edit(spark):
+    """Cut, extended and substituted copies of 0.8 and more all end in the group of their original."""
+    rng = np.random.default_rng(9)
+    texts, kinds = [], []
+    for _ in range(60):
+        n = int(rng.integers(60, 600))
+        text = [f"w{x}" for x in rng.integers(0, 3000, n)]
+        for kind, share in (("cut", 0.82), ("cut", 0.9), ("extended", 1.2), ("extended", 1.08), ("substituted", 0.02)):
+            copy = text[: int(np.ceil(n * share))] + [f"y{x}" for x in rng.integers(0, 3000, max(0, int(n * share) - n))]
+            if kind == "substituted":
+                copy = list(text)
+                for i in rng.integers(0, n, int(n * share)):
+                    copy[i] = "other"
+            texts += [" ".join(text), " ".join(copy)]
+            kinds.append((kind, share))
+    # each pair by itself: words of different pairs differ
+    texts = [" ".join(f"{i // 2}{w}" for w in t.split()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {r.id: r.group for r in simhash.near_groups(df).collect()}
+    lost = {}
+    for k, kind in enumerate(kinds):
+        a, b = linked(texts[2 * k : 2 * k + 2])
+        if a == b and groups[2 * k] != groups[2 * k + 1]:
+            lost[kind] = lost.get(kind, 0) + 1
+    assert not lost
