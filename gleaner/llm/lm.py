@@ -1,6 +1,6 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root and one state for each frequent history word. A state has arcs for the words that
+States are the root and one state for each history word. A state has arcs for the words that
 follow it clearly more often than elsewhere, with their smoothed log-probability, and a failure arc to
 the root that costs the state's backoff weight; the root has an arc for every word. One pass from left
 to right over a text carries the state and adds up log-probabilities.
@@ -10,10 +10,11 @@ that one row of a shuffle carries thousands of counts:
 
 1. words: counted in each task, dealt by hash and added up; this table grows with the input and stays
    distributed (it is checkpointed, never collected);
-2. word pairs whose both words have a share of at least ``WORD_SHARE`` of all tokens. Those words are at
-   most 1/WORD_SHARE, and arcs at most 1/ARC_SHARE, whatever the input's size: both fit in a broadcast;
-3. scoring: documents are dealt into blocks; each block asks for the counts of its distinct words,
-   and gets them back, so neither the root's arcs nor a hot word meet in one task.
+2. word pairs: counted like the words and dealt by their history; those seen ``LEAST`` times or more are
+   settled into arcs and backoff weights with the counts of their words, in a distributed table;
+3. scoring: documents are dealt into blocks; each block asks for the counts and backoff weights of its
+   distinct words and the arcs of its distinct pairs, and gets them back, so neither the model nor a hot
+   word meets in one task.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, byte_slices, checkpointed, signed, u64
 
-#: Least share of training tokens of a word that can be a history or end an arc.
-WORD_SHARE = 1e-5
-#: Least share of a word pair that becomes an arc.
-ARC_SHARE = 1e-6
+#: A word pair seen so often can become an arc, whatever the input's size.
+LEAST = 2
+#: No share of the tokens is asked of a word or a pair besides.
+WORD_SHARE = ARC_SHARE = 0.0
 #: An arc stays if it raises the log10 likelihood of its pairs by this much in all.
 ARC_GAIN = 3.0
 DISCOUNT = 0.5
@@ -43,6 +44,10 @@ PART_BYTES = 16 << 20
 
 #: No word holds a space, so the end token is none of them.
 END_HASH = xxhash.xxh64_intdigest(b" end", 17)
+#: The history of a text's first token.
+START_HASH = xxhash.xxh64_intdigest(b" start", 17)
+#: Keys that one step of counting holds before they are packed.
+HELD = 1 << 21
 
 
 class Tokens:
@@ -120,21 +125,6 @@ def counted(texts: DataFrame, n_parts: int, of_batch) -> DataFrame:
     return texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
 
 
-def over(table: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts that reach ``least``. There are at most (sum of counts / least)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k, c in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                k, c = numbers(k), numbers(c, np.int64)
-                yield pa.RecordBatch.from_arrays([signed(k[c >= least]), pa.array(c[c >= least])], ["k", "c"])
-
-    t = table.mapInArrow(run, "k long, c long").toArrow()
-    k = np.asarray(t["k"].to_numpy()).view(np.uint64)
-    order = np.argsort(k)
-    return k[order], np.asarray(t["c"].to_numpy())[order]
-
-
 def sums(table: DataFrame) -> tuple[int, int]:
     """(sum of counts, number of keys)."""
 
@@ -155,70 +145,148 @@ def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-class Backoff:
-    """The automaton without the root's arcs: states by history word, arcs by (history, word)."""
+def looked_up(keys: list[bytes], values: list[bytes], kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their values, of answers that may repeat a key."""
+    key, at = np.unique(numbers(b"".join(keys)), return_index=True)
+    return key, numbers(b"".join(values), kind)[at]
+
+
+def histories(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The token before each token; START_HASH before the first of a text."""
+    before = np.r_[np.uint64(0), h[:-1]] if len(h) else h
+    before[np.cumsum(sizes) - sizes] = START_HASH
+    return before
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of each pair."""
+    with np.errstate(over="ignore"):
+        return history * np.uint64(0x9E3779B97F4A7C15) + word
+
+
+def merged_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and the sums of their counts."""
+    key = pair_keys(u, w)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
+    return u[order[first]], w[order[first]], np.add.reduceat(c[order], first) if len(first) else c
+
+
+def counted_pairs(texts: DataFrame, n_parts: int) -> DataFrame:
+    """(part, u, w, counts): the pairs seen ``LEAST`` times or more, dealt like the words by their history."""
+    schema = "part long, u binary, w binary, counts binary"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, parts, held = Tokens(), [], 0
+
+        def flush(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            part = (u >> np.uint64(1)) % np.uint64(n_parts)
+            order = np.lexsort((u, part))
+            u, w, c, part = u[order], w[order], c[order], part[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, dtype=np.int64)
+            cuts = list(zip(starts, [*starts[1:], len(part)]))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part[starts].astype(np.int64)), *(pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (u, w, c))],
+                ["part", "u", "w", "counts"],
+            )
 
-    def __init__(self, words, word_counts, pairs, pair_counts, n: int, v: int):
-        self.n, self.v = n, v
-        self.words = words
-        self.base = np.log10((word_counts + ADD) / (n + ADD * (v + 1))) if n else np.zeros(0)
-        self.pairs, self.pair_counts = pairs, pair_counts
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                h, sizes = tokens.hashes(as_bytes(b.column("text")))
+                parts.append(merged_pairs(histories(h, sizes), h, np.ones(len(h), dtype=np.int64)))
+                held += len(parts[-1][0])
+                if held > HELD:
+                    parts = [merged_pairs(*(np.concatenate(x) for x in zip(*parts)))]
+                    held = len(parts[0][0])
+                    if held > HELD // 2:
+                        yield flush(*parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield flush(*merged_pairs(*(np.concatenate(x) for x in zip(*parts))))
 
-    def settle(self, history: np.ndarray, word: np.ndarray, history_totals: np.ndarray) -> None:
-        """Smooth: each kept arc is discounted; what a state's arcs leave over goes to its failure arc."""
-        share = (self.pair_counts - DISCOUNT) / history_totals[history]
-        gain = self.pair_counts * (np.log10(share) - self.base[word])
-        keep = (gain > ARC_GAIN) & (share > 10 ** self.base[word])
-        self.pairs, self.arc_logs = self.pairs[keep], np.log10(share[keep])
-        taken, base = np.zeros(len(history_totals)), np.zeros(len(history_totals))
-        np.add.at(taken, history[keep], share[keep])
-        np.add.at(base, history[keep], 10 ** self.base[word[keep]])
-        self.backoff = np.log10((1 - taken) / (1 - base))
+    def add(t: pa.Table) -> pa.Table:
+        u, w, c = merged_pairs(*(numbers(b"".join(t[x].to_pylist()), kind) for x, kind in (("u", np.uint64), ("w", np.uint64), ("counts", np.int64))))
+        many = c >= LEAST
+        return pa.table({"part": t["part"][:1], **{x: pa.array([v[many].tobytes()], pa.binary()) for x, v in (("u", u), ("w", w), ("counts", c))}})
 
+    return texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
 
-def train(texts: DataFrame, n_parts: int) -> tuple[DataFrame, Backoff]:
-    """The root's counts as a distributed table (part, keys, counts), and the automaton above it.
 
-    The pairs that become arcs are bounded by 1/ARC_SHARE, the states by 1/WORD_SHARE + 1."""
+def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+    """Only known words of a question come back."""
+    table = numbers(counts["keys"][0].as_py()) if counts.num_rows else u64([])
+    have = numbers(counts["counts"][0].as_py(), np.int64) if counts.num_rows else np.empty(0, dtype=np.int64)
+    blocks, keys, found = [], [], []
+    for x, raw in zip(asked["block"].to_pylist(), asked["keys"].to_pylist()):
+        k = numbers(raw)
+        at = place(table, k)
+        blocks.append(x)
+        keys.append(k[at >= 0].tobytes())
+        found.append(have[at[at >= 0]].tobytes())
+    return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(found, pa.binary())})
+
+
+def settled(pairs: DataFrame, root: DataFrame, n: int, v: int, n_parts: int) -> DataFrame:
+    """(part, arcs, logs, states, backoffs): each kept arc by its pair's key, discounted, and what a state's
+    arcs leave over for its failure arc."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, u, w in zip(*(b.column(x).to_pylist() for x in ("part", "u", "w"))):
+                keys = np.unique(np.concatenate([numbers(u), numbers(w), u64([END_HASH])]))
+                out = packed(keys, np.zeros(len(keys), dtype=np.int64), n_parts, ["part", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([part] * out.num_rows, pa.int64()), out.column(1)], ["part", "block", "keys"])
+
+    def settle(t: pa.Table, known: pa.Table) -> pa.Table:
+        u, w, k = (numbers(b"".join(t[x].to_pylist()), kind) for x, kind in (("u", np.uint64), ("w", np.uint64), ("counts", np.int64)))
+        keys, counts = looked_up(known["keys"].to_pylist(), known["counts"].to_pylist())
+        count = lambda x: counts[place(keys, x)]
+        # a text starts as often as it ends
+        total = count(np.where(u == np.uint64(START_HASH), np.uint64(END_HASH), u)) if len(u) else k
+        base = np.log10(((count(w) if len(w) else k) + ADD) / (n + ADD * (v + 1)))
+        share = (k - DISCOUNT) / total
+        keep = (k * (np.log10(share) - base) > ARC_GAIN) & (share > 10**base)
+        u, w, share, base = u[keep], w[keep], share[keep], base[keep]
+        states, of = np.unique(u, return_inverse=True)
+        backoff = np.log10((1 - np.bincount(of, share, len(states))) / (1 - np.bincount(of, 10**base, len(states))))
+        key = pair_keys(u, w)
+        order = np.argsort(key)
+        columns = {"arcs": key[order], "logs": np.log10(share[order]), "states": states, "backoffs": backoff}
+        return pa.table({"part": t["part"][:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}})
+
+    asked = pairs.mapInArrow(ask, "part long, block long, keys binary")
+    answers = asked.groupBy("part").cogroup(root.groupBy("part")).applyInArrow(answer, "block long, keys binary, counts binary")
+    known = pairs.where(F.octet_length("u") > 0).groupBy("part").cogroup(answers.groupBy("block"))
+    return known.applyInArrow(lambda t, k: settle(t, k) if t.num_rows else NO_ARCS, "part long, arcs binary, logs binary, states binary, backoffs binary")
+
+
+NO_ARCS = pa.table({"part": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("arcs", "logs", "states", "backoffs")}})
+
+
+def train(texts: DataFrame, n_parts: int) -> tuple[DataFrame, int, int]:
+    """The automaton as a distributed table (part, keys, counts, arcs, logs, states, backoffs), with a row for
+    the root's arcs of a part and one for what is above it; the number of tokens and of words."""
 
     def words(tokens: Tokens, batch: list[bytes]):
         return np.unique(tokens.hashes(batch)[0], return_counts=True)
 
     root = checkpointed(counted(texts, n_parts, words))
     n, v = sums(root)
-    frequent, counts = over(root, max(2, WORD_SHARE * n))
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)
-
-    def pairs(tokens: Tokens, batch: list[bytes]):
-        h, sizes = tokens.hashes(batch)
-        at = place(shared.value, h) + 1  # 0: no state
-        before = np.r_[0, at[:-1]]
-        before[np.cumsum(sizes) - sizes] = len(shared.value) + 1  # the start of a text
-        both = (before > 0) & (at > 0)
-        # a pair of two indices; the history fits in the upper half
-        return np.unique(before[both].astype(np.uint64) << np.uint64(32) | at[both].astype(np.uint64), return_counts=True)
-
-    keys, pair_counts = over(counted(texts, n_parts, pairs), max(2, ARC_SHARE * n))
-    model = Backoff(frequent, counts, keys, pair_counts, n, v)
-    ends = int(counts[place(frequent, u64([END_HASH]))[0]]) if n and place(frequent, u64([END_HASH]))[0] >= 0 else 1
-    totals = np.r_[counts, ends].astype(np.float64)  # a text starts as often as it ends
-    model.settle((keys >> np.uint64(32)).astype(np.int64) - 1, (keys & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1, totals)
-    return root, model
-
-
-def walk(model: Backoff, h: np.ndarray, sizes: np.ndarray, base: np.ndarray) -> np.ndarray:
+    above = settled(checkpointed(counted_pairs(texts, n_parts)), root, n, v, n_parts)
+    return root.unionByName(checkpointed(above), allowMissingColumns=True), n, v
+
+
+def walk(h: np.ndarray, sizes: np.ndarray, base: np.ndarray, arcs, logs, states, backoffs) -> np.ndarray:
     """log10 probability of each text: one left-to-right traversal.
 
     The state after a token is that token's own state, or the root, so all steps of the traversal are
     known at once and are taken as one array operation."""
-    at = place(model.words, h) + 1
-    before = np.r_[0, at[:-1]]
+    before = histories(h, sizes)
+    arc = place(arcs, pair_keys(before, h))
+    fail = np.r_[backoffs, 0.0][place(states, before)] + base
+    step = np.where(arc >= 0, np.r_[logs, 0.0][arc], fail)
     starts = np.cumsum(sizes) - sizes
-    before[starts] = len(model.words) + 1
-    arc = place(model.pairs, before.astype(np.uint64) << np.uint64(32) | at.astype(np.uint64))
-    arc[(before == 0) | (at == 0)] = -1
-    fail = np.r_[0.0, model.backoff][before] + base
-    step = np.where(arc >= 0, np.r_[model.arc_logs, 0.0][arc], fail)
     return np.add.reduceat(step, starts) if len(starts) else np.zeros(0)
 
 
@@ -234,69 +302,82 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
     source = df.select(F.col(id_col).alias("id"), text.alias("text"), training.alias("training"))
     total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     n_parts, n_blocks = max(8, -(-total // PART_BYTES)), max(1, -(-total // block_bytes))
-    root, model = train(source.where("training").select("text"), n_parts)
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    model, n, v = train(source.where("training").select("text"), n_parts)
     block = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_blocks))
     # one exchange of the texts serves both the questions and the scoring
     docs = source.select("id", "text", block.alias("block")).repartition("block")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, held = Tokens(), {}
-        names = ["part", "keys", "counts"]
+        """Words and pairs of each block, both dealt by the word or the history."""
+        tokens, held, size = Tokens(), {}, 0
 
         def flush(block: int) -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held.pop(block)))
-            out = packed(keys, np.zeros(len(keys), dtype=np.int64), n_parts, names)
-            return pa.RecordBatch.from_arrays([out.column(0), pa.array([block] * out.num_rows, pa.int64()), out.column(1)], ["part", "block", "keys"])
+            words, pairs, owners = (np.concatenate(x) for x in zip(*held.pop(block)))
+            words = np.unique(np.r_[words, np.uint64(START_HASH)])
+            pairs, at = np.unique(pairs, return_index=True)
+            rows = []
+            for keys, part in ((words, (words >> np.uint64(1)) % np.uint64(n_parts)), (pairs, owners[at])):
+                order = np.argsort(part, kind="stable")
+                cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
+                rows.append([keys[order[a:z]].tobytes() for a, z in zip(cuts, cuts[1:])])
+            some = [i for i, (k, p) in enumerate(zip(*rows)) if k or p]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), *(pa.array([r[i] for i in some], pa.binary()) for r in rows)],
+                ["part", "block", "keys", "pairs"],
+            )
 
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 blocks = b.column("block").to_numpy()
                 h, sizes = tokens.hashes(as_bytes(b.column("text")))
-                own = np.repeat(blocks, sizes)
+                before, own = histories(h, sizes), np.repeat(blocks, sizes)
                 for x in np.unique(blocks).tolist():
-                    held.setdefault(x, []).append(np.unique(h[own == x]))
-                if sum(len(k) for ks in held.values() for k in ks) > 1 << 21:
+                    u, w = before[own == x], h[own == x]
+                    pairs, at = np.unique(pair_keys(u, w), return_index=True)
+                    held.setdefault(x, []).append((np.unique(w), pairs, (u[at] >> np.uint64(1)) % np.uint64(n_parts)))
+                    size += len(pairs)
+                if size > HELD:
                     for x in list(held):
                         yield flush(x)
+                    size = 0
         for x in list(held):
             yield flush(x)
 
-    def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        """Only known words of a question come back."""
-        table = numbers(counts["keys"][0].as_py()) if counts.num_rows else u64([])
-        have = numbers(counts["counts"][0].as_py(), np.int64) if counts.num_rows else np.empty(0, dtype=np.int64)
-        blocks, keys, found = [], [], []
-        for x, raw in zip(asked["block"].to_pylist(), asked["keys"].to_pylist()):
-            k = numbers(raw)
-            at = place(table, k)
-            blocks.append(x)
-            keys.append(k[at >= 0].tobytes())
-            found.append(have[at[at >= 0]].tobytes())
-        return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(found, pa.binary())})
-
-    questions = docs.mapInArrow(ask, "part long, block long, keys binary")
-    answers = questions.groupBy("part").cogroup(root.groupBy("part")).applyInArrow(answer, "block long, keys binary, counts binary")
+    names = ("keys", "counts", "arcs", "logs", "states", "backoffs")
+
+    def answers_of(asked: pa.Table, part: pa.Table) -> pa.Table:
+        """What the model holds of a question's words and pairs comes back."""
+        have = {c: numbers(b"".join(x or b"" for x in part[c].to_pylist()), np.int64 if c == "counts" else np.float64 if c in ("logs", "backoffs") else np.uint64) for c in names}
+        out = {c: [] for c in names}
+        for words, pairs in zip(asked["keys"].to_pylist(), asked["pairs"].to_pylist()):
+            for raw, key, value in ((words, "keys", "counts"), (pairs, "arcs", "logs"), (words, "states", "backoffs")):
+                k = numbers(raw)
+                at = place(have[key], k)
+                out[key].append(k[at >= 0].tobytes())
+                out[value].append(have[value][at[at >= 0]].tobytes())
+        return pa.table({"block": asked["block"], **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
+
+    questions = docs.mapInArrow(ask, "part long, block long, keys binary, pairs binary")
+    answers = questions.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(answers_of, "block long, " + ", ".join(f"{c} binary" for c in names))
     kind = source.schema["id"].dataType.simpleString()
 
     def score(texts: pa.Table, model_rows: pa.Table) -> pa.Table:
-        m: Backoff = shared.value
         tokens = Tokens()
-        keys, counts = merged([u64([]), *map(numbers, model_rows["keys"].to_pylist())], [np.empty(0, np.int64), *(numbers(x, np.int64) for x in model_rows["counts"].to_pylist())])
-        if len(keys):  # a word asked for twice has one count, not the sum
-            every = np.concatenate([numbers(x) for x in model_rows["keys"].to_pylist()])
-            counts = counts // np.unique(every, return_counts=True)[1]
+        own = {c: model_rows[c].to_pylist() for c in names}
+        keys, counts = looked_up(own["keys"], own["counts"])
+        arcs, logs = looked_up(own["arcs"], own["logs"], np.float64)
+        states, backoffs = looked_up(own["states"], own["backoffs"], np.float64)
         out = []
         for whole in texts.to_batches():
             for b in byte_slices(whole, "text"):
                 h, sizes = tokens.hashes(as_bytes(b.column("text")))
-                at = place(keys, h)
-                c = np.r_[counts, 0][at]
-                base = np.log10((c + ADD) / (m.n + ADD * (m.v + 1)))
+                c = np.r_[counts, 0][place(keys, h)]
+                base = np.log10((c + ADD) / (n + ADD * (v + 1)))
                 starts = np.cumsum(sizes) - sizes
+                scores = walk(h, sizes, base, arcs, logs, states, backoffs)
                 out.append(pa.RecordBatch.from_arrays(
                     [b.column("id"), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
-                     pa.array(np.full(len(sizes), m.n)), pa.array(np.add.reduceat(base, starts)), pa.array(walk(m, h, sizes, base))],
+                     pa.array(np.full(len(sizes), n)), pa.array(np.add.reduceat(base, starts)), pa.array(scores)],
                     ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 ))
         return pa.Table.from_batches(out, pa.schema([("id", texts.schema.field("id").type), *((x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]))

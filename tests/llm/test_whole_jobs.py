@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner.llm import simhash
+from gleaner.llm import lm, simhash
 
 
 def linked(texts, similarity=0.8):
@@ -69,3 +69,19 @@ def test_candidates_by_kind_of_edit(spark):
         if a == b and groups[2 * k] != groups[2 * k + 1]:
             lost[kind] = lost.get(kind, 0) + 1
     assert not lost
+
+
+def test_rare_pairs_stay_arcs(spark):
+    """A pair seen a few times is an arc however many other tokens there are."""
+    few = [(i, "alpha beta") for i in range(4)]
+    rng = np.random.default_rng(3)
+    # over 4 million tokens: a share of 1e-6 would ask for 5 of each pair
+    many = [(10 + i, " ".join(f"w{x}" for x in rng.integers(0, 500, 45_000))) for i in range(100)]
+    df = spark.createDataFrame(few + many, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score_documents(df, F.lit(True)).where("doc_id < 10").collect()}
+    n, v = got[0].train_tokens, 500 + 3
+    base = lambda c: np.log10((c + lm.ADD) / (n + lm.ADD * (v + 1)))
+    share = lambda k, total: np.log10((k - lm.DISCOUNT) / total)
+    assert n > 4_000_000 and abs(got[0].base_score - 2 * base(4) - base(104)) < 1e-6
+    # each step is an arc: start to alpha, alpha to beta, beta to the end
+    assert abs(got[0].score - share(4, 104) - 2 * share(4, 4)) < 1e-6
