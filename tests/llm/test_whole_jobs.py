@@ -1,9 +1,11 @@
 """Places where an operator once did less than the whole job."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner.llm import lm, simhash
+from gleaner.llm import licenses, lm, simhash
 
 
 def linked(texts, similarity=0.8):
@@ -85,3 +87,39 @@ def test_rare_pairs_stay_arcs(spark):
     assert n > 4_000_000 and abs(got[0].base_score - 2 * base(4) - base(104)) < 1e-6
     # each step is an arc: start to alpha, alpha to beta, beta to the end
     assert abs(got[0].score - share(4, 104) - 2 * share(4, 4)) < 1e-6
+
+
+def names_of(tree):
+    """Every text that a pattern of a license's names matches."""
+    out = [""]
+    for kind, value in tree:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "IN":
+            more = [chr(x) for op, x in value if str(op) == "LITERAL"]
+        elif kind == "BRANCH":
+            more = [x for branch in value[1] for x in names_of(branch)]
+        elif kind == "SUBPATTERN":
+            more = names_of(value[3])
+        elif kind == "MAX_REPEAT":
+            assert value[1] == 1
+            more = names_of(value[2]) + [""] * (value[0] == 0)
+        else:
+            assert kind == "ASSERT_NOT"
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_license_name_passes_its_keyword():
+    scanner = licenses.Scanner()
+    for label, keywords, names, _ in licenses.FAMILIES:
+        for name in names_of(re._parser.parse(names)):
+            assert any(k in name for k in keywords.split("|")), (label, name)
+            for text in (f"{name} license", f"the {name} license version 2.0", f"released under {name}"):
+                for blank in (" ", "\n", "\r\n   "):
+                    wrapped = text.replace(" ", blank)
+                    assert label in {r.label for *_, r in scanner.detections(wrapped)}, (label, wrapped)
+    for text, label in (("all rights\nreserved", "all-rights-reserved"), ("in the\npublic  domain", "public-domain")):
+        assert [r.label for *_, r in scanner.detections(text)] == [label] and any(g in text.encode() for g in licenses.GATES)
