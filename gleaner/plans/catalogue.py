@@ -477,7 +477,7 @@ BATCH = "(SELECT college_id, CASE WHEN college_id % 3 = 0 THEN '' ELSE concat('n
 
 
 def batch(t):
-    d = t.directory.where("college_id < 5000")
+    d = t.directory
     name = F.when(F.col("college_id") % 3 == 0, "").otherwise(F.concat(F.lit("new"), F.col("college_id").cast("string")))
     return d.select("college_id", name.alias("name"), F.when(F.col("college_id") % 2 != 0, F.col("city")).alias("city"))
 

@@ -1,11 +1,13 @@
 """Places where an operator once did less than the whole job."""
 
 import re
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import licenses, lm, simhash
+from gleaner.plans import catalogue
 
 
 def linked(texts, similarity=0.8):
@@ -123,3 +125,9 @@ def test_every_license_name_passes_its_keyword():
                     assert label in {r.label for *_, r in scanner.detections(wrapped)}, (label, wrapped)
     for text, label in (("all rights\nreserved", "all-rights-reserved"), ("in the\npublic  domain", "public-domain")):
         assert [r.label for *_, r in scanner.detections(text)] == [label] and any(g in text.encode() for g in licenses.GATES)
+
+
+def test_batch_is_the_whole_directory(spark):
+    """The incoming batch grows with the directory."""
+    directory = spark.range(4_990, 5_010).select(F.col("id").alias("college_id"), F.lit("town").alias("city"))
+    assert catalogue.batch(SimpleNamespace(directory=directory)).count() == 20
