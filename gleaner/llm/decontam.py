@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import as_texts, byte_slices
 
-#: 1: the token counts, 0: it may differ. Seven tokens count in spans of 8 to 12.
-MASKS = ("11110111", "1101101011", "1110010111", "110100110011")
+#: 1: the token counts, 0: it may differ. One of them fits into every overlap of 10 to 23 tokens with the
+#: permitted substitutions, and so into longer ones: of pieces that long, one has no larger share of them.
+MASKS = ("1111011", "1110100011", "10011111", "1101000111", "11101101", "111111")
+#: Items shorter than this are sought whole, by masks of their own length.
+SHORT = 10
 #: An overlap holds from this many tokens on (or the whole item if it is shorter) ...
 MIN_TOKENS = 12
 #: ... with at most this share of substituted tokens.
@@ -33,6 +37,12 @@ TOKEN = re.compile(r"[^\W_]+")
 PRIME = 0x9E3779B97F4A7C15
 
 
+def whole_masks(n: int) -> list[str]:
+    """Masks of a whole item: one for each permitted set of substituted tokens between its ends."""
+    sets = combinations(range(1, n - 1), int(n * MAX_SUBSTITUTED + 1e-9))
+    return ["".join("0" if i in out else "1" for i in range(n)) for out in sets]
+
+
 class SeedIndex:
     """Masked windows of some benchmark items: tokens as small numbers, a sorted hash array for each mask."""
 
@@ -43,13 +53,12 @@ class SeedIndex:
             tokens = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in TOKEN.findall((text or "").lower())]
             if tokens:
                 self.items.append((item, np.array(tokens, dtype=np.int64)))
-        shortest = min(map(len, MASKS))
-        #: Items shorter than every mask are sought whole, by a mask of their own length.
-        masks = [*MASKS, *("1" * n for n in sorted({len(t) for _, t in self.items if len(t) < shortest}))]
+        short = sorted({len(t) for _, t in self.items if len(t) < SHORT})
+        masks = [*((m, False) for m in MASKS), *((m, True) for n in short for m in whole_masks(n))]
         self.seeds = []
-        for mask in masks:
+        for mask, own in masks:
             at = np.flatnonzero(np.frombuffer(mask.encode(), dtype=np.uint8) == ord("1"))
-            own, found = set(mask) == {"1"}, []
+            found = []
             for k, (_, t) in enumerate(self.items):
                 if len(t) == len(mask) if own else len(t) >= len(mask):
                     h = masked_hashes(t, at, np.arange(len(t) - len(mask) + 1))

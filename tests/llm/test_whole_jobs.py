@@ -1,12 +1,13 @@
 """Places where an operator once did less than the whole job."""
 
 import re
+from itertools import combinations
 from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner.llm import licenses, lm, simhash
+from gleaner.llm import decontam, licenses, lm, simhash
 from gleaner.plans import catalogue
 
 
@@ -131,3 +132,26 @@ def test_batch_is_the_whole_directory(spark):
     """The incoming batch grows with the directory."""
     directory = spark.range(4_990, 5_010).select(F.col("id").alias("college_id"), F.lit("town").alias("city"))
     assert catalogue.batch(SimpleNamespace(directory=directory)).count() == 20
+
+
+def test_every_permitted_overlap_has_a_seed():
+    """Over all patterns of substitutions in overlaps of up to 19 tokens and in whole short items."""
+    for n in range(1, 20):
+        item = " ".join(f"w{i}" for i in range(n))
+        index = decontam.SeedIndex([(1, item)])
+        for k in range(int(n * decontam.MAX_SUBSTITUTED + 1e-9) + 1):
+            for out in combinations(range(1, n - 1), k):
+                text = np.array([0 if i in out else i + 1 for i in range(n)], dtype=np.int64)
+                assert (0, 0) in set(index.hits(text)), (n, out)
+                assert decontam.best_overlap(text, index.items[0][1], 0) == (0, n, n - k)
+
+
+def test_substituted_overlaps_are_found(spark):
+    """Overlaps that no mask of seven tokens fits into, and a short item with one token substituted."""
+    item = [f"w{i}" for i in range(30)]
+    part = item[5:20]
+    part[3] = part[7] = part[11] = "other"
+    rows = [(1, "a b " + " ".join(part) + " c"), (2, "s0 s1 other s3 s4 s5"), (3, "s0 other other s3 s4 s5")]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "s0 s1 s2 s3 s4 s5")], "item_id long, text string")
+    found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id, r.first_token, r.end_token, r.n_matched) for r in found} == {(1, 7, 2, 17, 12), (2, 8, 0, 6, 5)}
