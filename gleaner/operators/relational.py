@@ -44,10 +44,13 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out.withColumn("percent", F.round(100 * F.col("filled") / F.nullif(F.col("total"), F.lit(0)), 2))
 
 
-def upper_median(c: Column) -> Column:
-    """Element n div 2 of the sorted values."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, (F.size(values) / 2).cast("int") + 1)
+def upper_median(df: DataFrame, by: str, value: str, name: str = "median") -> DataFrame:
+    """(by, median): element n div 2 of each group's sorted values without nulls. A group is only as large as
+    its distinct values, which are counted first."""
+    counts = df.groupBy(by, F.col(value).alias("_v")).agg(F.count(value).alias("_n"))
+    group = Window.partitionBy(by)
+    running = counts.withColumn("_to", F.sum("_n").over(group.orderBy("_v"))).withColumn("_all", F.sum("_n").over(group))
+    return running.groupBy(by).agg(F.min(F.when(F.col("_to") > F.floor(F.col("_all") / 2), F.col("_v"))).alias(name))
 
 
 def capped_count(n: Column, cap: int = 10) -> Column:

@@ -409,7 +409,7 @@ def g9(t):
 
 @query("G10_upper_median", """SELECT level, list_sort(list(college_count))[CAST(count(*) // 2 AS BIGINT) + 1] AS median FROM courses GROUP BY level""")
 def g10(t):
-    return t.courses.groupBy("level").agg(R.upper_median(F.col("college_count")).alias("median"))
+    return R.upper_median(t.courses, "level", "college_count")
 
 
 @query("G11_cross_table", """SELECT stream, count(*) FILTER (WHERE level = 'UG') AS UG, count(*) FILTER (WHERE level = 'PG') AS PG, count(*) FILTER (WHERE level = '') AS blank FROM courses GROUP BY stream""")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, licenses, lm, simhash
+from gleaner.operators import relational
 from gleaner.plans import catalogue
 
 
@@ -155,3 +156,11 @@ def test_substituted_overlaps_are_found(spark):
     bench = spark.createDataFrame([(7, " ".join(item)), (8, "s0 s1 s2 s3 s4 s5")], "item_id long, text string")
     found = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert {(r.doc_id, r.item_id, r.first_token, r.end_token, r.n_matched) for r in found} == {(1, 7, 2, 17, 12), (2, 8, 0, 6, 5)}
+
+
+def test_upper_median_counts_values_first(spark):
+    rows = [("a", x) for x in (5, 1, 1, 9)] + [("b", x) for x in (3, None, 2, 7)] + [("c", None), (None, 4), ("d", 8)]
+    out = relational.upper_median(spark.createDataFrame(rows, "level string, n int"), "level", "n")
+    assert {r.level: r.median for r in out.collect()} == {"a": 5, "b": 3, "c": None, None: 4, "d": 8}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
