@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,23 +15,54 @@ from pyspark.sql import functions as F
 
 #: Upper limit of text that one step of Python work holds as separate words.
 SLICE_BYTES = 2 << 20
+NOT_DIGITS = re.compile(r"\D")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset: a folder of the warehouse, which a cluster shares, too;
+    in local mode, where driver and tasks are one process, a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        return tempfile.mkdtemp(prefix="spark-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a temporary one only where none is set."""
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark))
+
+
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder; the shuffle files that it was made from go at once."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint()
+
+
+def in_small_batches(df: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+    """``df``, with the session's Arrow batches held to some megabytes: 10,000 long texts are no unit of work."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(NOT_DIGITS.sub("", conf.get(name))) <= batch_bytes:
+        conf.set(name, str(batch_bytes))
+    return df
 
 
 def sent_whole(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:

@@ -1,71 +1,103 @@
 """Sharding by a two-pass external shuffle.
 
 Pass one scatters whole records into buckets by a seeded hash; the bucket count follows from the
-total bytes, so a bucket fits in a worker's memory at any input size. Pass two runs a seeded
-Fisher-Yates shuffle inside each bucket. Buckets laid end to end give every record one global
-position; shards are equal runs of positions, so their row counts differ by one at most.
+total bytes, so a bucket fits in a worker's memory at any input size. Pass two makes a seeded
+Fisher-Yates permutation of each bucket's places and puts every record of the bucket to its place. Buckets
+laid end to end give every record one global position; shards are equal runs of positions, so their
+row counts differ by one at most.
+
+At scale: texts cross one exchange and stay in the JVM, where sorting a bucket can spill; Python sees only
+the buckets' sizes. Rows that are alike in all columns share a hash: where they are more than a bucket
+holds, each is dealt by its own row number, so no bucket grows with the copies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BUCKET_BYTES = 16 << 20
-BROADCAST_BUCKETS = 500_000
+from .common import checkpointed, sent_whole
 
+BUCKET_BYTES = 16 << 20
+#: Buckets whose counts are added up in one window.
+RUN = 1024
 
-def shard_documents(
-    df: DataFrame, n_shards: int = 8, seed: int = 20_240_601, bucket_bytes: int = BUCKET_BYTES,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
-    """All rows and columns of ``df`` with ``shard`` (0 to n_shards-1) and a gapless ``slot``.
 
-    Input columns named shard or slot are replaced. Null texts and ids are ordinary values; an
-    empty table gives an empty result. Byte-identical repeated rows are interchangeable: they
-    share a bucket and each gets a slot of its own.
-    """
+def scattered(df: DataFrame, seed: int, bucket_bytes: int, text_col: str = "text") -> tuple[DataFrame, int]:
+    """(``df`` with _gl_bucket and the keys that order a bucket's rows: _gl_key, _gl_tie; number of rows)."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     n_buckets = max(1, -(-total // bucket_bytes))
-    names = [c for c in df.columns if c not in ("shard", "slot")]
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    tagged = df.select(*names, key.alias("_gl_key"), F.pmod(key, F.lit(n_buckets)).alias("_gl_bucket"))
-    before = Window.orderBy("_gl_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        tagged.groupBy("_gl_bucket").agg(F.count(F.lit(1)).alias("_gl_n"))  # one row a bucket
-        .select("_gl_bucket", F.coalesce(F.sum("_gl_n").over(before), F.lit(0)).alias("_gl_start"))
+    hashed = [f.name for f in df.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    keyed = df.select(
+        *df.columns, F.xxhash64(F.lit(seed), *hashed).alias("_gl_key"), F.xxhash64(F.lit(seed + 1), *hashed).alias("_gl_tie"),
+        F.monotonically_increasing_id().alias("_gl_row"),
     )
-    schema = T.StructType([*tagged.schema.fields, T.StructField("_gl_at", T.LongType())])
-
-    def fisher_yates(bucket: pa.Table) -> pa.Table:
-        bucket = bucket.take(pc.sort_indices(bucket, [("_gl_key", "ascending")]))
-        order = np.arange(bucket.num_rows)
-        np.random.default_rng([seed, bucket["_gl_bucket"][0].as_py()]).shuffle(order)
-        return bucket.take(pa.array(order)).append_column("_gl_at", pa.array(np.arange(len(order))))
-
-    # a row for each bucket: broadcast while that is small, else left to Spark
-    starts = F.broadcast(starts) if n_buckets <= BROADCAST_BUCKETS else starts
-    placed = tagged.groupBy("_gl_bucket").applyInArrow(fisher_yates, schema).join(starts, "_gl_bucket")
-    at = F.col("_gl_start") + F.col("_gl_at")
+    # keys with more rows than a bucket has on average: no more of them than buckets
+    hot = keyed.groupBy("_gl_key").count().where(F.col("count") * n_buckets > n) if n_buckets > 1 else None
+    if hot is not None:
+        hot = checkpointed(hot.select("_gl_key", F.lit(True).alias("_gl_hot")))
+        keyed = keyed.join(sent_whole(hot), "_gl_key", "left").withColumn("_gl_row", F.when(F.col("_gl_hot"), F.col("_gl_row")))
+    else:
+        keyed = keyed.withColumn("_gl_row", F.lit(None).cast("long"))
+    bucket = F.pmod(F.xxhash64("_gl_key", "_gl_row"), F.lit(n_buckets))
+    return keyed.select(*df.columns, bucket.alias("_gl_bucket"), "_gl_key", "_gl_tie"), n
+
+
+def permutations(buckets: DataFrame, seed: int) -> DataFrame:
+    """(_gl_bucket, _gl_start, _gl_order) of (_gl_bucket, count): where the bucket begins, and the place of each of
+    its rows, by Fisher-Yates."""
+    buckets = checkpointed(buckets.withColumn("run", F.floor(F.col("_gl_bucket") / RUN)))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    runs = buckets.groupBy("run").agg(F.sum("count").alias("_n"))  # a row for every thousand buckets
+    runs = runs.select("run", F.coalesce(F.sum("_n").over(before(Window.orderBy("run"))), F.lit(0)).alias("_begin"))
+    inside = F.coalesce(F.sum("count").over(before(Window.partitionBy("run").orderBy("_gl_bucket"))), F.lit(0))
+    starts = buckets.withColumn("_in", inside).join(runs, "run").select("_gl_bucket", (F.col("_begin") + F.col("_in")).alias("_gl_start"), "count")
+
+    def fisher_yates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (bucket, n) in enumerate(zip(b.column("_gl_bucket").to_pylist(), b.column("count").to_pylist())):
+                order = np.arange(n, dtype=np.int32)
+                np.random.default_rng([seed, bucket]).shuffle(order)
+                one = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column("_gl_bucket"), one.column("_gl_start"), pa.array([order])], ["_gl_bucket", "_gl_start", "_gl_order"])
+
+    return starts.mapInArrow(fisher_yates, "_gl_bucket long, _gl_start long, _gl_order array<int>")
+
+
+def shard_documents(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601, bucket_bytes: int = BUCKET_BYTES, text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``df`` with ``shard`` (0 to n_shards-1) and a gapless ``slot``.
+
+    Input columns named shard or slot, in any case, are replaced. Null texts and ids are ordinary values; an
+    empty table gives an empty result. Rows alike in all columns are interchangeable, and each gets a
+    slot of its own. Rows of equal hashes are dealt by their place in the input, which a lost executor's
+    rerun must find again: give it a table that is read from files or checkpointed.
+    """
+    df = df.select(*(c for c in df.columns if c.lower() not in ("shard", "slot")))
+    tagged, n = scattered(df, seed, bucket_bytes, text_col)
+    places = permutations(tagged.groupBy("_gl_bucket").count(), seed)
+    rank = F.row_number().over(Window.partitionBy("_gl_bucket").orderBy("_gl_key", "_gl_tie"))
+    placed = tagged.withColumn("_gl_rank", rank).join(places, "_gl_bucket")
+    at = F.col("_gl_start") + F.get("_gl_order", F.col("_gl_rank") - 1)
     first = F.expr(f"(shard * {n}L + {n_shards - 1}) div {n_shards}")
     return (
-        placed.select(*names, at.alias("_gl_at"))
+        placed.select(*df.columns, at.alias("_gl_at"))
         .withColumn("shard", F.expr(f"int((_gl_at * {n_shards}) div {max(n, 1)})"))
-        .select(*names, "shard", (F.col("_gl_at") - first).alias("slot"))
+        .select(*df.columns, "shard", (F.col("_gl_at") - first).alias("slot"))
     )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder a shard, rows in slot order inside each file; reads back with ``shard`` as a column."""
-    sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder a shard; each file holds whole buckets, its rows in slot order. Reads back with ``shard`` as a column."""
+    sharded.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def op1_sharding(docs: DataFrame) -> DataFrame:
+    """Whole records are sharded, then reported: a null text has size 1 and the CRC of an empty one."""
     text = F.coalesce("text", F.lit(""))
     return shard_documents(docs).select(
         "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),

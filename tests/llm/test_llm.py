@@ -63,6 +63,15 @@ def test_sharding_law(docs, odd, empty, tmp_path):
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).groupBy("shard").count().count() == 3
 
 
+def test_copies_of_one_row_are_dealt_out(spark):
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text")).union(spark.range(5_000).select("id", F.col("id").cast("string")))
+    tagged, n = sharding.scattered(rows, 1, 20_000)
+    sizes = [r["count"] for r in tagged.groupBy("_gl_bucket").count().collect()]
+    assert n == 105_000 and max(sizes) < 1.3 * n / len(sizes) and len(sizes) > 50
+    out = sharding.shard_documents(rows, 7, bucket_bytes=20_000)
+    assert out.count() == n and out.groupBy("shard").agg((F.max("slot") + 1).alias("n"), F.countDistinct("slot").alias("d")).where("n <> d or n <> 15000").count() == 0
+
+
 def brute_lm(rows):
     """Base scores and the backoff model, one text at a time."""
     train = [words(t) + [None] for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 10]
