@@ -1,20 +1,17 @@
 """Language-model scoring with a weighted backoff automaton.
 
-States are the root and one state for each history word. A state has arcs for the words that
-follow it clearly more often than elsewhere, with their smoothed log-probability, and a failure arc to
-the root that costs the state's backoff weight; the root has an arc for every word. One pass from left
-to right over a text carries the state and adds up log-probabilities.
-
-Counting covers all training rows. Everything is counted by 64-bit hashes, packed as sorted arrays, so
-that one row of a shuffle carries thousands of counts:
-
-1. words: counted in each task, dealt by hash and added up; this table grows with the input and stays
-   distributed (it is checkpointed, never collected);
-2. word pairs: counted like the words and dealt by their history; those seen ``LEAST`` times or more are
-   settled into arcs and backoff weights with the counts of their words, in a distributed table;
-3. scoring: documents are dealt into blocks; each block asks for the counts and backoff weights of its
-   distinct words and the arcs of its distinct pairs, and gets them back, so neither the model nor a hot
-   word meets in one task.
+States are the root and one state for each history word (or the start of a text) after which some word was
+seen ``LEAST`` times or more. A state has an arc for each such word, with its discounted, interpolated
+probability, and a failure arc to the root that costs the state's backoff weight; the root has an arc for
+every word. One traversal from left to right carries the state over a text and adds up log-probabilities;
+the score is exactly that sum, with no cap on states or arcs.
+
+Counting covers all training rows, by 64-bit hashes. Texts are dealt into blocks, and a block tells each part of
+the model the words and pairs that it holds, with their counts in training rows. A part adds up what all
+blocks tell it and answers each block with the totals of that block's own words and pairs, so counting and
+asking are one exchange. What the arcs of a state leave over is added up by history in a second, small one.
+Pairs are dealt by both words, so a frequent history meets nowhere; the model stays distributed and each task
+has the automaton of its own block only.
 """
 
 from __future__ import annotations
@@ -27,114 +24,57 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, checkpointed, signed, u64
+from .common import as_bytes, checkpointed, u64
+from .sharding import scattered
 
-#: A word pair seen so often can become an arc, whatever the input's size.
+#: A word pair seen so often is an arc, whatever the input's size.
 LEAST = 2
-#: No share of the tokens is asked of a word or a pair besides.
-WORD_SHARE = ARC_SHARE = 0.0
-#: An arc stays if it raises the log10 likelihood of its pairs by this much in all.
-ARC_GAIN = 3.0
 DISCOUNT = 0.5
 #: Added to each count of the root.
 ADD = 0.1
 BLOCK_BYTES = 8 << 20
 PART_BYTES = 16 << 20
+#: Stand for a text's end and start: no word holds a space.
+END, START = b" end", b" start"
 
 
-#: No word holds a space, so the end token is none of them.
-END_HASH = xxhash.xxh64_intdigest(b" end", 17)
-#: The history of a text's first token.
-START_HASH = xxhash.xxh64_intdigest(b" start", 17)
-#: Keys that one step of counting holds before they are packed.
-HELD = 1 << 21
+def hashed(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 17)
 
 
-class Tokens:
-    """Hashed tokens of texts, an end after each; remembers the hashes of words it has seen."""
+START_HASH = np.uint64(hashed(START))
+NAMES = ("words", "totals", "pairs", "counts", "states", "backoffs")
+ANSWER = "part long, block long, " + ", ".join(f"{c} binary" for c in NAMES)
+
+
+class Numbers(dict):
+    """Numbers words in the order in which they are met; 0 is the end, 1 the start."""
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-
-    def hashes(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(token hashes of all texts, number of tokens of each)."""
-        known, out, sizes = self.known, [], []
-        if len(known) > 300_000:
-            known.clear()
-        for t in texts:
-            words = t.lower().split()
-            for w in words:
-                h = known.get(w)
-                if h is None:
-                    h = known[w] = xxhash.xxh64_intdigest(w, 17)
-                out.append(h)
-            out.append(END_HASH)
-            sizes.append(len(words) + 1)
-        return u64(out), np.array(sizes, dtype=np.int64)
-
-
-def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    key, count = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(key, kind="stable")
-    key, count = key[order], count[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-    return key[first], np.add.reduceat(count, first) if len(first) else count
-
-
-def packed(keys: np.ndarray, counts: np.ndarray, n_parts: int, names: list[str]) -> pa.RecordBatch:
-    """One row for each part: sorted keys and their counts as bytes."""
-    part = (keys >> np.uint64(1)) % np.uint64(n_parts)
-    order = np.lexsort((keys, part))
-    keys, counts, part = keys[order], counts[order], part[order]
-    at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-    cuts = [*at, len(part)]
-    rows = [(int(part[a]), keys[a:z].tobytes(), counts[a:z].astype(np.int64).tobytes()) for a, z in zip(cuts, cuts[1:])]
-    return pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], pa.schema([(names[0], pa.int64()), (names[1], pa.binary()), (names[2], pa.binary())]))
-
-
-def numbers(raw: bytes, kind=np.uint64) -> np.ndarray:
-    return np.frombuffer(raw, dtype=kind)
-
-
-def counted(texts: DataFrame, n_parts: int, of_batch) -> DataFrame:
-    """(part, keys, counts): what ``of_batch`` counts in the texts, added up over all tasks."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, keys, counts, held = Tokens(), [], [], 0
-        for whole in batches:
-            for b in byte_slices(whole, "text"):
-                k, c = of_batch(tokens, as_bytes(b.column("text")))
-                keys.append(k)
-                counts.append(c)
-                held += len(k)
-                if held > 1 << 20:
-                    k, c = merged(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > 1 << 19:
-                        yield packed(k, c, n_parts, ["part", "keys", "counts"])
-                        keys, counts, held = [], [], 0
-        if keys:
-            yield packed(*merged(keys, counts), n_parts, ["part", "keys", "counts"])
-
-    def add(t: pa.Table) -> pa.Table:
-        k, c = merged([numbers(x) for x in t["keys"].to_pylist()], [numbers(x, np.int64) for x in t["counts"].to_pylist()])
-        return pa.table({"part": t["part"][:1], "keys": pa.array([k.tobytes()]), "counts": pa.array([c.tobytes()])})
-
-    schema = "part long, keys binary, counts binary"
-    return texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-
-
-def sums(table: DataFrame) -> tuple[int, int]:
-    """(sum of counts, number of keys)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = [numbers(x, np.int64) for x in b.column("counts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([int(sum(x.sum() for x in c))]), pa.array([sum(map(len, c))])], ["n", "v"])
+        super().__init__({END: 0, START: 1})
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(numbers of each text's tokens, from start to end; the hash of each number's word)."""
+    numbers = Numbers()
+    get = numbers.__getitem__
+    out = [np.array([1, *map(get, t.lower().split()), 0], dtype=np.int64) for t in texts]
+    return out, u64([hashed(w) for w in numbers])
+
+
+def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One hash of each pair."""
+    with np.errstate(over="ignore"):
+        x = history * np.uint64(0x9E3779B97F4A7C15) + word
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
 
-    n, v = table.mapInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
-    return n or 0, v or 0
+def read(cells: list[bytes | None], kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(x or b"" for x in cells), dtype=kind)
 
 
 def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -145,149 +85,146 @@ def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(table[at] == values, at, -1)
 
 
-def looked_up(keys: list[bytes], values: list[bytes], kind=np.int64) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their values, of answers that may repeat a key."""
-    key, at = np.unique(numbers(b"".join(keys)), return_index=True)
-    return key, numbers(b"".join(values), kind)[at]
+def runs(part: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, dict[int, slice]]:
+    """(an order by part, where each part that occurs is in it)."""
+    order = np.lexsort((*then, part))
+    own, starts = np.unique(part[order], return_index=True)
+    return order, {int(p): slice(a, z) for p, a, z in zip(own, starts, [*starts[1:], len(part)])}
+
+
+def told(t: pa.Table, n_parts: int) -> pa.Table:
+    """What one block tells the parts: its words and pairs with their counts in training rows."""
+    texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
+    sizes = np.array([len(x) for x in texts])
+    token, training = np.concatenate(texts), np.repeat(t["training"].to_numpy().astype(np.int64), sizes)
+    counts = np.bincount(token, training, len(hashes)).astype(np.int64)
+    inner = np.flatnonzero(token != 1)  # tokens that have one before them
+    pair, which = np.unique(token[inner - 1] * len(hashes) + token[inner], return_inverse=True)
+    pair_counts = np.bincount(which, training[inner], len(pair)).astype(np.int32)
+    u, w = hashes[pair // len(hashes)], hashes[pair % len(hashes)]
+    order, words_of = runs(hashes % np.uint64(n_parts))
+    hashes, counts = hashes[order], counts[order]
+    order, pairs_of = runs(pair_keys(u, w) % np.uint64(n_parts), u)
+    u, w, pair_counts = u[order], w[order], pair_counts[order]
+    none = slice(0, 0)
+    parts = sorted({*words_of, *pairs_of})
+    cells = {
+        "words": [hashes[words_of.get(p, none)] for p in parts], "word_counts": [counts[words_of.get(p, none)] for p in parts],
+        "u": [u[pairs_of.get(p, none)] for p in parts], "w": [w[pairs_of.get(p, none)] for p in parts], "pair_counts": [pair_counts[pairs_of.get(p, none)] for p in parts],
+    }
+    block = t["block"][0].as_py()
+    return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), **{c: pa.array([x.tobytes() for x in v], pa.binary()) for c, v in cells.items()}})
+
+
+def answered(t: pa.Table) -> pa.Table:
+    """What one part answers: to each block the totals of its words and of its arcs; with block -1 the part's
+    number of tokens and words; with block -2 what its arcs take of their histories."""
+    part, cells = t["part"][0].as_py(), {c: t[c].to_pylist() for c in ("words", "word_counts", "u", "w", "pair_counts")}
+    words, which = np.unique(read(cells["words"]), return_inverse=True)
+    totals = np.bincount(which, read(cells["word_counts"], np.int64), len(words)).astype(np.int64)
+    u = read(cells["u"])
+    pairs, first, which_pair = np.unique(pair_keys(u, read(cells["w"])), return_index=True, return_inverse=True)
+    counts = np.bincount(which_pair, read(cells["pair_counts"], np.int32), len(pairs)).astype(np.int64)
+    arcs = counts >= LEAST
+    own = words != START_HASH
+    histories, of = np.unique(u[first[arcs]], return_inverse=True)
+    taken = np.bincount(of, counts[arcs] - DISCOUNT, len(histories))
+    rows = [
+        (part, -1, b"", np.array([totals[own].sum(), (totals[own] > 0).sum()]).tobytes(), b"", b"", b"", b""),
+        (part, -2, b"", b"", b"", b"", histories.tobytes(), taken.tobytes()),
+    ]
+    a = b = 0
+    for block, x, y in zip(t["block"].to_pylist(), cells["words"], cells["u"]):
+        at, pair_at = which[a : a + len(x) // 8], which_pair[b : b + len(y) // 8]
+        a, b = a + len(at), b + len(pair_at)
+        at, pair_at = at[totals[at] > 0], pair_at[arcs[pair_at]]
+        rows.append((part, block, words[at].tobytes(), totals[at].tobytes(), pairs[pair_at].tobytes(), counts[pair_at].tobytes(), b"", b""))
+    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 6))], ["part", "block", *NAMES])
+
+
+def left_over(asked: pa.Table, taken: pa.Table) -> pa.Table:
+    """Backoff weights of the words that a part has told to each block: what their arcs leave over."""
+    states, which = np.unique(read(taken["states"].to_pylist()), return_inverse=True)
+    mass = np.bincount(which, read(taken["backoffs"].to_pylist(), np.float64), len(states))
+    out = []
+    for raw, totals in zip(asked["words"].to_pylist(), asked["totals"].to_pylist()):
+        words = read([raw])
+        at = place(states, words)
+        some = at >= 0
+        out.append((words[some].tobytes(), (1 - mass[at[some]] / read([totals], np.int64)[some]).tobytes()))
+    empty = pa.array([b""] * len(out), pa.binary())
+    return pa.table([asked["part"], asked["block"], empty, empty, empty, empty, pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["part", "block", *NAMES])
+
+
+def train(blocks: DataFrame, n_parts: int) -> tuple[DataFrame, int, int]:
+    """(answers to the blocks, number of training tokens, number of distinct ones). ``blocks``: (block, text, training)."""
+    tells = blocks.groupBy("block").applyInArrow(lambda t: told(t, n_parts), "part long, block long, words binary, word_counts binary, u binary, w binary, pair_counts binary")
+    answers = checkpointed(tells.groupBy("part").applyInArrow(answered, ANSWER))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = read(b.column("totals").to_pylist(), np.int64).reshape(-1, 2).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[0])]), pa.array([int(x[1])])], ["n", "v"])
 
+    n, v = answers.where("block = -1").mapInArrow(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    # arcs are dealt by both words, their histories by themselves
+    histories = answers.where("block = -2").mapInArrow(lambda batches: dealt(batches, n_parts), "part long, states binary, backoffs binary")
+    asked = answers.where("block >= 0").select("part", "block", "words", "totals")
+    weights = asked.groupBy("part").cogroup(histories.groupBy("part")).applyInArrow(left_over, ANSWER)
+    return answers.where("block >= 0").union(weights), n or 0, v or 0
 
-def histories(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The token before each token; START_HASH before the first of a text."""
-    before = np.r_[np.uint64(0), h[:-1]] if len(h) else h
-    before[np.cumsum(sizes) - sizes] = START_HASH
-    return before
 
+def dealt(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Histories and what arcs take of them, sent to the parts that own the histories as words."""
+    for b in batches:
+        states, taken = read(b.column("states").to_pylist()), read(b.column("backoffs").to_pylist(), np.float64)
+        order, of = runs(states % np.uint64(n_parts))
+        states, taken = states[order], taken[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(of), pa.int64()), *(pa.array([x[s].tobytes() for s in of.values()], pa.binary()) for x in (states, taken))], ["part", "states", "backoffs"],
+        )
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One hash of each pair."""
-    with np.errstate(over="ignore"):
-        return history * np.uint64(0x9E3779B97F4A7C15) + word
-
-
-def merged_pairs(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs and the sums of their counts."""
-    key = pair_keys(u, w)
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, dtype=np.int64)
-    return u[order[first]], w[order[first]], np.add.reduceat(c[order], first) if len(first) else c
-
-
-def counted_pairs(texts: DataFrame, n_parts: int) -> DataFrame:
-    """(part, u, w, counts): the pairs seen ``LEAST`` times or more, dealt like the words by their history."""
-    schema = "part long, u binary, w binary, counts binary"
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, parts, held = Tokens(), [], 0
-
-        def flush(u: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            part = (u >> np.uint64(1)) % np.uint64(n_parts)
-            order = np.lexsort((u, part))
-            u, w, c, part = u[order], w[order], c[order], part[order]
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, dtype=np.int64)
-            cuts = list(zip(starts, [*starts[1:], len(part)]))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(part[starts].astype(np.int64)), *(pa.array([x[a:z].tobytes() for a, z in cuts], pa.binary()) for x in (u, w, c))],
-                ["part", "u", "w", "counts"],
-            )
-
-        for whole in batches:
-            for b in byte_slices(whole, "text"):
-                h, sizes = tokens.hashes(as_bytes(b.column("text")))
-                parts.append(merged_pairs(histories(h, sizes), h, np.ones(len(h), dtype=np.int64)))
-                held += len(parts[-1][0])
-                if held > HELD:
-                    parts = [merged_pairs(*(np.concatenate(x) for x in zip(*parts)))]
-                    held = len(parts[0][0])
-                    if held > HELD // 2:
-                        yield flush(*parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield flush(*merged_pairs(*(np.concatenate(x) for x in zip(*parts))))
-
-    def add(t: pa.Table) -> pa.Table:
-        u, w, c = merged_pairs(*(numbers(b"".join(t[x].to_pylist()), kind) for x, kind in (("u", np.uint64), ("w", np.uint64), ("counts", np.int64))))
-        many = c >= LEAST
-        return pa.table({"part": t["part"][:1], **{x: pa.array([v[many].tobytes()], pa.binary()) for x, v in (("u", u), ("w", w), ("counts", c))}})
-
-    return texts.mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-
-
-def answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    """Only known words of a question come back."""
-    table = numbers(counts["keys"][0].as_py()) if counts.num_rows else u64([])
-    have = numbers(counts["counts"][0].as_py(), np.int64) if counts.num_rows else np.empty(0, dtype=np.int64)
-    blocks, keys, found = [], [], []
-    for x, raw in zip(asked["block"].to_pylist(), asked["keys"].to_pylist()):
-        k = numbers(raw)
-        at = place(table, k)
-        blocks.append(x)
-        keys.append(k[at >= 0].tobytes())
-        found.append(have[at[at >= 0]].tobytes())
-    return pa.table({"block": pa.array(blocks, pa.int64()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(found, pa.binary())})
-
-
-def settled(pairs: DataFrame, root: DataFrame, n: int, v: int, n_parts: int) -> DataFrame:
-    """(part, arcs, logs, states, backoffs): each kept arc by its pair's key, discounted, and what a state's
-    arcs leave over for its failure arc."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part, u, w in zip(*(b.column(x).to_pylist() for x in ("part", "u", "w"))):
-                keys = np.unique(np.concatenate([numbers(u), numbers(w), u64([END_HASH])]))
-                out = packed(keys, np.zeros(len(keys), dtype=np.int64), n_parts, ["part", "keys", "counts"])
-                yield pa.RecordBatch.from_arrays([out.column(0), pa.array([part] * out.num_rows, pa.int64()), out.column(1)], ["part", "block", "keys"])
-
-    def settle(t: pa.Table, known: pa.Table) -> pa.Table:
-        u, w, k = (numbers(b"".join(t[x].to_pylist()), kind) for x, kind in (("u", np.uint64), ("w", np.uint64), ("counts", np.int64)))
-        keys, counts = looked_up(known["keys"].to_pylist(), known["counts"].to_pylist())
-        count = lambda x: counts[place(keys, x)]
-        # a text starts as often as it ends
-        total = count(np.where(u == np.uint64(START_HASH), np.uint64(END_HASH), u)) if len(u) else k
-        base = np.log10(((count(w) if len(w) else k) + ADD) / (n + ADD * (v + 1)))
-        share = (k - DISCOUNT) / total
-        keep = (k * (np.log10(share) - base) > ARC_GAIN) & (share > 10**base)
-        u, w, share, base = u[keep], w[keep], share[keep], base[keep]
-        states, of = np.unique(u, return_inverse=True)
-        backoff = np.log10((1 - np.bincount(of, share, len(states))) / (1 - np.bincount(of, 10**base, len(states))))
-        key = pair_keys(u, w)
-        order = np.argsort(key)
-        columns = {"arcs": key[order], "logs": np.log10(share[order]), "states": states, "backoffs": backoff}
-        return pa.table({"part": t["part"][:1], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}})
-
-    asked = pairs.mapInArrow(ask, "part long, block long, keys binary")
-    answers = asked.groupBy("part").cogroup(root.groupBy("part")).applyInArrow(answer, "block long, keys binary, counts binary")
-    known = pairs.where(F.octet_length("u") > 0).groupBy("part").cogroup(answers.groupBy("block"))
-    return known.applyInArrow(lambda t, k: settle(t, k) if t.num_rows else NO_ARCS, "part long, arcs binary, logs binary, states binary, backoffs binary")
-
-
-NO_ARCS = pa.table({"part": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("arcs", "logs", "states", "backoffs")}})
-
-
-def train(texts: DataFrame, n_parts: int) -> tuple[DataFrame, int, int]:
-    """The automaton as a distributed table (part, keys, counts, arcs, logs, states, backoffs), with a row for
-    the root's arcs of a part and one for what is above it; the number of tokens and of words."""
-
-    def words(tokens: Tokens, batch: list[bytes]):
-        return np.unique(tokens.hashes(batch)[0], return_counts=True)
-
-    root = checkpointed(counted(texts, n_parts, words))
-    n, v = sums(root)
-    above = settled(checkpointed(counted_pairs(texts, n_parts)), root, n, v, n_parts)
-    return root.unionByName(checkpointed(above), allowMissingColumns=True), n, v
-
-
-def walk(h: np.ndarray, sizes: np.ndarray, base: np.ndarray, arcs, logs, states, backoffs) -> np.ndarray:
-    """log10 probability of each text: one left-to-right traversal.
-
-    The state after a token is that token's own state, or the root, so all steps of the traversal are
-    known at once and are taken as one array operation."""
-    before = histories(h, sizes)
-    arc = place(arcs, pair_keys(before, h))
-    fail = np.r_[backoffs, 0.0][place(states, before)] + base
-    step = np.where(arc >= 0, np.r_[logs, 0.0][arc], fail)
-    starts = np.cumsum(sizes) - sizes
-    return np.add.reduceat(step, starts) if len(starts) else np.zeros(0)
+
+class Automaton:
+    """The automaton of one block's words; a state's number is that of its word, -1 is the root.
+
+    ``arcs[state * width + word]`` is an arc's log10 probability; taking it leads to the word's own state, or
+    to the root if it has none. The root's arcs are ``root[word]``.
+    """
+
+    def __init__(self, hashes: np.ndarray, texts: list[np.ndarray], answers: pa.Table, n: int, v: int):
+        cells = {c: answers[c].to_pylist() for c in NAMES}
+        words, at = np.unique(read(cells["words"]), return_index=True)
+        counts = np.r_[read(cells["totals"], np.int64)[at], 0][place(words, hashes)]
+        states, at = np.unique(read(cells["states"]), return_index=True)
+        at_state = place(states, hashes)
+        backoff = np.r_[read(cells["backoffs"], np.float64)[at], 1.0][at_state]
+        base = (counts + ADD) / (n + ADD * (v + 1))
+        self.width = len(hashes)
+        pair = np.unique(np.concatenate([x[:-1] * self.width + x[1:] for x in texts]))
+        u, w = pair // self.width, pair % self.width
+        keys, at = np.unique(read(cells["pairs"]), return_index=True)
+        at_arc = place(keys, pair_keys(hashes[u], hashes[w]))
+        pair, u, w, k = (x[at_arc >= 0] for x in (pair, u, w, np.r_[read(cells["counts"], np.int64)[at], 0][at_arc]))
+        # interpolated: an arc holds its discounted share and the root's part of what is left over
+        logs = np.log10((k - DISCOUNT) / counts[u] + backoff[u] * base[w])
+        self.counts, self.base = counts, np.log10(base)
+        self.arcs = dict(zip(pair.tolist(), logs.tolist()))
+        self.root = self.base.tolist()
+        self.fails = np.log10(np.maximum(backoff, 1e-300)).tolist()
+        self.state = np.where(at_state >= 0, np.arange(self.width), -1).tolist()
+
+    def traverse(self, tokens: list[int]) -> float:
+        """log10 probability of a text's tokens; the first is the start."""
+        arcs, root, fails, own, width = self.arcs.get, self.root, self.fails, self.state, self.width
+        state, total = own[tokens[0]], 0.0
+        for word in tokens[1:]:
+            step = arcs(state * width + word) if state >= 0 else root[word]
+            if step is None:  # the failure arc, then the root's own
+                step = fails[state] + root[word]
+            total += step
+            state = own[word]
+        return total
 
 
 def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -296,98 +233,34 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
 
     Words are split at ASCII white space, A-Z in lower case, and each text ends with one end token; a
     null text is empty. With no training row at all, N is 0 and every word is unknown. Rows with equal
-    ids keep a row each. Columns besides the two named are not read.
+    ids keep a row each, rows alike in all columns too. Columns besides the two named are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    source = df.select(F.col(id_col).alias("id"), text.alias("text"), training.alias("training"))
-    total = source.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n_parts, n_blocks = max(8, -(-total // PART_BYTES)), max(1, -(-total // block_bytes))
-    model, n, v = train(source.where("training").select("text"), n_parts)
-    block = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n_blocks))
-    # one exchange of the texts serves both the questions and the scoring
-    docs = source.select("id", "text", block.alias("block")).repartition("block")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words and pairs of each block, both dealt by the word or the history."""
-        tokens, held, size = Tokens(), {}, 0
-
-        def flush(block: int) -> pa.RecordBatch:
-            words, pairs, owners = (np.concatenate(x) for x in zip(*held.pop(block)))
-            words = np.unique(np.r_[words, np.uint64(START_HASH)])
-            pairs, at = np.unique(pairs, return_index=True)
-            rows = []
-            for keys, part in ((words, (words >> np.uint64(1)) % np.uint64(n_parts)), (pairs, owners[at])):
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-                rows.append([keys[order[a:z]].tobytes() for a, z in zip(cuts, cuts[1:])])
-            some = [i for i, (k, p) in enumerate(zip(*rows)) if k or p]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int64()), pa.array([block] * len(some), pa.int64()), *(pa.array([r[i] for i in some], pa.binary()) for r in rows)],
-                ["part", "block", "keys", "pairs"],
-            )
-
-        for whole in batches:
-            for b in byte_slices(whole, "text"):
-                blocks = b.column("block").to_numpy()
-                h, sizes = tokens.hashes(as_bytes(b.column("text")))
-                before, own = histories(h, sizes), np.repeat(blocks, sizes)
-                for x in np.unique(blocks).tolist():
-                    u, w = before[own == x], h[own == x]
-                    pairs, at = np.unique(pair_keys(u, w), return_index=True)
-                    held.setdefault(x, []).append((np.unique(w), pairs, (u[at] >> np.uint64(1)) % np.uint64(n_parts)))
-                    size += len(pairs)
-                if size > HELD:
-                    for x in list(held):
-                        yield flush(x)
-                    size = 0
-        for x in list(held):
-            yield flush(x)
-
-    names = ("keys", "counts", "arcs", "logs", "states", "backoffs")
-
-    def answers_of(asked: pa.Table, part: pa.Table) -> pa.Table:
-        """What the model holds of a question's words and pairs comes back."""
-        have = {c: numbers(b"".join(x or b"" for x in part[c].to_pylist()), np.int64 if c == "counts" else np.float64 if c in ("logs", "backoffs") else np.uint64) for c in names}
-        out = {c: [] for c in names}
-        for words, pairs in zip(asked["keys"].to_pylist(), asked["pairs"].to_pylist()):
-            for raw, key, value in ((words, "keys", "counts"), (pairs, "arcs", "logs"), (words, "states", "backoffs")):
-                k = numbers(raw)
-                at = place(have[key], k)
-                out[key].append(k[at >= 0].tobytes())
-                out[value].append(have[value][at[at >= 0]].tobytes())
-        return pa.table({"block": asked["block"], **{c: pa.array(x, pa.binary()) for c, x in out.items()}})
-
-    questions = docs.mapInArrow(ask, "part long, block long, keys binary, pairs binary")
-    answers = questions.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(answers_of, "block long, " + ", ".join(f"{c} binary" for c in names))
+    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    tagged, _, n_blocks = scattered(source, 3, block_bytes)
+    docs = tagged.select(F.col("_gl_bucket").alias("block"), "id", "text", "training")
+    answers, n, v = train(docs.select("block", "text", "training"), max(8, n_blocks * block_bytes // PART_BYTES))
     kind = source.schema["id"].dataType.simpleString()
 
-    def score(texts: pa.Table, model_rows: pa.Table) -> pa.Table:
-        tokens = Tokens()
-        own = {c: model_rows[c].to_pylist() for c in names}
-        keys, counts = looked_up(own["keys"], own["counts"])
-        arcs, logs = looked_up(own["arcs"], own["logs"], np.float64)
-        states, backoffs = looked_up(own["states"], own["backoffs"], np.float64)
-        out = []
-        for whole in texts.to_batches():
-            for b in byte_slices(whole, "text"):
-                h, sizes = tokens.hashes(as_bytes(b.column("text")))
-                c = np.r_[counts, 0][place(keys, h)]
-                base = np.log10((c + ADD) / (n + ADD * (v + 1)))
-                starts = np.cumsum(sizes) - sizes
-                scores = walk(h, sizes, base, arcs, logs, states, backoffs)
-                out.append(pa.RecordBatch.from_arrays(
-                    [b.column("id"), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)),
-                     pa.array(np.full(len(sizes), n)), pa.array(np.add.reduceat(base, starts)), pa.array(scores)],
-                    ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                ))
-        return pa.Table.from_batches(out, pa.schema([("id", texts.schema.field("id").type), *((x, pa.int64()) for x in ("n_tokens", "n_known", "train_tokens")), ("base_score", pa.float64()), ("score", pa.float64())]))
+    def score(t: pa.Table, told: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table([pa.array([], f.type) for f in [t.schema.field("id"), *LAST]], ["id", *(f.name for f in LAST)])
+        texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
+        automaton, rows = Automaton(hashes, texts, told, n, v), []
+        for x in texts:
+            words = x[1:]
+            rows.append((len(words), int((automaton.counts[words] > 0).sum()), n, float(automaton.base[words].sum()), automaton.traverse(x.tolist())))
+        return pa.table([t["id"], *(pa.array(c, f.type) for c, f in zip(zip(*rows), LAST))], ["id", *(f.name for f in LAST)])
 
     schema = f"id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+    out = docs.select("block", "id", "text").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
+LAST = [pa.field(c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")] + [pa.field(c, pa.float64()) for c in ("base_score", "score")]
+
+
 def op2_lm_scoring(docs: DataFrame) -> DataFrame:
+    """Every row, scored by a model of the rows whose id's CRC has a remainder other than 0; a null id trains and is not held out."""
     remainder = F.crc32(F.col("doc_id").cast("string")) % 10
     held_out = F.coalesce(remainder == 0, F.lit(False))
     out = score_documents(docs, ~held_out)

@@ -27,8 +27,8 @@ BUCKET_BYTES = 16 << 20
 RUN = 1024
 
 
-def scattered(df: DataFrame, seed: int, bucket_bytes: int, text_col: str = "text") -> tuple[DataFrame, int]:
-    """(``df`` with _gl_bucket and the keys that order a bucket's rows: _gl_key, _gl_tie; number of rows)."""
+def scattered(df: DataFrame, seed: int, bucket_bytes: int, text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """(``df`` with _gl_bucket and the keys that order a bucket's rows: _gl_key, _gl_tie; number of rows; of buckets)."""
     size = F.coalesce(F.octet_length(text_col), F.lit(0)) + 1
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
     n_buckets = max(1, -(-total // bucket_bytes))
@@ -45,7 +45,7 @@ def scattered(df: DataFrame, seed: int, bucket_bytes: int, text_col: str = "text
     else:
         keyed = keyed.withColumn("_gl_row", F.lit(None).cast("long"))
     bucket = F.pmod(F.xxhash64("_gl_key", "_gl_row"), F.lit(n_buckets))
-    return keyed.select(*df.columns, bucket.alias("_gl_bucket"), "_gl_key", "_gl_tie"), n
+    return keyed.select(*df.columns, bucket.alias("_gl_bucket"), "_gl_key", "_gl_tie"), n, n_buckets
 
 
 def permutations(buckets: DataFrame, seed: int) -> DataFrame:
@@ -78,7 +78,7 @@ def shard_documents(df: DataFrame, n_shards: int = 8, seed: int = 20_240_601, bu
     rerun must find again: give it a table that is read from files or checkpointed.
     """
     df = df.select(*(c for c in df.columns if c.lower() not in ("shard", "slot")))
-    tagged, n = scattered(df, seed, bucket_bytes, text_col)
+    tagged, n, _ = scattered(df, seed, bucket_bytes, text_col)
     places = permutations(tagged.groupBy("_gl_bucket").count(), seed)
     rank = F.row_number().over(Window.partitionBy("_gl_bucket").orderBy("_gl_key", "_gl_tie"))
     placed = tagged.withColumn("_gl_rank", rank).join(places, "_gl_bucket")

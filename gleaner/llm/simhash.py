@@ -7,8 +7,8 @@ together, add up differing bits and stop as soon as the budget is exceeded. Of t
 a spanning forest leaves the task, never all pairs of a group; components are then joined by
 alternating star steps whose state is checkpointed.
 
-A cell with more than ``cell_rows`` members (large groups of near copies) is cut into chunks by hash,
-and every pair of chunks is a cell of its own, so that no task holds an unbounded group.
+A cell with more than ``cell_rows`` members is dealt once more by runs of its other bits; what is still as large is
+cut into chunks by hash, and every pair of chunks is a cell of its own, so that no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, byte_slices, checkpointed, sent_whole, signed, u64
+from .common import as_bytes, byte_slices, checkpointed, in_small_batches, sent_whole, signed, u64
 
 SEED = 42
 CELL_ROWS = 2048
@@ -66,16 +66,17 @@ def fingerprints(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: st
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = u64([fingerprint(shingle_hashes(t, k)) for t in as_bytes(b.column(1))])
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(fp)], ["id", "fp"])
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                fp = u64([fingerprint(shingle_hashes(t, k)) for t in as_bytes(b.column("text"))])
+                yield pa.RecordBatch.from_arrays([b.column(0), signed(fp)], ["id", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, fp long")
+    return in_small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, fp long")
 
 
-def runs_of_bits(budget: int) -> list[tuple[int, int]]:
-    """(shift, width) of budget+1 runs that cover 64 bits."""
-    cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
+def runs_of_bits(budget: int, bits: int = 64) -> list[tuple[int, int]]:
+    """(shift, width) of budget+1 runs that cover the lowest ``bits``."""
+    cuts = [bits * i // (budget + 1) for i in range(budget + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -107,27 +108,6 @@ class Forest:
         return np.concatenate(self.joins, axis=1) if self.joins else np.empty((2, 0), dtype=np.int64)
 
 
-def lightest(n: int, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the links of a spanning forest of least weight over 0..n-1.
-
-    Whatever hangs together by links up to some weight hangs together by the forest's links up to it.
-    """
-    root, kept = np.arange(n), []
-    for weight in np.unique(w):
-        at = np.flatnonzero(w == weight)
-        while len(at):
-            rx, ry = root[x[at]], root[y[at]]
-            at, rx, ry = (v[rx != ry] for v in (at, rx, ry))
-            if not len(at):
-                break
-            high, first = np.unique(np.maximum(rx, ry), return_index=True)
-            root[high] = np.minimum(rx, ry)[first]
-            kept.append(at[first])
-            while not np.array_equal(root, up := root[root]):
-                root = up
-    return np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
-
-
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within ``budget`` bits inside each run [start, end) of ``values``, sorted inside the run.
 
@@ -194,22 +174,23 @@ def by_cell(batches: Iterator[pa.RecordBatch], joined: Callable[[pa.Table], pa.R
         yield joined(pa.Table.from_batches(held).combine_chunks())
 
 
-def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Links (a, b) that join what is near: a spanning forest of each cell.
+def cell_links(rows: DataFrame, budget: int, cell_rows: int | None = CELL_ROWS) -> DataFrame:
+    """Links (a, b) that join what is within ``budget`` bits: a spanning forest of each cell.
 
-    ``rows``: (cell long, id long, fp long[, sig binary]). With ``most`` ids whose signatures differ in more bits are
-    not linked.
+    ``rows``: (cell long, id long, fp long). Cells of more than ``cell_rows`` rows are cut into chunks, and each pair
+    of chunks is a cell; None: no cell is so large.
     """
-    sized = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
-    chunks = F.coalesce(F.ceil(F.col("n") / cell_rows), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
-    dealt = (
-        rows.join(sized, "cell", "left").withColumn("chunks", chunks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .withColumn("cell", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
-        .select(*rows.columns)
-    )
-    parted = dealt.repartition("cell").sortWithinPartitions("cell", "fp", "id")
+    if cell_rows:
+        sized = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows)
+        chunks = F.coalesce(F.ceil(F.col("n") / cell_rows), F.lit(1)).cast("int")
+        mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int")
+        rows = (
+            rows.join(sized, "cell", "left").withColumn("chunks", chunks).withColumn("mine", mine)
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            .withColumn("cell", F.xxhash64("cell", F.least("mine", "other"), F.greatest("mine", "other")))
+            .select(*rows.columns)
+        )
+    parted = rows.repartition("cell").sortWithinPartitions("cell", "fp", "id")
 
     def joined(t: pa.Table) -> pa.RecordBatch:
         cell, ids = t["cell"].to_numpy(), t["id"].to_numpy()
@@ -221,14 +202,8 @@ def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows:
         # signed order in the cells: sort each run anew as unsigned
         order = np.lexsort((values, cell))
         values, ids = values[order], ids[order]
-        sig = None if most is None else np.frombuffer(b"".join(t["sig"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)[order]
         forest = Forest(len(ids))
         for x, y in trie_pairs(values, starts, ends, budget):
-            if sig is not None:
-                apart = forest.root[x] != forest.root[y]
-                x, y = x[apart], y[apart]
-                near = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64) <= most
-                x, y = x[near], y[near]
             forest.add(x, y)
         a, b = forest.links()
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
@@ -236,7 +211,23 @@ def cell_links(rows: DataFrame, budget: int, most: int | None = None, cell_rows:
     return parted.mapInArrow(lambda batches: by_cell(batches, joined), "a long, b long").where("a <> b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def run_cells(prints: DataFrame, budget: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(cell, id, fp) of distinct fingerprints (id, fp): a cell for each run of bits and its value.
+
+    Members of a cell differ in the other bits only, so a cell of more than ``cell_rows`` members is dealt once more,
+    by runs of those: ``budget + 1`` rows for each of its members, however many there are.
+    """
+    rest = lambda s, w: F.shiftrightunsigned("fp", s + w).bitwiseOR(F.shiftleft("fp", 64 - s - w)) if s + w < 64 else F.col("fp")
+    key = lambda i, x, s, w: F.xxhash64(F.lit(i), F.shiftrightunsigned(x, s).bitwiseAND((1 << w) - 1))
+    first = F.array(*(F.struct(key(i, "fp", s, w).alias("cell"), rest(s, w).alias("rest"), F.lit(64 - w).alias("bits")) for i, (s, w) in enumerate(runs_of_bits(budget))))
+    rows = checkpointed(prints.select("id", "fp", F.inline(first)))
+    large = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select("cell", F.lit(True).alias("large"))
+    cut = lambda bits: F.array(*(key(i, "rest", s, w) for i, (s, w) in enumerate(runs_of_bits(budget, bits))))
+    finer = F.transform(F.when(F.col("bits") == 64 - 64 // (budget + 1), cut(64 - 64 // (budget + 1))).otherwise(cut(63 - 64 // (budget + 1))), lambda c: F.xxhash64("cell", c))
+    return rows.join(sent_whole(checkpointed(large)), "cell", "left").select(F.explode(F.when(F.col("large"), finer).otherwise(F.array("cell"))).alias("cell"), "id", "fp")
+
+
+def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id that links reach. Ids without a link are not in the result.
 
     Alternating large-star and small-star steps; each round is checkpointed, and rounds end when the
@@ -244,14 +235,14 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """
     now = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         now = checkpointed(small.select("v", "m").where("v > m").union(low.select("u", "m")).toDF("u", "v").distinct())
-        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 31)))).first()
         if seen == state or not seen[0]:
             break
         state = seen
@@ -266,8 +257,7 @@ def simhash_components(df: DataFrame, k: int = 3, budget: int = 2, id_col: str =
     """
     prints = checkpointed(fingerprints(df, k, id_col, text_col))
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    cells = F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)) for i, (s, w) in enumerate(runs_of_bits(budget))))
-    rows = distinct.select(F.explode(cells).alias("cell"), F.col("fp").alias("id"), "fp")
+    rows = run_cells(distinct.select(F.col("fp").alias("id"), "fp"), budget)
     found = components(cell_links(rows, budget)).select(F.col("id").alias("fp"), "component")
     named = distinct.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -276,6 +266,7 @@ def simhash_components(df: DataFrame, k: int = 3, budget: int = 2, id_col: str =
 
 
 def op8_simhash(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; null and wordless texts have fingerprint zero and are one component."""
     out = simhash_components(docs)
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -286,13 +277,15 @@ def op8_simhash(docs: DataFrame) -> DataFrame:
 #: 1 - (1 - s^BAND_HASHES)^BANDS: 0.9998 at 0.8, whatever the kind of edit.
 BANDS = 16
 BAND_HASHES = 4
-SIGNATURE = 2  # words of 64 bits
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Standard deviations of a signature's error beyond which a candidate is excluded without a count.
+#: Standard deviations of a fingerprint's error that the trie's budget allows for.
 DOUBT = 4
 #: Shingles of a component that are counted in one task.
 CELL_SHINGLES = 1 << 20
+#: Members of larger components are compared with so many chosen ones before the rest is compared with all.
+PIVOTS = 3
+BROADCAST_BYTES = 64 << 20
 #: One odd factor for each smallest hash.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + ONE
 
@@ -310,31 +303,44 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text hash, bands array, sig binary) by the distinct five-word shingles: ``BANDS`` keys find
-    candidates, and ``SIGNATURE`` fingerprints exclude what is far off."""
+    """(id, same, bands array, fp): a hash of the words, ``BANDS`` keys and the SimHash of the distinct five-word shingles."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bands, sigs, same = [], [], []
-            for t in as_bytes(b.column(1)):
-                five = np.unique(shingle_hashes(t, SHINGLE))
-                bands.append(band_keys(five).view(np.int64))
-                sigs.append(u64([fingerprint(mixed(five, s)) for s in range(1, SIGNATURE + 1)]).tobytes())
-                same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED))
-            yield pa.RecordBatch.from_arrays([b.column(0), signed(same), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["id", "same", "bands", "sig"])
+        for whole in batches:
+            for b in byte_slices(whole, "text"):
+                bands, prints, same = [], [], []
+                for t in as_bytes(b.column("text")):
+                    five = np.unique(shingle_hashes(t, SHINGLE))
+                    bands.append(band_keys(five).view(np.int64))
+                    prints.append(fingerprint(mixed(five, 1)))
+                    same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED))
+                yield pa.RecordBatch.from_arrays([b.column("id"), signed(same), pa.array(bands, pa.list_(pa.int64())), signed(prints)], ["id", "same", "bands", "fp"])
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, same long, bands array<long>, sig binary")
+    texts = in_small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
+    return texts.mapInArrow(run, f"id {kind}, same long, bands array<long>, fp long")
 
 
 def most_bits(similarity: float) -> int:
-    """Differing signature bits above which a similarity is excluded.
+    """The trie's budget: differing bits of fingerprints above which a similarity is excluded.
 
     Sets of this Jaccard similarity and equal size differ in a known share of their SimHash bits.
     """
-    bits = 64 * SIGNATURE
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * share + DOUBT * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(64 * share + DOUBT * np.sqrt(64 * share * (1 - share))))
+
+
+def candidate_links(classes: DataFrame, similarity: float, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (a, b) that join candidates, of (id, bands, fp): members of a band's cell within the trie's budget.
+
+    Cells with one member go first. What is in a cell of more than ``cell_rows`` members is linked to its smallest
+    id without a look at the fingerprints: more candidates, which the exact counts have to part again.
+    """
+    cells = classes.select("id", "fp", F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("cell"), "id", "fp")
+    sized = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    live = checkpointed(cells.join(sized, "cell"))
+    stars = live.where((F.col("n") > cell_rows) & (F.col("least") < F.col("id"))).select(F.col("least").alias("a"), F.col("id").alias("b"))
+    return cell_links(live.where(F.col("n") <= cell_rows).select("cell", "id", "fp"), most_bits(similarity), None).union(stars).distinct()
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -351,7 +357,11 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                     ["id", "component", "n", "shingles"],
                 )
 
-    return texts.select("id", "component", "text").mapInArrow(run, f"id {kind}, component long, n long, shingles binary")
+    return in_small_batches(texts.select("id", "component", "text")).mapInArrow(run, f"id {kind}, component long, n long, shingles binary")
+
+
+def as_sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint32) for x in column.to_pylist()]
 
 
 def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.ndarray:
@@ -387,55 +397,92 @@ def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.n
     return np.array(links, dtype=np.int64).reshape(-1, 2).T
 
 
-def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Links (a, b) that join the ids inside each component of the candidates ``links`` exactly as all pairs
-    of this similarity of the five-word shingles do, whichever candidates the forests of the cells kept.
-
-    A component of more than ``cell_shingles`` shingles is cut into chunks by hash, and every pair of chunks is
-    counted by itself.
-    """
-    found = components(links)
-    members = checkpointed(found.union(found.select("component", "component").distinct()).toDF(id_col, "component"))
-    texts = df.select(id_col, text_col).join(sent_whole(members), id_col)
-    sets = checkpointed(shingle_sets(texts.select(F.col(id_col).alias("id"), "component", F.col(text_col).alias("text"))))
-    large = sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles)
-    chunks = F.coalesce(F.ceil(F.col("total") / cell_shingles), F.lit(1)).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(11)), F.col("chunks")).cast("int")
-    dealt = (
-        sets.join(F.broadcast(large), "component", "left").withColumn("chunks", chunks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select(
-            F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"),
-            (F.col("mine") > F.col("other")).cast("int").alias("side"), "id", "shingles",
-        )
-    )
+def linked_in_cells(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of (cell, side, id, shingles) that join each cell's sets as all its pairs do, across its sides if it has two."""
 
     def joined(t: pa.Table) -> pa.RecordBatch:
         cell, side, ids = (t[c].to_numpy() for c in ("cell", "side", "id"))
-        sets = [np.frombuffer(x, dtype=np.uint32) for x in t["shingles"].to_pylist()]
+        sets = as_sets(t["shingles"])
         starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
         pairs = [similar(sets[x:z], side[x:z], similarity) + x for x, z in zip(starts, [*starts[1:], len(cell)]) if z - x > 1]
         a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], ["a", "b"])
 
-    parted = dealt.repartition("cell").sortWithinPartitions("cell", "id")
+    parted = dealt.repartition("cell").sortWithinPartitions("cell", "side", "id")
     return parted.mapInArrow(lambda batches: by_cell(batches, joined), "a long, b long").where("a <> b").distinct()
 
 
+def linked_to_pivots(sets: DataFrame, pivots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pivot of a component and a member of this similarity to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(as_sets(b.column("shingles")), as_sets(b.column("pivot"))):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and both >= similarity * (len(x) + len(y) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    size = pivots.agg(F.coalesce(F.sum(F.octet_length("shingles").cast("long")), F.lit(0))).first()[0]
+    chosen = pivots.select("component", F.col("id").alias("a"), F.col("shingles").alias("pivot"))
+    both = sets.select("component", F.col("id").alias("b"), "shingles").join(F.broadcast(chosen) if size <= BROADCAST_BYTES else chosen, "component")
+    return in_small_batches(both.select("a", "b", "shingles", "pivot")).mapInArrow(run, "a long, b long")
+
+
+def large_links(sets: DataFrame, similarity: float, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Links (a, b) that join the members of large components (id, component, n, shingles) as all their pairs do.
+
+    Members like a chosen one (a pivot) of their component are joined to it and done. The few that are left after some
+    pivots are compared with all members of their component, chunk by chunk, so no task holds a component.
+    """
+    waiting, links = checkpointed(sets.select("id", "component").distinct()), None
+    for _ in range(PIVOTS):
+        first = waiting.groupBy("component").agg(F.min("id").alias("id"))  # a row for each large component
+        pivots = checkpointed(sets.join(sent_whole(checkpointed(first)), ["component", "id"]))
+        hits = checkpointed(linked_to_pivots(sets.join(sent_whole(checkpointed(first.select("component"))), "component", "left_semi"), pivots, similarity))
+        links = hits if links is None else links.union(hits)
+        done = hits.select(F.col("b").alias("id")).union(pivots.select("id")).distinct()
+        waiting = checkpointed(waiting.join(sent_whole(checkpointed(done)), "id", "left_anti"))
+        if waiting.isEmpty():
+            return links
+    left = checkpointed(sets.join(sent_whole(waiting), ["id", "component"], "left_semi"))
+    chunks = lambda df, name: df.groupBy("component").agg(F.ceil(2 * F.sum("n") / cell_shingles).cast("int").alias(name))
+    some = checkpointed(chunks(left, "rest").join(chunks(sets, "all"), "component"))  # a row for each component with a rest
+    mine = lambda of: F.pmod(F.xxhash64("id", F.lit(11)), F.col(of)).cast("int")
+    deal = lambda df, side, own, other: (
+        df.join(F.broadcast(some), "component").withColumn("mine", mine(own)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .select(F.xxhash64("component", *(("mine", "other") if side else ("other", "mine"))).alias("cell"), F.lit(side).alias("side"), "id", "shingles")
+    )
+    return links.union(linked_in_cells(deal(left, 1, "rest", "all").union(deal(sets, 0, "all", "rest")), similarity))
+
+
+def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+    """Links (a, b) that join the ids inside each component of the candidates ``links`` exactly as all pairs
+    of this similarity of the five-word shingles do, whichever candidates the forests of the cells kept."""
+    found = components(links)
+    members = checkpointed(found.union(found.select("component", "component").distinct()).toDF(id_col, "component"))
+    texts = df.select(id_col, text_col).join(sent_whole(members), id_col)
+    sets = checkpointed(shingle_sets(texts.select(F.col(id_col).alias("id"), "component", F.col(text_col).alias("text"))))
+    large = checkpointed(sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles).select("component"))
+    large = sent_whole(large)
+    small = sets.join(large, "component", "left_anti").select(F.xxhash64("component").alias("cell"), F.lit(0).alias("side"), "id", "shingles")
+    out = linked_in_cells(small, similarity)
+    if large.isEmpty():
+        return out
+    return out.union(large_links(checkpointed(sets.join(large, "component", "left_semi")), similarity, cell_shingles).where("a <> b"))
+
+
 def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): texts of one group are linked by a five-word-shingle similarity of ``similarity`` or
-    more; the group is its smallest id. Candidates agree on a band of smallest shingle hashes; a SimHash
-    signature of the shingles excludes what is far off. Whatever hangs together by candidates is then joined by exact
+    more; the group is its smallest id. Candidates agree on a band of smallest shingle hashes, and a binary trie
+    self-join of their SimHash fingerprints drops what is far off. Whatever hangs together by candidates is then joined by exact
     counts only, of all its pairs. Texts that differ only in white space or ASCII case are one class. Null and wordless texts stay alone; rows
     with one id are one document."""
     ids = checkpointed(near_signatures(df, id_col, text_col))
-    classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     empty = F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).astype(np.int64)))
-    words = classes.where(F.col("same") != empty)
-    rows = words.select("id", "sig", F.posexplode("bands").alias("band", "key"))
-    # all members of a cell are candidates of each other: one value, no differing bits
-    cells = rows.select(F.xxhash64("band", "key").alias("cell"), "id", F.lit(0).cast("long").alias("fp"), "sig")
-    links = checkpointed(cell_links(cells, 0, most_bits(similarity)))
+    links = checkpointed(candidate_links(classes.where(F.col("same") != empty), similarity))
     found = components(checkpointed(held_links(links, df, similarity, id_col, text_col)))
     named = classes.join(found, "id", "left").select("same", F.coalesce("component", "id").alias("group"))
     own = F.when((F.col("same") == empty) | F.col("group").isNull(), F.col("id")).otherwise(F.col("group"))

@@ -65,7 +65,7 @@ def test_sharding_law(docs, odd, empty, tmp_path):
 
 def test_copies_of_one_row_are_dealt_out(spark):
     rows = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text again").alias("text")).union(spark.range(5_000).select("id", F.col("id").cast("string")))
-    tagged, n = sharding.scattered(rows, 1, 20_000)
+    tagged, n, _ = sharding.scattered(rows, 1, 20_000)
     sizes = [r["count"] for r in tagged.groupBy("_gl_bucket").count().collect()]
     assert n == 105_000 and max(sizes) < 1.3 * n / len(sizes) and len(sizes) > 50
     out = sharding.shard_documents(rows, 7, bucket_bytes=20_000)
@@ -78,27 +78,19 @@ def brute_lm(rows):
     c = Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
     base = lambda w: math.log10((c[w] + lm.ADD) / (n + lm.ADD * (v + 1)))
-    frequent = {w for w in c if c[w] >= max(2, lm.WORD_SHARE * n)}
-    pairs = Counter(p for t in train for p in zip(["start", *t], t) if p[1] in frequent and (p[0] == "start" or p[0] in frequent))
-    arcs = {}
-    for (u, w), k in pairs.items():
-        total = c[None] if u == "start" else c[u]
-        share = (k - lm.DISCOUNT) / total
-        if k >= max(2, lm.ARC_SHARE * n) and k * (math.log10(share) - base(w)) > lm.ARC_GAIN and share > 10 ** base(w):
-            arcs[u, w] = share
-    taken, under = Counter(), Counter()
-    for (u, w), share in arcs.items():
-        taken[u] += share
-        under[u] += 10 ** base(w)
+    pairs = Counter(p for t in train for p in zip(["start", *t], t))
+    total = lambda u: len(train) if u == "start" else c[u]
+    arcs = {p: k for p, k in pairs.items() if k >= lm.LEAST}
+    left = defaultdict(lambda: 1.0)
+    for (u, _), k in arcs.items():
+        left[u] -= (k - lm.DISCOUNT) / total(u)
     out = []
     for i, t in rows:
         toks = words(t) + [None]
         score = 0.0
         for u, w in zip(["start", *toks], toks):
-            if (u, w) in arcs and (u == "start" or u in frequent) and w in frequent:
-                score += math.log10(arcs[u, w])
-            else:
-                score += base(w) + (math.log10((1 - taken[u]) / (1 - under[u])) if u == "start" or u in frequent else 0)
+            share = (arcs[u, w] - lm.DISCOUNT) / total(u) if (u, w) in arcs else 0.0
+            score += math.log10(share + left[u] * 10 ** base(w))
         out.append((i, len(toks), sum(c[w] > 0 for w in toks), n, round(sum(map(base, toks)), 6), round(score, 6)))
     return out
 
@@ -309,27 +301,11 @@ def test_trie_join(spark, cell_rows):
     fps = sorted(fps)
     rows = [(i, f) for i, f in enumerate(fps)]
     df = spark.createDataFrame(rows, "id long, fp long")
-    cells = F.array(*(F.xxhash64(F.lit(i), F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1)) for i, (s, w) in enumerate(simhash.runs_of_bits(2))))
-    links = simhash.cell_links(df.select(F.explode(cells).alias("cell"), "id", "fp"), 2, cell_rows=cell_rows)
+    links = simhash.cell_links(simhash.run_cells(df, 2, cell_rows), 2, cell_rows=cell_rows)
     found = {r.id: r.component for r in simhash.components(links).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, 2)
 
 
-def test_lightest_forest():
-    """Links up to any weight hang together as the forest's links up to it do."""
-    rng = np.random.default_rng(6)
-    x, y, w = rng.integers(0, 60, 500), rng.integers(0, 60, 500), rng.integers(0, 9, 500)
-    kept = simhash.lightest(60, x, y, w)
-    for most in range(9):
-        parts = []
-        for at in (np.flatnonzero(w <= most), kept[w[kept] <= most]):
-            root = list(range(60))
-            for i, j in zip(x[at], y[at]):
-                root = [root[j] if r == root[i] else r for r in root]
-            parts.append({tuple(v for v in range(60) if root[v] == r) for r in root})
-        assert parts[0] == parts[1]
-
-
 def test_components_long_chain(spark):
     links = spark.range(300).selectExpr("id * 7919 % 301 as a", "(id + 1) * 7919 % 301 as b")
     assert {r.component for r in simhash.components(links).collect()} == {0}

@@ -86,11 +86,12 @@ def test_rare_pairs_stay_arcs(spark):
     df = spark.createDataFrame(few + many, "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score_documents(df, F.lit(True)).where("doc_id < 10").collect()}
     n, v = got[0].train_tokens, 500 + 3
-    base = lambda c: np.log10((c + lm.ADD) / (n + lm.ADD * (v + 1)))
-    share = lambda k, total: np.log10((k - lm.DISCOUNT) / total)
-    assert n > 4_000_000 and abs(got[0].base_score - 2 * base(4) - base(104)) < 1e-6
-    # each step is an arc: start to alpha, alpha to beta, beta to the end
-    assert abs(got[0].score - share(4, 104) - 2 * share(4, 4)) < 1e-6
+    base = lambda c: (c + lm.ADD) / (n + lm.ADD * (v + 1))
+    assert n > 4_000_000 and abs(got[0].base_score - np.log10([base(4), base(4), base(104)]).sum()) < 1e-6
+    # each step is an arc: alpha to beta and beta to the end are all that follows there
+    follows = lambda c: np.log10(3.5 / 4 + 0.5 / 4 * base(c))
+    start = 10 ** (got[0].score - follows(4) - follows(104))
+    assert 3.5 / 104 < start < 3.5 / 104 + base(4)
 
 
 def names_of(tree):
