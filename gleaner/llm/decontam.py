@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, byte_slices
+from .common import as_texts, byte_slices, checkpointed, in_small_batches, sent_whole, u64
 
 #: 1: the token counts, 0: it may differ. One of them fits into every overlap of 10 to 23 tokens with the
 #: permitted substitutions, and so into longer ones: of pieces that long, one has no larger share of them.
@@ -44,7 +44,8 @@ def whole_masks(n: int) -> list[str]:
 
 
 class SeedIndex:
-    """Masked windows of some benchmark items: tokens as small numbers, a sorted hash array for each mask."""
+    """Masked windows of some benchmark items: tokens as small numbers; for each mask a sorted array of hashes
+    and, in the same order, where in which item each window begins."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
@@ -53,24 +54,30 @@ class SeedIndex:
             tokens = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in TOKEN.findall((text or "").lower())]
             if tokens:
                 self.items.append((item, np.array(tokens, dtype=np.int64)))
+        sizes = np.array([len(t) for _, t in self.items], dtype=np.int64)
+        laid, begins = np.concatenate([u64([]).astype(np.int64), *(t for _, t in self.items)]), np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        inside = np.arange(len(laid)) - begins[owner] if len(laid) else laid
         short = sorted({len(t) for _, t in self.items if len(t) < SHORT})
         masks = [*((m, False) for m in MASKS), *((m, True) for n in short for m in whole_masks(n))]
         self.seeds = []
         for mask, own in masks:
             at = np.flatnonzero(np.frombuffer(mask.encode(), dtype=np.uint8) == ord("1"))
-            found = []
-            for k, (_, t) in enumerate(self.items):
-                if len(t) == len(mask) if own else len(t) >= len(mask):
-                    h = masked_hashes(t, at, np.arange(len(t) - len(mask) + 1))
-                    found += [(int(x), k, i) for i, x in enumerate(h)]
-            found.sort()
-            self.seeds.append((len(mask), at, np.array([x[0] for x in found], dtype=np.uint64), np.array([x[1:] for x in found], dtype=np.int64).reshape(-1, 2)))
-
-    def hits(self, tokens: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(item index, diagonal) of every masked match in an array of tokens; 0 is a token of no item."""
-        known = tokens > 0
-        diagonals = set()
-        for span, at, hashes, places in self.seeds:
+            where = np.flatnonzero(sizes[owner] == len(mask) if own else inside + len(mask) <= sizes[owner])
+            where = where[inside[where] == 0] if own else where
+            h = masked_hashes(laid, at, where)
+            order = np.argsort(h, kind="stable")
+            where = where[order]
+            self.seeds.append((len(mask), at, h[order], owner[where].astype(np.int32), inside[where].astype(np.int32)))
+
+    def hits(self, tokens: np.ndarray) -> list[tuple[int, int]]:
+        """(item index, diagonal) of every masked match in an array of tokens; 0 is a token of no item.
+
+        Matches of one hash are taken together: its places in the text and in an item give all their
+        differences, which for many places on both sides are found by a convolution.
+        """
+        known, found = tokens > 0, set()
+        for span, at, hashes, owner, inside in self.seeds:
             n = len(tokens) - span + 1
             if n <= 0 or not len(hashes):
                 continue
@@ -80,10 +87,45 @@ class SeedIndex:
             where = np.flatnonzero(ok)
             h = masked_hashes(tokens, at, where)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
-            for i in np.flatnonzero(high > low):
-                for k, pos in places[low[i] : high[i]]:
-                    diagonals.add((int(k), int(where[i] - pos)))
-        yield from sorted(diagonals)
+            some = high > low
+            where, low, high = where[some], low[some], high[some]
+            order = np.argsort(low, kind="stable")
+            where, low, high = where[order], low[order], high[order]
+            cuts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]]) if len(low) else []
+            for a, z in zip(cuts, [*cuts[1:], len(low)]):
+                spots, items, places = where[a:z], owner[low[a] : high[a]], inside[low[a] : high[a]]
+                for k in np.unique(items).tolist():
+                    found.update((k, int(d)) for d in differences(spots, places[items == k].astype(np.int64)))
+        return sorted(found)
+
+
+def differences(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distinct x[i] - y[j]."""
+    if len(x) * len(y) <= 1 << 16:
+        return np.unique(x[:, None] - y[None, :])
+    # where the two sets of places overlap when one is moved along the other: counts of a convolution
+    a, b = np.zeros(int(x.max() - x.min()) + 1), np.zeros(int(y.max() - y.min()) + 1)
+    a[x - x.min()], b[y.max() - y] = 1, 1
+    size = 1 << (len(a) + len(b) - 1).bit_length()
+    times = np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[: len(a) + len(b) - 1]
+    return np.flatnonzero(times > 0.5) + int(x.min() - y.max())
+
+
+def best_by_item(index: SeedIndex, tokens: np.ndarray) -> dict[int, tuple[int, int, int]]:
+    """(start, end, matching tokens) for each item that overlaps: most matching tokens, then the smallest diagonal.
+
+    Diagonals that have room for fewer tokens than have matched already are not looked at.
+    """
+    best: dict[int, tuple] = {}
+    room = lambda k, d: min(len(tokens), d + len(index.items[k][1])) - max(0, d)
+    for negative, k, d in sorted((-room(k, d), k, d) for k, d in index.hits(tokens)):
+        have = best.get(k)
+        if have and (have[0] > -negative or have[0] == -negative and have[1] < d):
+            continue
+        found = best_overlap(tokens, index.items[k][1], d)
+        if found and (have is None or (found[2], -d) > (have[0], -have[1])):
+            best[k] = (found[2], d, found)
+    return {k: best[k][2] for k in sorted(best)}
 
 
 def masked_hashes(tokens: np.ndarray, at: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -133,7 +175,7 @@ def contaminated(
     n_blocks = max(1, -(-total // block_bytes))
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, item_id long, first_token long, end_token long, n_matched long, n_item long"
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = in_small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     passes = []
     for block in range(n_blocks):
         mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n_blocks)) == block)
@@ -152,12 +194,7 @@ def scanner(index, kind):
                 rows = []
                 for k, text in enumerate(as_texts(b.column(1))):
                     tokens = np.array([number(w, 0) for w in TOKEN.findall(text.lower())], dtype=np.int64)
-                    best: dict[int, tuple] = {}
-                    for item, diagonal in seeds.hits(tokens):
-                        found = best_overlap(tokens, seeds.items[item][1], diagonal)
-                        if found and (item not in best or found[2] > best[item][2]):
-                            best[item] = found
-                    rows += [(k, seeds.items[i][0], *x, len(seeds.items[i][1])) for i, x in sorted(best.items())]
+                    rows += [(k, seeds.items[i][0], *x, len(seeds.items[i][1])) for i, x in best_by_item(seeds, tokens).items()]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])],
@@ -169,9 +206,10 @@ def scanner(index, kind):
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows whose document overlaps with no benchmark item. Rows with a null id stay."""
-    found = contaminated(df, benchmark, id_col, text_col).select(id_col).distinct()
-    return df.join(found, id_col, "left_anti")
+    found = checkpointed(contaminated(df, benchmark, id_col, text_col).select(id_col).distinct())
+    return df.join(sent_whole(found), id_col, "left_anti")
 
 
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The overlaps of all documents; a null text or item overlaps with nothing."""
     return contaminated(docs, benchmark)

@@ -173,6 +173,10 @@ def test_quality(docs, odd, empty):
     text = "A good line of plain words that goes on for a while, and then on again.\nHome | News | Sport | About | Contact\nAll rights reserved.\nAnother good line of plain words that ends here."
     got = quality.quality_report(docs.sparkSession.createDataFrame([(text,)], "text string")).first().quality
     assert got.clean_text == "\n".join((text.split("\n")[0], text.split("\n")[3])) and got.kept
+    for line in ("A TITLE OF SIX WORDS, IN CAPITALS.", "just a heading", "see https://a.b/c www.d.e here.", "Tous droits réservés.", "wow!! what!! a!! deal."):
+        assert not quality.quality_report(docs.sparkSession.createDataFrame([(line,)], "text string")).first().quality.clean_text
+    for line in ("", "A line of words that ends.", "See https://a.b/c for more on this.", "A WHO report."):
+        assert quality.quality_report(docs.sparkSession.createDataFrame([(line,)], "text string")).first().quality.clean_text == line
 
 
 def test_sentencepiece(docs, odd, empty):
@@ -251,6 +255,8 @@ def test_line_dedup(docs, odd, empty):
     assert any(drops.values())
     for r in docs.collect():
         assert got[r.doc_id].text == "\n".join(x for x in r.text.split("\n") if x not in drops[r.source])
+    shuffled = linededup.drop_boilerplate(docs.select("doc_id", "source", "text"), broadcast_lines=1)
+    assert sorted(shuffled.collect()) == sorted(linededup.op7_line_dedup(docs).collect())
     out = linededup.drop_boilerplate(odd)
     assert out.count() == len(ODD) and out.columns == [*odd.columns, "n_dropped_lines"]
     assert out.where("text is null").count() == 1
