@@ -24,12 +24,19 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: A document keeps its place if at least this share of its words is on lines that pass.
 MIN_KEPT_SHARE = 0.5
-#: Fixed phrases of site furniture, matched in lower case.
+#: Fixed phrases of site furniture, matched in lower case: English, German, French, Spanish.
 BOILERPLATE = (
     "cookie policy", "privacy policy", "terms of use", "terms of service", "all rights reserved",
     "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "sign up for our newsletter",
     "subscribe to our newsletter", "skip to content", "back to top", "share on facebook", "share on twitter",
+    "datenschutzerklärung", "alle rechte vorbehalten", "allgemeine geschäftsbedingungen", "javascript aktivieren", "newsletter abonnieren", "zum inhalt springen",
+    "politique de confidentialité", "tous droits réservés", "mentions légales", "conditions d'utilisation", "activer javascript", "aller au contenu",
+    "política de privacidad", "todos los derechos reservados", "aviso legal", "condiciones de uso", "activar javascript", "ir al contenido",
 )
+#: One of these is in every line that is a sentence or leads to one.
+ENDS = r"[.!?…:;。！？]"
+LINK = r"https?://|www\."
+CAPITALS = 5
 
 
 def words_of(text: Column) -> Column:
@@ -40,24 +47,35 @@ def furniture(text: Column) -> Column:
     return let(F.lower(text), lambda low: reduce(or_, (F.contains(low, F.lit(p)) for p in BOILERPLATE)))
 
 
-def suspicious(text: Column) -> Column:
+def suspicious(text: Column, lines: Column) -> Column:
     """A text in which no line can fail is not: it has none of the rules' characters and phrases."""
-    return (F.translate(text, "|»›•#*$%&<>", "") != text) | F.contains(text, F.lit("!!")) | furniture(text)
+    marks = (F.translate(text, "|»›•#*$%&<>", "") != text) | F.contains(text, F.lit("!!")) | text.rlike(LINK) | furniture(text)
+    return marks | F.exists(lines, lambda x: x.rlike(WORD) & (~x.rlike(ENDS) | shouts(x)))
+
+
+def shouts(line: Column) -> Column:
+    return ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (F.regexp_count(line, F.lit(WORD + "+")) >= CAPITALS)
 
 
 def line_fails(line: Column) -> Column:
     """True if a line breaks one of the rules. Lines without a word never fail: they hold nothing to lose.
 
-    navigation: three or more separators, one for every two words or more;
+    sentence: no mark that ends or introduces one stands in it;
+    capitals: five words or more, and no small letter;
+    navigation: three or more separators, one for every two words or more; or two links or more, one for every three words;
     punctuation: a quarter of the words carry runs of symbols, or one word in three ends in ``!!``;
     boilerplate: a fixed phrase of site furniture.
     """
-    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
+    words = F.regexp_count(line, F.lit(WORD + "+"))
     separators = F.regexp_count(line, F.lit(r"[|»›•]"))
+    links = F.regexp_count(line, F.lit(LINK))
     symbol_words = F.regexp_count(line, F.lit(r"[#*$%&<>]{2,}"))
     shouted = F.regexp_count(line, F.lit(r"!!"))
-    return (
-        ((separators >= 3) & (separators * 3 >= words))
+    return line.rlike(WORD) & (
+        ~line.rlike(ENDS)
+        | shouts(line)
+        | ((separators >= 3) & (separators * 3 >= words))
+        | ((links >= 2) & (links * 3 >= words))
         | (symbol_words * 4 >= words) & (symbol_words > 0)
         | (shouted * 3 >= words) & (shouted > 0)
         | furniture(line)
@@ -105,7 +123,7 @@ def quality_report(df: DataFrame, text_col: str = "text", min_kept_share: float
         worded = F.filter(lines, lambda x: x.rlike(WORD))
         n_dup = let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
         passed = F.array_join(F.filter(lines, lambda x: ~line_fails(x)), "\n")
-        return F.struct(n_dup.alias("n_dup_lines"), F.when(suspicious(text), passed).alias("clean_text"))
+        return F.struct(n_dup.alias("n_dup_lines"), F.when(suspicious(text, lines), passed).alias("clean_text"))
 
     def of_words(words: Column) -> Column:
         return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"))
@@ -132,6 +150,7 @@ def quality_report(df: DataFrame, text_col: str = "text", min_kept_share: float
 
 
 def op4_quality(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; a null text has no words and fails the base rules."""
     fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_kept_words")
     return quality_report(docs.select("doc_id", "text")).select("doc_id", *(f"quality.{x}" for x in fields))
 
@@ -140,9 +159,14 @@ def _sql() -> str:
     words = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
     count = lambda pattern, of="x": f"len(regexp_extract_all({of}, '{pattern}'))"
     n = count(r"[^\x20\x09-\x0D]+")
-    seps, syms, shout = count("[|»›•]"), count("[#*$%&<>]{2,}"), count("!!")
-    furniture = " OR ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)
-    fails = f"(({seps} >= 3 AND {seps} * 3 >= {n}) OR ({syms} * 4 >= {n} AND {syms} > 0) OR ({shout} * 3 >= {n} AND {shout} > 0) OR {furniture})"
+    seps, syms, shout, links = count("[|»›•]"), count("[#*$%&<>]{2,}"), count("!!"), count(LINK)
+    furniture = " OR ".join("contains(lower(x), '" + p.replace("'", "''") + "')" for p in BOILERPLATE)
+    has = lambda pattern: f"regexp_matches(x, '{pattern}')"
+    capitals = f"(NOT {has(chr(92) + 'p{Ll}')} AND {has(chr(92) + 'p{Lu}')} AND {n} >= {CAPITALS})"
+    fails = (
+        f"({has(WORD)} AND (NOT {has(ENDS)} OR {capitals} OR ({seps} >= 3 AND {seps} * 3 >= {n}) OR ({links} >= 2 AND {links} * 3 >= {n})"
+        f" OR ({syms} * 4 >= {n} AND {syms} > 0) OR ({shout} * 3 >= {n} AND {shout} > 0) OR {furniture}))"
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, {words.format("t")} AS ws, string_split(t, chr(10)) AS ls FROM d),
