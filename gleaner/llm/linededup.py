@@ -6,7 +6,8 @@ pages, and on ``min_pages`` of them at least, is boilerplate and leaves every te
 At scale: only 64-bit hashes of lines are shuffled, once for each page and line, and counted with
 partial sums, so neither a host nor a line that holds a third of all rows meets in one task. A host
 has at most (mean lines a page / max_ratio) boilerplate lines, so their list is short whatever the
-number of pages; Spark broadcasts the lists if they are small and else joins by host.
+number of pages. The lists are counted: up to ``BROADCAST_LINES`` hashes they go out to the texts, which then cross no
+exchange; longer ones are joined by host and a part of the text's hash, so that a large host has many tasks.
 """
 
 from __future__ import annotations
@@ -14,8 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 MAX_RATIO = 0.08
 MIN_PAGES = 5
+BROADCAST_LINES = 1_000_000
+#: Parts of a host where its list is joined by a shuffle.
+PARTS = 64
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -41,19 +47,25 @@ def boilerplate_lines(
 
 
 def drop_boilerplate(
-    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
-) -> DataFrame:
+    df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES,
+    broadcast_lines: int = BROADCAST_LINES,
+) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text_col`` and their number in ``n_dropped_lines``.
 
     Every row stays, even if no line of it does. Null texts stay null with 0 dropped lines; a null
     host is a host of its own. An input column named n_dropped_lines is replaced.
     """
-    lists = boilerplate_lines(df, host_col, text_col, max_ratio, min_pages).groupBy("_gl_host").agg(F.collect_list("line").alias("_gl_drop"))
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit(""))
+    found = checkpointed(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages).select("_gl_host", "line"))
+    lists = found.groupBy("_gl_host").agg(F.collect_list("line").alias("_gl_drop"))
+    few = found.limit(broadcast_lines + 1).count() <= broadcast_lines
+    host, part = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(PARTS)).cast("int")
+    part = F.lit(0) if few else part
+    lists = F.broadcast(lists.withColumn("_gl_part", F.lit(0))) if few else lists.withColumn("_gl_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     lines = F.split(F.col(text_col), "\n")
     drops = lambda x: F.array_contains(F.col("_gl_drop"), F.xxhash64(x)) & x.rlike(WORD)
     left = F.when(F.col("_gl_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~drops(x)))
-    out = df.drop("n_dropped_lines").withColumn("_gl_host", host).join(lists, "_gl_host", "left").withColumn("_gl_left", left)
+    out = df.drop("n_dropped_lines").withColumn("_gl_host", host).withColumn("_gl_part", part)
+    out = out.join(lists, ["_gl_host", "_gl_part"], "left").withColumn("_gl_left", left)
     gone = F.coalesce(F.size(lines) - F.size("_gl_left"), F.lit(0)).cast("long")
     return out.select(
         *(F.array_join("_gl_left", "\n").alias(c) if c == text_col else F.col(c) for c in df.columns if c != "n_dropped_lines"),
@@ -62,6 +74,7 @@ def drop_boilerplate(
 
 
 def op7_line_dedup(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; a null text stays null, a null source is a host of its own."""
     return drop_boilerplate(docs.select("doc_id", "source", "text"))
 
 
