@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_texts, byte_slices
+from .common import as_texts, byte_slices, in_small_batches
 
 TOKEN = re.compile(r"[^\W_]+")
 SAMPLE = {1: 1000, 0: 2000}
@@ -53,23 +53,34 @@ def tokens_of(text: str) -> list[str]:
 def sample_of(docs: DataFrame, labelled: DataFrame) -> list[tuple[str, int]]:
     """(text, label): of each label the texts with the smallest hashes of their ids, near copies left out.
 
-    Only ids are sorted; the texts of the few that are chosen are fetched by a join with them."""
-    out = []
+    Lengths are looked at first: what is fetched holds at most ``SAMPLE_CHARS`` characters of a label.
+    """
+    spark, few = docs.sparkSession, []
     for label in (0, 1):
-        few = labelled.where(F.col("label") == label).select("doc_id", F.xxhash64("doc_id", F.lit(5)).alias("_gl_at"))
-        few = few.orderBy("_gl_at", "doc_id").limit(SAMPLE[label])  # bounded, so it can be broadcast
-        texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
-        left, seen = SAMPLE_CHARS[label], set()
-        for text, _ in texts.select("text", "_gl_at").orderBy("_gl_at", "text").limit(SAMPLE[label]).toLocalIterator():
-            if len(text) > left:
-                continue
-            left -= len(text)
-            words = text.lower().split()
-            grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
-            least = {(s, min(g * s & 0xFFFFFFFFFFFFFFFF for g in grams)) for s in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)}
-            if not least & seen:
-                seen |= least
-                out.append((text, label))
+        own = labelled.where(F.col("label") == label).select("doc_id", "label", F.xxhash64("doc_id", F.lit(5)).alias("_gl_at"))
+        few.append(own.orderBy("_gl_at", "doc_id").limit(SAMPLE[label]))  # bounded, so it can be broadcast
+    texts = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("_gl_text"))
+    sized = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").groupBy("label", "_gl_at", "doc_id", "_gl_text").agg(F.first(F.length("text")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("_gl_at", "n", "_gl_text"))
+    most = F.when(F.col("label") == 1, SAMPLE[1]).otherwise(SAMPLE[0])
+    left, wanted = dict(SAMPLE_CHARS), []
+    for r in sized.withColumn("rank", rank).where(F.col("rank") <= most).orderBy("label", "rank").collect():
+        if r.n <= left[r.label]:
+            left[r.label] -= r.n
+            wanted.append((r.doc_id, r._gl_text, r.label, len(wanted)))
+    if not wanted:
+        return []
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    chosen = F.broadcast(spark.createDataFrame(wanted, f"doc_id {kind}, _gl_text long, label int, place int"))
+    fetched = {r.place: r for r in texts.join(chosen, ["doc_id", "_gl_text"]).groupBy("place").agg(F.first("text").alias("text"), F.first("label").alias("label")).collect()}
+    out, seen = [], set()
+    for _, r in sorted(fetched.items()):
+        words = r.text.lower().split()
+        grams = {xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
+        least = {(r.label, s, min(g * s & 0xFFFFFFFFFFFFFFFF for g in grams)) for s in (1, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)}
+        if not least & seen:
+            seen |= least
+            out.append((r.text, r.label))
     return out
 
 
@@ -256,7 +267,7 @@ def spans_of(text: str, p: np.ndarray) -> list[dict]:
 def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Field:
     """Fit on rows of ``docs`` for which ``learn`` holds. Counts of labels cover all of them; only the fit
     is on a sample. Rows with a null id or a label other than 0 and 1 teach nothing."""
-    own = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").alias("label"))
+    own = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("label"))
     rows = docs.where(learn).select("doc_id").join(own, "doc_id")
     n, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     return fit(sample_of(docs.where(learn), rows.distinct()), toxic / n if n else 0.0)
@@ -287,7 +298,7 @@ def score_documents(df: DataFrame, field: Field, text_col: str = "text", out_col
                 out = pa.array([{"score": float(s), "spans": x} for s, x in zip(scores, spans)], kind)
                 yield pa.RecordBatch.from_arrays([*b.columns, out], [*names, out_col])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return in_small_batches(df.select(*names)).mapInArrow(run, schema)
 
 
 def fold() -> Column:
@@ -301,6 +312,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op6_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; a null id is not held out, null and empty texts score as texts without tokens."""
     held_out = F.coalesce(fold() == 2, F.lit(False))
     docs = docs.select("doc_id", "text")
     out = score_documents(docs, train(docs, labels, ~held_out))
