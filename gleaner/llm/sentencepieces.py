@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_texts, byte_slices
+from .common import as_texts, byte_slices, in_small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -254,7 +254,7 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text",
                 pieces = pa.StructArray.from_arrays([pa.array(coded, pa.list_(pa.int32())), pa.array(exact)], ["ids", "exact"])
                 yield pa.RecordBatch.from_arrays([*b.columns, pieces], [*names, out_col])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return in_small_batches(df.select(*names)).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, out_col: str = "text") -> DataFrame:
@@ -268,10 +268,11 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, ou
             texts = [None if x is None else coder.decode(x) for x in b.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out_col])
 
-    return df.select(*names).mapInArrow(run, schema)
+    return in_small_batches(df.select(*names)).mapInArrow(run, schema)
 
 
 def op5_sentencepiece(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; a null text is an empty one: no tokens, and a round trip."""
     return encode(docs.select("doc_id", "text")).select(
         "doc_id", F.size("pieces.ids").cast("long").alias("n_tokens"), F.xxhash64("pieces.ids").alias("ids_hash"),
         F.col("pieces.exact").alias("round_trip"),

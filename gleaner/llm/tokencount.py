@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, byte_slices
+from .common import as_texts, byte_slices, in_small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a word in the vocabulary.
@@ -103,9 +103,10 @@ def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["id", "n_words", "n_tokens", "n_unknown"])
 
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long")
+    out = in_small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).mapInArrow(run, f"id {kind}, n_words long, n_tokens long, n_unknown long")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
 def op9_token_counts(docs: DataFrame) -> DataFrame:
+    """A row for each row of ``docs``; a null text has no words."""
     return token_counts(docs)
