@@ -1,21 +1,35 @@
-"""Linking two inventories: identity keys, blocked name similarity, evidence and conflicts."""
+"""Linking two inventories: identity keys, short forms, blocked name similarity, evidence and conflicts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, tokens
+from ..functions.text import jaccard, missing, nonempty, tokens
 
 #: Strength of evidence, weakest first.
 TIERS = ("name", "short_form", "email", "phone", "website")
+IDENTITY = ("website", "phone", "email")
+#: Token sets of up to so many words are joined by their subsets, larger ones by rare prefixes.
+SHORT_SET = 8
+
+
+def one_side(a: DataFrame, b: DataFrame) -> DataFrame:
+    """An inventory from two tables of (id, name, city, ...): the longest name, else the first that isn't empty."""
+    rest = [c for c in a.columns if c not in ("id", "name")]
+    x, y = (df.select("id", *(F.col(c).alias(f"{p}_{c}") for c in ("name", *rest))) for df, p in ((a, "x"), (b, "y")))
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    name = F.when(size(F.col("x_name")) >= size(F.col("y_name")), F.col("x_name")).otherwise(F.col("y_name"))
+    first = (F.coalesce(nonempty(F.col(f"x_{c}")), nonempty(F.col(f"y_{c}"))).alias(c) for c in rest)
+    return x.join(y, "id", "full_outer").select("id", name.alias("name"), *first)
 
 
 def key_pairs(left: DataFrame, right: DataFrame, key: str, tier: str, most_sharers: int = 3) -> DataFrame:
-    """(l_id, r_id, tier, score, verdict): equal keys, unless over ``most_sharers`` rows of a side share one.
+    """(l_id, r_id, tier, score, verdict, value): equal keys, unless over ``most_sharers`` rows of a side share one.
 
     Counting before joining keeps a hot key from pairing everything that holds it.
     """
+
     def rare(df: DataFrame, side: str) -> DataFrame:
         keyed = df.where(F.coalesce(F.col(key), F.lit("")) != "").select(F.col("id").alias(f"{side}_id"), F.col(key).alias("k"))
         few = keyed.groupBy("k").agg(F.count(F.lit(1)).alias(f"{side}_n")).where(F.col(f"{side}_n") <= most_sharers)
@@ -23,52 +37,111 @@ def key_pairs(left: DataFrame, right: DataFrame, key: str, tier: str, most_share
 
     pairs = rare(left, "l").join(rare(right, "r"), "k")
     score = F.when(F.col("r_n") == 1, 1.0).otherwise(0.9)
-    return pairs.select("l_id", "r_id", F.lit(tier).alias("tier"), score.alias("score"), F.lit("yes").alias("verdict"))
+    return pairs.select("l_id", "r_id", F.lit(tier).alias("tier"), score.alias("score"), F.lit("yes").alias("verdict"), F.col("k").alias("value"))
 
 
-def best_by_name(left: DataFrame, right: DataFrame, rarest: int = 3, cap: int = 600, least: float = 0.45, sure: float = 0.85) -> DataFrame:
-    """The most similar right row of each left row among blocks of its rarest name tokens.
+def short_form_pairs(left: DataFrame, right: DataFrame, most: int = 8) -> DataFrame:
+    """Pairs of one ``short_form`` whose cities share a word: the first ``most`` right rows of each left row.
 
-    Blocks are opened rarest first; no further block is opened once more than ``cap`` rows were compared.
+    Of each short form and word only the first right rows can be among them, so no more are joined.
+    """
+    word = lambda df, side: df.where(~missing(F.col("short_form"))).select(F.col("id").alias(side), F.col("short_form").alias("k"), F.explode(tokens(F.col("city"))).alias("word"))
+    first = lambda df, by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("r_id"))).where(F.col("_n") <= most).drop("_n")
+    pairs = word(left, "l_id").join(first(word(right, "r_id"), ["k", "word"]), ["k", "word"]).select("l_id", "r_id", "k").distinct()
+    return first(pairs, ["l_id"]).select("l_id", "r_id", F.lit("short_form").alias("tier"), F.lit(0.95).alias("score"), F.lit("yes").alias("verdict"), F.col("k").alias("value"))
+
+
+def subsets(words: Column, least: float) -> Column:
+    """Subsets of sorted words that hold at least the share ``least`` of them."""
+    masks = F.filter(F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size(words)) - 1), lambda m: F.bit_count(m) >= least * F.size(words))
+    return F.transform(masks, lambda m: F.filter(words, lambda x, i: F.call_function("shiftright", m, i).bitwiseAND(1) == 1))
+
+
+def opened_blocks(asked: DataFrame, right: DataFrame, df: DataFrame, cap: int) -> DataFrame:
+    """(lt, b) of (lt): the blocks that are opened, [(block, token)]: of the three rarest words, rarest first, until
+    more than ``cap`` distinct right rows have been seen."""
+    ranked = asked.select("lt", F.explode("lt").alias("token")).join(df, "token", "left").fillna(0, ["df"])
+    ranked = ranked.withColumn("block", F.row_number().over(Window.partitionBy("lt").orderBy("df", "token"))).where("block <= 3")
+    rows = ranked.groupBy("lt").agg(F.array_sort(F.collect_list(F.struct("block", "token", "df"))).alias("b"))
+    rows = rows.withColumn("t1", F.get("b", F.lit(0))).withColumn("t2", F.get("b", F.lit(1)))
+    # both words' blocks are small, but not together: how many right rows are in both decides
+    close = (F.col("t1.df") <= cap) & (F.col("t2.df") <= cap) & (F.col("t1.df") + F.col("t2.df") > cap)
+    pairs = rows.where(close).select(F.col("t1.token").alias("x"), F.col("t2.token").alias("y")).distinct()
+    both = pairs.join(right.select("n", "rt", F.explode("rt").alias("x")), "x").where(F.array_contains("rt", F.col("y"))).groupBy("x", "y").agg(F.sum("n").alias("both"))
+    rows = rows.join(both, (F.col("t1.token") == F.col("x")) & (F.col("t2.token") == F.col("y")), "left")
+    second = F.col("t1.df") <= cap
+    third = second & (F.col("t1.df") + F.col("t2.df") - F.coalesce("both", F.lit(0)) <= cap)
+    keep = F.filter("b", lambda x: (x["block"] == 1) | ((x["block"] == 2) & second) | ((x["block"] == 3) & third))
+    return rows.select("lt", F.transform(keep, lambda x: F.struct(x["block"].alias("block"), x["token"].alias("token"))).alias("b"))
+
+
+def best_by_name(left: DataFrame, right: DataFrame, cap: int = 600, least: float = 0.45, sure: float = 0.85) -> DataFrame:
+    """The most similar right row of each left row among the blocks of its three rarest name tokens, at a similarity
+    of ``least`` or more; of equal ones that of the earliest block, then of the smallest id.
+
+    No pair is made through a common word. Rows of one token set are one entry. Two sets of a similarity of ``least``
+    share a subset of that share of each; so each entry is dealt by its subsets, a subset keeps the smallest
+    right id of each size, and the largest shared subset gives the similarity itself. Sets of more
+    than ``SHORT_SET`` words are joined by their rarest words, of which two such sets must share one.
     """
-    r = right.select(F.col("id").alias("r_id"), tokens(F.col("name")).alias("r_tokens"))
-    l = left.select(F.col("id").alias("l_id"), tokens(F.col("name")).alias("l_tokens"))  # noqa: E741
-    posting = r.select("r_id", "r_tokens", F.explode("r_tokens").alias("token"))
-    df = posting.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    asked = l.select("l_id", "l_tokens", F.explode("l_tokens").alias("token")).join(df, "token", "left").fillna(0, ["df"])
-    w = Window.partitionBy("l_id").orderBy("df", "token")
-    asked = asked.withColumn("block", F.row_number().over(w)).where(F.col("block") <= rarest)
-    before = Window.partitionBy("l_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    opened = asked.withColumn("_seen", F.coalesce(F.sum("df").over(before), F.lit(0))).where(F.col("_seen") <= cap)
-    found = opened.join(posting, "token").groupBy("l_id", "r_id").agg(F.min("block").alias("block"), F.first("l_tokens").alias("lt"), F.first("r_tokens").alias("rt"))
-    scored = found.select("l_id", "r_id", "block", F.round(jaccard(F.col("lt"), F.col("rt")), 6).alias("score"))
-    order = Window.partitionBy("l_id").orderBy(F.desc("score"), "block", "r_id")
-    best = scored.withColumn("_n", F.row_number().over(order)).where((F.col("_n") == 1) & (F.col("score") >= least))
-    return best.select("l_id", "r_id", F.lit("name").alias("tier"), "score", F.when(F.col("score") >= sure, "yes").otherwise("pending").alias("verdict"))
+    words = F.array_sort(tokens(F.col("name")))
+    l = left.select(F.col("id").alias("l_id"), words.alias("lt")).where("size(lt) > 0")  # noqa: E741
+    r = right.select(F.col("id").alias("r_id"), words.alias("rt")).where("size(rt) > 0").groupBy("rt").agg(F.count(F.lit(1)).alias("n"), F.min("r_id").alias("r_id"))
+    df = r.select("n", F.explode("rt").alias("token")).groupBy("token").agg(F.sum("n").alias("df"))
+    asked = opened_blocks(l.select("lt").distinct(), r, df, cap)
+    block = lambda shared: F.array_min(F.transform(F.filter("b", lambda x: F.array_contains(shared, x["token"])), lambda x: x["block"]))
+    score = lambda both, n: F.round(both / (F.size("lt") + n - both), 6)
+
+    few = r.where(F.size("rt") <= SHORT_SET).select("r_id", F.size("rt").alias("rn"), F.explode(subsets(F.col("rt"), least)).alias("part"))
+    parts = asked.where(F.size("lt") <= SHORT_SET).select("lt", "b", F.explode(subsets(F.col("lt"), least)).alias("part"))
+    found = parts.join(few.groupBy("part", "rn").agg(F.min("r_id").alias("r_id")), "part")
+    found = found.select("lt", "r_id", score(F.size("part"), F.col("rn")).alias("score"), block(F.col("part")).alias("block"))
+
+    def rare(entries: DataFrame, c: str) -> DataFrame:
+        """Entries by the words of which a partner must hold one: all but the most common share."""
+        by = entries.select(c, F.explode(c).alias("token")).join(df, "token", "left").fillna(0, ["df"]).groupBy(c).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_w"))
+        return by.select(c, F.explode(F.slice("_w", F.lit(1), F.size("_w") - F.ceil(least * F.size("_w")).cast("int") + 1)).alias("_w")).select(c, "_w.token")
+
+    long = lambda c: F.size(c) > SHORT_SET
+    lefts, rights = rare(asked.select("lt"), "lt"), rare(r.select("rt"), "rt")
+    pairs = lefts.where(long("lt")).join(rights, "token").union(lefts.where(~long("lt")).join(rights.where(long("rt")), "token")).select("lt", "rt").distinct()
+    pairs = pairs.join(asked, "lt").join(r.select("rt", "r_id"), "rt").withColumn("shared", F.array_intersect("lt", "rt"))
+    found = found.union(pairs.select("lt", "r_id", score(F.size("shared"), F.size("rt")).alias("score"), block(F.col("shared")).alias("block")))
+
+    best = found.where((F.col("score") >= least) & F.col("block").isNotNull()).groupBy("lt").agg(F.min(F.struct(-F.col("score"), "block", "r_id")).alias("x"))
+    out = l.join(best.select("lt", (-F.col("x.col1")).alias("score"), "x.r_id"), "lt")
+    verdict = F.when(F.col("score") >= sure, "yes").otherwise("pending")
+    return out.select("l_id", "r_id", F.lit("name").alias("tier"), "score", verdict.alias("verdict"), F.lit(None).cast("string").alias("value"))
 
 
 def merge_evidence(pairs: DataFrame) -> DataFrame:
-    """One row a pair: the strongest tier, the highest score, a sticky yes and the other tiers."""
+    """One row a pair: the strongest tier, the highest score, a sticky yes, the other tiers, and the values of
+    its identity tiers."""
     rank = F.array_position(F.lit(list(TIERS)), F.col("tier"))
     out = pairs.groupBy("l_id", "r_id").agg(
         F.max_by("tier", rank).alias("tier"), F.max("score").alias("score"),
         F.when(F.bool_or(F.col("verdict") == "yes"), "yes").otherwise("pending").alias("verdict"), F.collect_set("tier").alias("_all"),
+        F.array_sort(F.collect_list(F.when(F.col("tier").isin(*IDENTITY), F.col("value")))).alias("evidence"),
     )
     also = F.array_sort(F.array_except("_all", F.array("tier")))
-    return out.select("l_id", "r_id", "tier", "score", "verdict", F.array_join(also, ",").alias("also"))
+    return out.select("l_id", "r_id", "tier", "score", "verdict", F.array_join(also, ",").alias("also"), "evidence")
 
 
 def conflicts(pairs: DataFrame, names: DataFrame, same: float = 0.8) -> DataFrame:
     """Right rows with several claimants: (r_id, n_claims, kind).
 
-    Claimants of one right row are few (keys are capped), so pairs within a group stay bounded.
+    Claims by key are capped, those by name are alike in their words; a group is as large as its distinct names.
     """
-    claims = pairs.where("verdict = 'yes'").join(names.select(F.col("id").alias("l_id"), "name"), "l_id")
-    groups = claims.groupBy("r_id").agg(F.count(F.lit(1)).alias("n_claims"), F.collect_list(F.lower("name")).alias("ns"), F.collect_set("tier").alias("ts")).where("n_claims > 1")
+    claims = pairs.where("verdict = 'yes'").join(names.select(F.col("id").alias("l_id"), "name"), "l_id").withColumn("_v", F.get("evidence", F.lit(0)))
+    groups = claims.groupBy("r_id").agg(
+        F.count(F.lit(1)).alias("n_claims"), F.collect_set(F.lower("name")).alias("ns"), F.min(F.size("evidence")).alias("least"), F.max(F.size("evidence")).alias("most"),
+        F.min("_v").alias("v1"), F.max("_v").alias("v2"),
+    ).where("n_claims > 1")
     bags = F.transform("ns", tokens)
     alike = F.forall(F.transform(bags, lambda x: F.array_min(F.transform(bags, lambda y: jaccard(x, y)))), lambda m: m >= same)
+    shared = (F.col("least") == 1) & (F.col("most") == 1) & (F.col("v1") == F.col("v2"))
     inside = F.exists("ns", lambda x: F.exists("ns", lambda y: (x != y) & F.contains(y, x)))
-    kind = F.when(alike, "duplicate").when((F.size("ts") == 1) & (F.get("ts", F.lit(0)) != "name"), "shared-signal").when(inside, "parent-child").otherwise("ambiguous")
+    kind = F.when(alike, "duplicate").when(shared, "shared-signal").when(inside, "parent-child").otherwise("ambiguous")
     return groups.select("r_id", "n_claims", kind.alias("kind"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cdc, linkage, merge
+from ..operators import cdc, merge
 from ..operators import relational as R
 from ..sources import pages as P
 from ..sources import sinks
@@ -620,66 +620,7 @@ def m6(t):
     return t.colleges.agg(F.count_if(w.isNull()).alias("null_url"), F.count_if(w == "").alias("blank_url"), F.countDistinct(F.when(X.missing(w), F.col("college_id"))).alias("ids"))
 
 
-# ---- record linkage (N) ----
-
-
-def sides(t):
-    keyed = lambda df: df.select(F.col("college_id").alias("id"), "name", "city", X.domain(F.col("website")).alias("website"), X.phone_key(F.col("phone")).alias("phone"))
-    return keyed(t.colleges), keyed(t.directory)
-
-
-HOST = r"regexp_replace(regexp_extract(regexp_replace(lower(trim(website)), '^[a-z]+://', ''), '^([^/?:]*)', 1), '^www\.', '')"
-
-
-@query("N3_signal_reach", f"""SELECT 'left' AS side, count(nullif({HOST}, '')) AS website, count(nullif(phone, '')) AS phone FROM colleges UNION ALL SELECT 'right', count(nullif({HOST}, '')), count(nullif(phone, '')) FROM directory""")
-def n3(t):
-    reach = lambda df, s: df.agg(F.count(X.nonempty(F.col("website"))).alias("website"), F.count(X.nonempty(F.col("phone"))).alias("phone")).select(F.lit(s).alias("side"), "website", "phone")
-    left, right = sides(t)
-    return reach(left, "left").union(reach(right, "right"))
-
-
-def keyed_sql(expr: str) -> str:
-    one = lambda tbl, s: f"{s} AS (SELECT * FROM (SELECT id, k, count(*) OVER (PARTITION BY k) AS n FROM (SELECT college_id AS id, {expr} AS k FROM {tbl}) WHERE coalesce(k, '') <> '') WHERE n <= 3)"
-    return f"WITH {one('colleges', 'l')}, {one('directory', 'r')} SELECT l.id AS l_id, r.id AS r_id, CAST(CASE WHEN r.n = 1 THEN 1.0 ELSE 0.9 END AS DOUBLE) AS score FROM l JOIN r ON l.k = r.k"
-
-
-@query("N4_website_tier", keyed_sql(HOST))
-def n4(t):
-    return linkage.key_pairs(*sides(t), "website", "website").select("l_id", "r_id", "score")
-
-
-@query("N4_phone_tier", keyed_sql("CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) >= 10 THEN right(regexp_replace(phone, '[^0-9]', '', 'g'), 10) ELSE '' END"))
-def n4_phone(t):
-    return linkage.key_pairs(*sides(t), "phone", "phone").select("l_id", "r_id", "score")
-
-
-def evidence(t):
-    left, right = sides(t)
-    named = lambda df: df.withColumn("name", F.concat_ws(" ", "name", "city", F.concat(F.lit("u"), F.substring("name", -3, 3))))
-    pairs = linkage.key_pairs(left, right, "website", "website").unionByName(linkage.key_pairs(left, right, "phone", "phone"))
-    return pairs.unionByName(linkage.best_by_name(named(left), named(right)))
-
-
-@query("N8_merged_evidence")
-def n8(t):
-    return linkage.merge_evidence(evidence(t))
-
-
-@query("N10_match_report")
-def n10(t):
-    return linkage.merge_evidence(evidence(t)).groupBy("tier", "verdict").agg(n(), F.round(F.avg("score"), 3).alias("mean_score"))
-
-
-@query("N11_conflicts")
-def n11(t):
-    return linkage.conflicts(linkage.merge_evidence(evidence(t)), sides(t)[0])
-
-
-@query("N13_overlap")
-def n13(t):
-    """How much two harvests of courses (odd and even ids) agree by name, both ways, and each with itself."""
-    named = t.courses.select(F.col("course_id").alias("id"), F.concat_ws(" ", "name", "course_type", F.regexp_replace("stream", "[^A-Za-z0-9]", "")).alias("name"))
-    return linkage.overlap(named.where("id % 2 = 1"), named.where("id % 2 = 0"))
+# ---- gaps (N) ----
 
 
 @query("N14_gap_profile", """SELECT CASE WHEN p.status IN ('done', 'empty') THEN 'matched' WHEN p.status = 'error' THEN 'pending' ELSE 'none' END AS bucket, count(*) AS n, count(*) FILTER (WHERE coalesce(trim(d.website), '') <> '') AS searchable FROM directory d LEFT JOIN progress p ON p.college_id = d.college_id GROUP BY 1""")
