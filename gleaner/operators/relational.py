@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import missing
@@ -62,3 +62,16 @@ def batch_score(n: Column, missing_percent: Column, blanks: Column, min_rows: in
     score = F.lit(100.0) - F.when(n < min_rows, 50.0).otherwise(0.0)
     score = score - F.least(F.lit(40.0), F.greatest(F.lit(0.0), missing_percent - max_percent)) - F.least(F.lit(20.0), blanks.cast("double"))
     return F.round(F.greatest(F.lit(0.0), score), 1)
+
+
+def guarded_select(spark: SparkSession, sql: str, most: int = 1000, **tables: DataFrame) -> DataFrame:
+    """Rows of one SELECT over given tables, at most ``most``; anything else is refused."""
+    text = sql.strip()
+    if ";" in text or not text.lower().startswith(("select ", "with ")):
+        raise ValueError("one SELECT without a semicolon is asked for")
+    return spark.sql(text, **tables).limit(most)
+
+
+def preview(df: DataFrame, drop: Sequence[str] = (), clip: int = 300) -> DataFrame:
+    """All rows without heavy columns, texts clipped."""
+    return df.select(*(F.left(c, F.lit(clip)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes if c not in drop))
