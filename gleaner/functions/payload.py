@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,3 +47,43 @@ def nodes(df: DataFrame, v: str = "v", depth: int = 3) -> DataFrame:
         out.append(level.select("path", kind_of(F.col("v")).alias("kind"), F.octet_length(F.to_json("v")).cast("long").alias("bytes")))
         level = level.where(kind_of(F.col("v")) == "object")
     return reduce(DataFrame.union, out)
+
+
+def located(df: DataFrame, markers: Sequence[str], v: str = "v", depth: int = 3) -> DataFrame:
+    """``df`` with ``node``: the first object in ``v``, down to ``depth`` levels, that has all of the marker keys; the
+    shallowest one, then the first by its path. Rows without one have a null node."""
+    spark, rest = df.sparkSession, [c for c in df.columns if c != v]
+    keyed = df.withColumn("_row", F.xxhash64(*rest))
+    level, found = keyed.select("_row", F.lit("").alias("path"), F.col(v).alias("v")), []
+    for i in range(depth + 1):
+        keys = F.json_object_keys(F.when(kind_of(F.col("v")) == "object", F.to_json("v")))
+        found.append(level.where(F.forall(F.array(*map(F.lit, markers)), lambda m: F.array_contains(keys, m))).select("_row", F.struct(F.lit(i).alias("depth"), "path").alias("at"), F.to_json("v").alias("node")))
+        if i < depth:
+            level = spark.sql("SELECT _row, concat(path, '.', coalesce(key, lpad(pos, 6, '0'))) AS path, value AS v FROM {level}, LATERAL variant_explode(v)", level=level)
+    first = reduce(DataFrame.union, found).groupBy("_row").agg(F.min_by("node", "at").alias("node"))
+    return keyed.join(first, "_row", "left").select(*rest, F.try_parse_json("node").alias("node"))
+
+
+def flattened(df: DataFrame, key: str, v: str = "v", depth: int = 4) -> DataFrame:
+    """A row (..., node) for each object that holds ``key``, however lists and objects are nested around it."""
+    spark, rest = df.sparkSession, [c for c in df.columns if c != v]
+    level, found = df.withColumnRenamed(v, "v"), []
+    names = ", ".join(rest)
+    for _ in range(depth + 1):
+        holds = F.coalesce(F.array_contains(F.json_object_keys(F.when(kind_of(F.col("v")) == "object", F.to_json("v"))), key), F.lit(False))
+        found.append(level.where(holds).select(*rest, F.col("v").alias("node")))
+        level = spark.sql(f"SELECT {names}, value AS v FROM {{level}}, LATERAL variant_explode(v)", level=level.where(~holds))
+    return reduce(DataFrame.union, found)
+
+
+def names_joined(v: Column) -> Column:
+    """A list of texts or of objects with a name, or one text, as distinct names joined by commas."""
+    one = lambda x: F.trim(F.coalesce(F.when(kind_of(x) == "object", field(x, "$.name", "string")).otherwise(field(x, "$", "string")), F.lit("")))
+    many = F.array_distinct(F.filter(F.transform(field(v, "$", "array<variant>"), one), lambda x: x != ""))
+    return F.when(kind_of(v) == "list", F.array_join(many, ", ")).when(kind_of(v) == "text", F.trim(field(v, "$", "string"))).otherwise("")
+
+
+def repaired(text: Column) -> Column:
+    """A stored object as a variant, whether it was stored as JSON or as a Python literal."""
+    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.to_json(F.from_json(literal, "map<string,string>"))))

@@ -57,7 +57,7 @@ recruiters          list:companyName  recruitmentCompanies
 streams             list:name  streamObjects
 accepted_exams      list:name,examName,fullName  acceptedExams admissionData.examList
 rankings            list:rankingString,name  instituteTopCardData.rankingData
-highlights          list:value,description  highlightsInfo.highlights
+highlights          titled    highlightsInfo.highlights
 admission_text      text:4000 admissionData.admissionDetails
 admission_updated   text:40   admissionData.admissionPostedDate
 description         text:4000 description
@@ -299,6 +299,11 @@ def column_of(v: Column, kind: str, paths: list[str]) -> Column:
         case "list":
             found = [F.coalesce(items(v, p, option.split(",") if option else []), F.array().cast("array<string>")) for p in paths]
             return as_list(F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0])
+        case "titled":
+            part = lambda x, *keys: F.coalesce(*(F.nullif(plain_text(field(x, f"$.{k}", "string")), F.lit("")) for k in keys), F.lit(""))
+            line = lambda x: F.trim(F.concat(F.left(part(x, "title", "key", "name"), F.lit(80)), F.lit(": "), F.left(part(x, "value", "description"), F.lit(160))), F.lit(": "))
+            found = F.filter(F.transform(field(v, paths[0], "array<variant>"), line), lambda x: x != "")
+            return as_list(F.coalesce(found, F.array().cast("array<string>")))
         case "keys":
             return as_list(F.array_sort(F.map_keys(field(v, paths[0], "map<string,variant>"))))
         case "steps":
@@ -378,3 +383,10 @@ def programme_rows(df: DataFrame, root: str, v: str = "v") -> DataFrame:
         "country_code": F.when((segment != "") & (segment != "university"), segment).otherwise(""),
         **{c: absolute_url(F.col(c), root) for c in ("university_url", "program_url", "logo_url")},
     })
+
+
+def scholarship_amount(text: Column) -> tuple[Column, Column, Column]:
+    """(rupees, amount, currency) of '₹1,436,100 ($15,000)'."""
+    inr = scaled_amount(F.nullif(F.regexp_extract(text, "₹\\s*([0-9,]+)", 1), F.lit("")))
+    currency, amount = native_fee(F.nullif(F.regexp_extract(text, "\\(([^)]+)\\)", 1), F.lit("")))
+    return inr, amount, currency

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words that no name is told by.
 STOP_WORDS = ("of", "the", "and", "for", "in", "at", "a", "an", "s")
 
 
@@ -21,15 +22,72 @@ def nonzero(c: Column) -> Column:
     return F.when(c != 0, c)
 
 
+#: A number and its unit, tried in this order: a fixed value.
+FEE = r"([0-9][0-9.]*)\s*(lakhs?|crores?|cr|l|k|thousand)?"
+
+
 def fee_to_units(text: Column) -> Column:
     """Whole currency units of a fee text such as '₹ 1.5 Lakh'; half-even; NULL if there is no number."""
     t = F.trim(F.regexp_replace(F.lower(text), "[,₹]|inr", ""))
-    number = F.regexp_extract(t, r"([0-9][0-9.]*)\s*(lakhs?|crores?|cr|l|k|thousand)?", 1)
-    unit = F.regexp_extract(t, r"([0-9][0-9.]*)\s*(lakhs?|crores?|cr|l|k|thousand)?", 2)
+    number, unit = F.regexp_extract(t, FEE, 1), F.regexp_extract(t, FEE, 2)
     scale = F.when(unit.startswith("l"), 100_000).when(unit.startswith("c"), 10_000_000).when(unit.isin("k", "thousand"), 1000).otherwise(1)
     return F.bround(number.try_cast("double") * scale).cast("long")
 
 
+def clean_fee(text: Column) -> Column:
+    """A fee cell as it is shown: dashes are absent, one blank before a bracket, the sign before a bare number."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    t = F.regexp_replace(F.regexp_replace(t, r"\s*\(", " ("), r"₹\s+", "₹")
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    shown = F.when(t.rlike("^[0-9,]"), F.concat(F.lit("₹"), t)).otherwise(t)
+    return F.when(F.trim(F.coalesce(text, F.lit(""))).isin("", "-", "—", "N/A", "NA", "--"), "").otherwise(shown)
+
+
+def clean_date(text: Column) -> Column:
+    t = F.trim(F.coalesce(text.cast("string"), F.lit("")))
+    return F.when(t == "0000-00-00", "").otherwise(t)
+
+
+def stream_name(stream: Column) -> Column:
+    """Label of a stream number; an unknown one is named by it, what is no number is ''."""
+    # Labels of the streams 1 to 20.
+    labels = (
+        "Agriculture", "Architecture", "Arts", "Aviation", "Commerce", "Computer Applications", "Dental", "Design", "Education", "Engineering",
+        "Hotel Management", "Law", "Management", "Mass Communications", "Medical", "Paramedical", "Pharmacy", "Science", "Veterinary Sciences", "Vocational Courses",
+    )
+    n = stream.try_cast("int")
+    known = F.when(n >= 1, F.try_element_at(F.array(*map(F.lit, labels)), n))
+    return F.when(n.isNull(), "").otherwise(F.coalesce(known, F.concat(F.lit("Stream "), n.cast("string"))))
+
+
+def plain_tokens(c: Column) -> Column:
+    """Distinct words without stop words and numbers; single letters stay single."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda x: (x != "") & ~x.rlike("^[0-9]+$") & ~x.isin(*STOP_WORDS)))
+
+
+def address_kind(url: Column) -> Column:
+    """struct(kind, slug, id, tab) of an address's path: college, college_tab, offering, university, university_sub or other."""
+    # Tabs of a college page.
+    tabs = ("courses", "fees", "reviews", "admission", "cutoff", "placement", "scholarships", "infrastructure")
+    path = F.rtrim(F.regexp_replace(F.regexp_replace(F.lower(url), "^[a-z]+://[^/]*", ""), "[?#].*$", ""), F.lit("/"))
+    part = lambda pattern, i: F.nullif(F.regexp_extract(path, pattern, i), F.lit(""))
+    home, sub = r"^/college/([^/]+)-([0-9]+)$", r"^/college/([^/]+)-([0-9]+)/(.+)$"
+    offer, uni, uni_sub = r"^/college/[^/]+-[0-9]+/course-([^/]+)-([0-9]+)$", r"^/university/([^/]+)-([0-9]+)$", r"^/university/([^/]+)-([0-9]+)/.+$"
+    first = F.element_at(F.split(part(sub, 3), "/"), 1)
+    of = lambda kind, p, tab=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), part(p, 1).alias("slug"), part(p, 2).try_cast("long").alias("id"), tab.alias("tab"))
+    nothing = F.struct(F.lit("other").alias("kind"), F.lit(None).cast("string").alias("slug"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("tab"))
+    return (
+        F.when(path.rlike(home), of("college", home)).when(path.rlike(offer), of("offering", offer))
+        .when(path.rlike(sub), of("college_tab", sub, F.when(first.isin(*tabs), first).otherwise("other")))
+        .when(path.rlike(uni), of("university", uni)).when(path.rlike(uni_sub), of("university_sub", uni_sub)).otherwise(nothing)
+    )
+
+
+def encoded(payload: Column) -> Column:
+    """A payload as compact JSON in base 64."""
+    return F.base64(F.to_json(payload).cast("binary"))
+
+
 def duration_months(text: Column) -> Column:
     """Months of '2 years', '6 months' or '10 weeks'; NULL if none of them stands there."""
     of = lambda unit: F.regexp_extract(F.lower(text), rf"([0-9.]+)\s*{unit}", 1).try_cast("double")

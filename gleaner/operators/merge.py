@@ -61,3 +61,16 @@ def insert_if_absent(target: DataFrame, batch: DataFrame, pk: Sequence[str]) ->
 def update_only(target: DataFrame, batch: DataFrame, pk: Sequence[str], policy: Policy = preserve) -> DataFrame:
     """Patch known rows; keys that the table lacks are not inserted."""
     return upsert(target, batch.join(target.select(*pk), list(pk), "left_semi"), pk, policy)
+
+
+def staged(payloads: DataFrame, keys: Sequence[str], order: Sequence[str], literal_nulls: bool = False) -> DataFrame:
+    """One payload for each (job_id, table_name, pk): the last. ``pk`` is the keys' text joined by ``|``; rows without a
+    whole key go, or with ``literal_nulls`` an absent key is the text ``None``."""
+    parts = [F.coalesce(F.col(k).cast("string"), F.lit("None")) if literal_nulls else F.col(k).cast("string") for k in keys]
+    keyed = payloads.withColumn("pk", F.concat(*(x for i, p in enumerate(parts) for x in ((F.lit("|"), p) if i else (p,)))))
+    return last_wins(keyed, ["job_id", "table_name", "pk"], order)
+
+
+def patched(target: DataFrame, batch: DataFrame, pk: Sequence[str]) -> DataFrame:
+    """Stored values of known rows are replaced only where the batch has one that isn't NULL."""
+    return update_only(target, batch, pk, lambda old, new: F.coalesce(new, old))

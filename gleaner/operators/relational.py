@@ -75,3 +75,31 @@ def guarded_select(spark: SparkSession, sql: str, most: int = 1000, **tables: Da
 def preview(df: DataFrame, drop: Sequence[str] = (), clip: int = 300) -> DataFrame:
     """All rows without heavy columns, texts clipped."""
     return df.select(*(F.left(c, F.lit(clip)).alias(c) if kind == "string" else F.col(c) for c, kind in df.dtypes if c not in drop))
+
+
+def slices_within(df: DataFrame, dims: Sequence[str], cap: int) -> DataFrame:
+    """(dims, n): slices of at most ``cap`` rows, each split by the next dimension only where it is larger; the last
+    dimension isn't split. A dimension that a slice leaves open is NULL there."""
+    depth = sum((1 - F.grouping(d) for d in dims), F.lit(0))
+    tree = df.rollup(*dims).agg(F.count(F.lit(1)).alias("n"), depth.alias("_depth"))
+    above = [F.when(F.col("_depth") > i + 1, F.col(d)) for i, d in enumerate(dims)]  # what the slice above holds fixed
+    parent = F.sum("n").over(Window.partitionBy("_depth", *above))
+    keep = ((F.col("n") <= cap) | (F.col("_depth") == len(dims))) & ((F.col("_depth") == 0) | (F.col("_parent") > cap))
+    return tree.withColumn("_parent", parent).where(keep).select(*dims, "n")
+
+
+def grown(state: DataFrame, batch: DataFrame, key: str, sets: Sequence[str], newest: Sequence[str], shortest: Sequence[str]) -> DataFrame:
+    """A state that only grows: sets are united, the newest and the shortest value of others stay."""
+    s, b = state.alias("s"), batch.alias("b")
+    joined, of = s.join(b, F.col(f"s.{key}") == F.col(f"b.{key}"), "full_outer"), lambda c: (F.col(f"s.{c}"), F.col(f"b.{c}"))
+    none = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    short = lambda x, y: F.when(y.isNull() | (F.struct(F.length(x), x) <= F.struct(F.length(y), y)), x).otherwise(y)
+    return joined.select(
+        F.coalesce(*of(key)).alias(key), *(F.array_sort(F.array_union(*map(none, of(c)))).alias(c) for c in sets), *(F.greatest(*of(c)).alias(c) for c in newest),
+        *(F.when(F.col(f"s.{c}").isNull(), F.col(f"b.{c}")).otherwise(short(*of(c))).alias(c) for c in shortest),
+    )
+
+
+def flat_score(n: Column, missing_percent: Column, min_rows: int = 1, max_percent: float = 100.0) -> Column:
+    """0 to 100 by flat rules: too few rows cost 50, too many missing values 30."""
+    return F.lit(100) - F.when(n < min_rows, 50).otherwise(0) - F.when(missing_percent > max_percent, 30).otherwise(0)

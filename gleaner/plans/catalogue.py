@@ -77,7 +77,7 @@ def links_exploded(t):
     return t.pages.select(F.explode(P.links(F.col("html"))).alias("link")).groupBy("link").agg(n())
 
 
-@query("A11_script_state")
+@query("A11_script_state", r"""SELECT page_id, nullif(regexp_extract(html, '<style>p(\{[^{}]*\})', 1), '') AS state FROM pages""")
 def script_state(t):
     """The rule block of each page's style element, by balanced braces."""
     return P.script_state(t.pages.select("page_id", "html"), "html", "<style>p").select("page_id", "state")

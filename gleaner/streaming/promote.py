@@ -10,26 +10,29 @@ from pyspark.sql import functions as F
 from ..operators.merge import Policy, last_wins, overwrite, upsert
 
 
-def promote(spark: SparkSession, staging: str, master: str, checkpoint: str, schema: str, pk: Sequence[str], order: Sequence[str], policy: Policy = overwrite) -> None:
-    """Drain the staged files into ``master`` and stop. A batch that is repeated after a failure changes
-    nothing: each one writes a version of the table of its own and only then points the table to it."""
+def promote(spark: SparkSession, staging: str, master: str, checkpoint: str, schema: str, pk: Sequence[str], order: Sequence[str], policy: Policy = overwrite, every: str | None = None) -> None:
+    """Drain the staged files into ``master`` and stop, or with ``every`` look for new ones at that interval until the
+    query is stopped. A batch that is repeated after a failure changes nothing: it reads the newest version before
+    its own, writes its own and only then points the table to it."""
     reader = spark.readStream.schema(schema).parquet(staging)
 
     def merge(batch: DataFrame, number: int) -> None:
         rows = last_wins(batch, pk, order)
-        old = current(spark, master)
+        old = current(spark, master, number)
         new = rows if old is None else upsert(old, rows, pk, policy)
         new.write.mode("overwrite").parquet(f"{master}/v{number}")
         spark.range(1).select(F.lit(number).alias("version")).write.mode("append").json(f"{master}/versions")
 
-    reader.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    reader.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(**trigger).start().awaitTermination()
 
 
-def current(spark: SparkSession, master: str) -> DataFrame | None:
+def current(spark: SparkSession, master: str, before: int | None = None) -> DataFrame | None:
+    """The newest version of a table, or the newest before a number; None if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        version = spark.read.schema("version long").json(f"{master}/versions").agg(F.max("version")).first()[0]
+        version = spark.read.schema("version long").json(f"{master}/versions").where(F.lit(True) if before is None else F.col("version") < before).agg(F.max("version")).first()[0]
     except AnalysisException:
         return None
     return None if version is None else spark.read.parquet(f"{master}/v{version}")
