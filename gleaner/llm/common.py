@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper limit of text that one step of Python work holds as separate words.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 NOT_DIGITS = re.compile(r"\D")
 
 
@@ -57,7 +57,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         return df.select("*").checkpoint()
 
 
-def in_small_batches(df: DataFrame, batch_bytes: int = 4 << 20) -> DataFrame:
+def in_small_batches(df: DataFrame, batch_bytes: int = 2 << 20) -> DataFrame:
     """``df``, with the session's Arrow batches held to some megabytes: 10,000 long texts are no unit of work."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if not 0 < int(NOT_DIGITS.sub("", conf.get(name))) <= batch_bytes:

@@ -285,6 +285,8 @@ DOUBT = 4
 CELL_SHINGLES = 1 << 20
 #: Members of larger components are compared with so many chosen ones before the rest is compared with all.
 PIVOTS = 3
+#: Postings that are counted at once.
+POSTINGS = 1 << 17
 BROADCAST_BYTES = 64 << 20
 #: One odd factor for each smallest hash.
 FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + ONE
@@ -386,8 +388,11 @@ def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> np.n
             continue
         own = value[at[i] : at[i] + sizes[i]]
         spans = df[own]
-        lists = posted[np.repeat(first[own] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())]
-        both = np.bincount(lists, minlength=m)
+        both = np.zeros(m, dtype=np.int64)
+        cuts = np.r_[np.searchsorted(np.cumsum(spans), np.arange(0, spans.sum(), POSTINGS)), len(own)]
+        for a, z in zip(cuts, cuts[1:]):  # the postings of all members at once would be too many where many sets are alike
+            n = spans[a:z]
+            both += np.bincount(posted[np.repeat(first[own[a:z]] - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=m)
         found = np.flatnonzero(other & (both > 0) & (both >= similarity * (sizes + sizes[i] - both)))
         if len(found):
             # one link for each tree reached

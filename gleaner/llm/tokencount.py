@@ -19,7 +19,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a word in the vocabulary.
 MARK = "▁"
 #: Words whose counts a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 def pieces_of(path: str) -> list[str]:

@@ -37,7 +37,7 @@ MARKER_SHARE, MARKER_EVIDENCE = 0.95, 5.0
 FEATURES = 20_000
 SPAN_PROBABILITY = 0.5
 THRESHOLD = 0.3
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 2 << 20
 
 
 def features(word: str) -> list[str]:
@@ -118,7 +118,7 @@ class Emissions(dict):
         self.field = field
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         x = self[word] = self.field.emission(word)
         return x
