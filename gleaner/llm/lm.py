@@ -6,12 +6,12 @@ probability, and a failure arc to the root that costs the state's backoff weight
 every word. One traversal from left to right carries the state over a text and adds up log-probabilities;
 the score is exactly that sum, with no cap on states or arcs.
 
-Counting covers all training rows, by 64-bit hashes. Texts are dealt into blocks, and a block tells each part of
-the model the words and pairs that it holds, with their counts in training rows. A part adds up what all
-blocks tell it and answers each block with the totals of that block's own words and pairs, so counting and
-asking are one exchange. What the arcs of a state leave over is added up by history in a second, small one.
-Pairs are dealt by both words, so a frequent history meets nowhere; the model stays distributed and each task
-has the automaton of its own block only.
+Counting covers all training rows. Texts are dealt into blocks, and in each of two rounds a block tells the parts of
+the model what it holds, a part adds up what all blocks tell it, and answers each block with the totals of
+that block's own entries, so counting and asking are one exchange. First words, by 64-bit hashes: a part numbers
+its words, frequent ones low. Then pairs of numbers, dealt by both words, so that a frequent history meets nowhere;
+what the arcs of a state take is added up by history in a third, small exchange. The model stays distributed; each task
+has the automaton of its own block only. Numbers are sent in planes of bytes, of which most are zeros that compress away.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def hashed(word: bytes) -> int:
 
 
 START_HASH = np.uint64(hashed(START))
-NAMES = ("words", "totals", "pairs", "counts", "states", "backoffs")
+NAMES = ("words", "ids", "totals", "u", "w", "counts", "states", "backoffs")
 ANSWER = "part long, block long, " + ", ".join(f"{c} binary" for c in NAMES)
 
 
@@ -66,17 +66,28 @@ def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     return out, u64([hashed(w) for w in numbers])
 
 
-def pair_keys(history: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One hash of each pair."""
-    with np.errstate(over="ignore"):
-        x = history * np.uint64(0x9E3779B97F4A7C15) + word
-        return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+def planes(x: np.ndarray) -> bytes:
+    """Numbers as bytes, all first bytes before all second ones."""
+    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(cells: list[bytes | None]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(c, dtype=np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for c in cells if c)])
 
 
 def read(cells: list[bytes | None], kind=np.uint64) -> np.ndarray:
     return np.frombuffer(b"".join(x or b"" for x in cells), dtype=kind)
 
 
+def row(part: int, block: int, **cells: bytes) -> tuple:
+    return part, block, *(cells.get(c, b"") for c in NAMES)
+
+
+def answer_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), *[pa.binary()] * len(NAMES))
+    return pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["part", "block", *NAMES])
+
+
 def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Index of each value in a sorted array, -1 if it isn't there."""
     if not len(table):
@@ -92,97 +103,128 @@ def runs(part: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, dict[int, sli
     return order, {int(p): slice(a, z) for p, a, z in zip(own, starts, [*starts[1:], len(part)])}
 
 
-def told(t: pa.Table, n_parts: int) -> pa.Table:
-    """What one block tells the parts: its words and pairs with their counts in training rows."""
+def tell_words(t: pa.Table, n_parts: int) -> pa.Table:
+    """The words of one block, with their counts in training rows."""
     texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
-    sizes = np.array([len(x) for x in texts])
-    token, training = np.concatenate(texts), np.repeat(t["training"].to_numpy().astype(np.int64), sizes)
-    counts = np.bincount(token, training, len(hashes)).astype(np.int64)
+    training = np.repeat(t["training"].to_numpy().astype(np.int64), [len(x) for x in texts])
+    counts = np.bincount(np.concatenate(texts), training, len(hashes)).astype(np.int64)
+    order, of = runs(hashes % np.uint64(n_parts), hashes)
+    hashes, counts, block = hashes[order], counts[order], t["block"][0].as_py()
+    return answer_table([row(p, block, words=hashes[x].tobytes(), totals=planes(counts[x])) for p, x in of.items()])
+
+
+def answer_words(t: pa.Table, n_parts: int) -> pa.Table:
+    """Numbers and totals of each block's words, of those that training rows hold; with block -1 the part's
+    number of tokens and of words."""
+    part, cells = t["part"][0].as_py(), t["words"].to_pylist()
+    words, which = np.unique(read(cells), return_inverse=True)
+    totals = np.bincount(which, unplaned(t["totals"].to_pylist()), len(words)).astype(np.int64)
+    ids = np.empty(len(words), dtype=np.int64)
+    ids[np.argsort(-totals, kind="stable")] = np.arange(len(words)) * n_parts + part
+    own = words != START_HASH
+    rows, a = [row(part, -1, totals=planes(np.array([totals[own].sum(), (totals[own] > 0).sum()])))], 0
+    for block, x in zip(t["block"].to_pylist(), cells):
+        at = which[a : a + len(x) // 8]
+        a, at = a + len(at), at[totals[at] > 0]
+        rows.append(row(part, block, words=words[at].tobytes(), ids=planes(ids[at]), totals=planes(totals[at])))
+    return answer_table(rows)
+
+
+def ids_of(hashes: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, total) of each word of a block, from the parts' answers."""
+    words, at = np.unique(read(told["words"].to_pylist()), return_index=True)
+    found = place(words, hashes)
+    of = lambda c, none: np.r_[unplaned(told[c].to_pylist())[at], none][found]
+    return of("ids", -1), of("totals", 0)
+
+
+def pair_parts(u: np.ndarray, w: np.ndarray, n_parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(8)) % np.uint64(n_parts)
+
+
+def tell_pairs(t: pa.Table, told: pa.Table, n_parts: int) -> pa.Table:
+    """The pairs of known words of one block, with their counts in training rows."""
+    if not t.num_rows:
+        return answer_table([])
+    texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
+    ids, _ = ids_of(hashes, told)
+    token, training = np.concatenate(texts), np.repeat(t["training"].to_numpy().astype(np.int64), [len(x) for x in texts])
     inner = np.flatnonzero(token != 1)  # tokens that have one before them
     pair, which = np.unique(token[inner - 1] * len(hashes) + token[inner], return_inverse=True)
-    pair_counts = np.bincount(which, training[inner], len(pair)).astype(np.int32)
-    u, w = hashes[pair // len(hashes)], hashes[pair % len(hashes)]
-    order, words_of = runs(hashes % np.uint64(n_parts))
-    hashes, counts = hashes[order], counts[order]
-    order, pairs_of = runs(pair_keys(u, w) % np.uint64(n_parts), u)
-    u, w, pair_counts = u[order], w[order], pair_counts[order]
-    none = slice(0, 0)
-    parts = sorted({*words_of, *pairs_of})
-    cells = {
-        "words": [hashes[words_of.get(p, none)] for p in parts], "word_counts": [counts[words_of.get(p, none)] for p in parts],
-        "u": [u[pairs_of.get(p, none)] for p in parts], "w": [w[pairs_of.get(p, none)] for p in parts], "pair_counts": [pair_counts[pairs_of.get(p, none)] for p in parts],
-    }
-    block = t["block"][0].as_py()
-    return pa.table({"part": pa.array(parts, pa.int64()), "block": pa.array([block] * len(parts), pa.int64()), **{c: pa.array([x.tobytes() for x in v], pa.binary()) for c, v in cells.items()}})
-
-
-def answered(t: pa.Table) -> pa.Table:
-    """What one part answers: to each block the totals of its words and of its arcs; with block -1 the part's
-    number of tokens and words; with block -2 what its arcs take of their histories."""
-    part, cells = t["part"][0].as_py(), {c: t[c].to_pylist() for c in ("words", "word_counts", "u", "w", "pair_counts")}
-    words, which = np.unique(read(cells["words"]), return_inverse=True)
-    totals = np.bincount(which, read(cells["word_counts"], np.int64), len(words)).astype(np.int64)
-    u = read(cells["u"])
-    pairs, first, which_pair = np.unique(pair_keys(u, read(cells["w"])), return_index=True, return_inverse=True)
-    counts = np.bincount(which_pair, read(cells["pair_counts"], np.int32), len(pairs)).astype(np.int64)
+    counts = np.bincount(which, training[inner], len(pair)).astype(np.int64)
+    u, w = ids[pair // len(hashes)], ids[pair % len(hashes)]
+    known = (u >= 0) & (w >= 0)
+    u, w, counts = u[known], w[known], counts[known]
+    order, of = runs(pair_parts(u, w, n_parts), w, u)
+    u, w, counts, block = u[order], w[order], counts[order], t["block"][0].as_py()
+    return answer_table([row(p, block, u=planes(u[x]), w=planes(w[x]), counts=planes(counts[x])) for p, x in of.items()])
+
+
+def answer_pairs(t: pa.Table) -> pa.Table:
+    """Counts of each block's arcs; with block -2 what the part's arcs take of their histories."""
+    part, cells = t["part"][0].as_py(), t["u"].to_pylist()
+    u, w = unplaned(cells), unplaned(t["w"].to_pylist())
+    order = np.lexsort((w, u))
+    first = np.r_[True, (np.diff(u[order]) != 0) | (np.diff(w[order]) != 0)] if len(u) else np.zeros(0, dtype=bool)
+    which = np.empty(len(u), dtype=np.int64)
+    which[order] = np.cumsum(first) - 1
+    counts = np.bincount(which, unplaned(t["counts"].to_pylist()), int(first.sum())).astype(np.int64)
     arcs = counts >= LEAST
-    own = words != START_HASH
-    histories, of = np.unique(u[first[arcs]], return_inverse=True)
+    histories, of = np.unique(u[order][first][arcs], return_inverse=True)
     taken = np.bincount(of, counts[arcs] - DISCOUNT, len(histories))
-    rows = [
-        (part, -1, b"", np.array([totals[own].sum(), (totals[own] > 0).sum()]).tobytes(), b"", b"", b"", b""),
-        (part, -2, b"", b"", b"", b"", histories.tobytes(), taken.tobytes()),
-    ]
-    a = b = 0
-    for block, x, y in zip(t["block"].to_pylist(), cells["words"], cells["u"]):
-        at, pair_at = which[a : a + len(x) // 8], which_pair[b : b + len(y) // 8]
-        a, b = a + len(at), b + len(pair_at)
-        at, pair_at = at[totals[at] > 0], pair_at[arcs[pair_at]]
-        rows.append((part, block, words[at].tobytes(), totals[at].tobytes(), pairs[pair_at].tobytes(), counts[pair_at].tobytes(), b"", b""))
-    return pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), *[pa.binary()] * 6))], ["part", "block", *NAMES])
+    rows, a = [row(part, -2, states=planes(histories), backoffs=taken.tobytes())], 0
+    for block, x in zip(t["block"].to_pylist(), cells):
+        at = np.arange(a, a + len(x) // 8)
+        a, at = a + len(at), at[arcs[which[at]]]
+        rows.append(row(part, block, u=planes(u[at]), w=planes(w[at]), counts=planes(counts[which[at]])))
+    return answer_table(rows)
 
 
 def left_over(asked: pa.Table, taken: pa.Table) -> pa.Table:
     """Backoff weights of the words that a part has told to each block: what their arcs leave over."""
-    states, which = np.unique(read(taken["states"].to_pylist()), return_inverse=True)
+    states, which = np.unique(unplaned(taken["states"].to_pylist()), return_inverse=True)
     mass = np.bincount(which, read(taken["backoffs"].to_pylist(), np.float64), len(states))
-    out = []
-    for raw, totals in zip(asked["words"].to_pylist(), asked["totals"].to_pylist()):
-        words = read([raw])
-        at = place(states, words)
+    rows = []
+    for part, block, x, y in zip(*(asked[c].to_pylist() for c in ("part", "block", "ids", "totals"))):
+        ids = unplaned([x])
+        at = place(states, ids)
         some = at >= 0
-        out.append((words[some].tobytes(), (1 - mass[at[some]] / read([totals], np.int64)[some]).tobytes()))
-    empty = pa.array([b""] * len(out), pa.binary())
-    return pa.table([asked["part"], asked["block"], empty, empty, empty, empty, pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary())], ["part", "block", *NAMES])
+        rows.append(row(part, block, states=planes(ids[some]), backoffs=(1 - mass[at[some]] / unplaned([y])[some]).tobytes()))
+    return answer_table(rows)
+
+
+def by_history(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
+    """Histories and what arcs take of them, sent to the parts that have numbered the histories."""
+    for b in batches:
+        states, taken = unplaned(b.column("states").to_pylist()), read(b.column("backoffs").to_pylist(), np.float64)
+        order, of = runs(states % n_parts)
+        states, taken = states[order], taken[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(of), pa.int64()), pa.array([planes(states[s]) for s in of.values()], pa.binary()), pa.array([taken[s].tobytes() for s in of.values()], pa.binary())],
+            ["part", "states", "backoffs"],
+        )
 
 
 def train(blocks: DataFrame, n_parts: int) -> tuple[DataFrame, int, int]:
     """(answers to the blocks, number of training tokens, number of distinct ones). ``blocks``: (block, text, training)."""
-    tells = blocks.groupBy("block").applyInArrow(lambda t: told(t, n_parts), "part long, block long, words binary, word_counts binary, u binary, w binary, pair_counts binary")
-    answers = checkpointed(tells.groupBy("part").applyInArrow(answered, ANSWER))
+    told = blocks.groupBy("block").applyInArrow(lambda t: tell_words(t, n_parts), ANSWER)
+    words = checkpointed(told.groupBy("part").applyInArrow(lambda t: answer_words(t, n_parts), ANSWER))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = read(b.column("totals").to_pylist(), np.int64).reshape(-1, 2).sum(axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array([int(x[0])]), pa.array([int(x[1])])], ["n", "v"])
+            x = [unplaned([c]) for c in b.column("totals").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(sum(c[i] for c in x))]) for i in (0, 1)], ["n", "v"])
 
-    n, v = answers.where("block = -1").mapInArrow(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    n, v = words.where("block = -1").mapInArrow(sums, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    asked = words.where("block >= 0")
+    told = blocks.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(lambda t, k: tell_pairs(t, k, n_parts), ANSWER)
+    pairs = checkpointed(told.groupBy("part").applyInArrow(answer_pairs, ANSWER))
     # arcs are dealt by both words, their histories by themselves
-    histories = answers.where("block = -2").mapInArrow(lambda batches: dealt(batches, n_parts), "part long, states binary, backoffs binary")
-    asked = answers.where("block >= 0").select("part", "block", "words", "totals")
+    histories = pairs.where("block = -2").mapInArrow(lambda batches: by_history(batches, n_parts), "part long, states binary, backoffs binary")
     weights = asked.groupBy("part").cogroup(histories.groupBy("part")).applyInArrow(left_over, ANSWER)
-    return answers.where("block >= 0").union(weights), n or 0, v or 0
-
-
-def dealt(batches: Iterator[pa.RecordBatch], n_parts: int) -> Iterator[pa.RecordBatch]:
-    """Histories and what arcs take of them, sent to the parts that own the histories as words."""
-    for b in batches:
-        states, taken = read(b.column("states").to_pylist()), read(b.column("backoffs").to_pylist(), np.float64)
-        order, of = runs(states % np.uint64(n_parts))
-        states, taken = states[order], taken[order]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(of), pa.int64()), *(pa.array([x[s].tobytes() for s in of.values()], pa.binary()) for x in (states, taken))], ["part", "states", "backoffs"],
-        )
+    return asked.union(pairs.where("block >= 0")).union(weights), n or 0, v or 0
 
 
 class Automaton:
@@ -192,24 +234,21 @@ class Automaton:
     to the root if it has none. The root's arcs are ``root[word]``.
     """
 
-    def __init__(self, hashes: np.ndarray, texts: list[np.ndarray], answers: pa.Table, n: int, v: int):
-        cells = {c: answers[c].to_pylist() for c in NAMES}
-        words, at = np.unique(read(cells["words"]), return_index=True)
-        counts = np.r_[read(cells["totals"], np.int64)[at], 0][place(words, hashes)]
-        states, at = np.unique(read(cells["states"]), return_index=True)
-        at_state = place(states, hashes)
-        backoff = np.r_[read(cells["backoffs"], np.float64)[at], 1.0][at_state]
+    def __init__(self, hashes: np.ndarray, told: pa.Table, n: int, v: int):
+        ids, counts = ids_of(hashes, told)
+        states, at = np.unique(unplaned(told["states"].to_pylist()), return_index=True)
+        at_state = np.where(ids >= 0, place(states, ids), -1)
+        backoff = np.r_[read(told["backoffs"].to_pylist(), np.float64)[at], 1.0][at_state]
         base = (counts + ADD) / (n + ADD * (v + 1))
         self.width = len(hashes)
-        pair = np.unique(np.concatenate([x[:-1] * self.width + x[1:] for x in texts]))
-        u, w = pair // self.width, pair % self.width
-        keys, at = np.unique(read(cells["pairs"]), return_index=True)
-        at_arc = place(keys, pair_keys(hashes[u], hashes[w]))
-        pair, u, w, k = (x[at_arc >= 0] for x in (pair, u, w, np.r_[read(cells["counts"], np.int64)[at], 0][at_arc]))
+        # words of the arcs by their places in the block; each is one of the block's words
+        order = np.argsort(ids, kind="stable")
+        local = lambda c: order[np.searchsorted(ids[order], unplaned(told[c].to_pylist()))]
+        u, w, k = local("u"), local("w"), unplaned(told["counts"].to_pylist())
         # interpolated: an arc holds its discounted share and the root's part of what is left over
         logs = np.log10((k - DISCOUNT) / counts[u] + backoff[u] * base[w])
         self.counts, self.base = counts, np.log10(base)
-        self.arcs = dict(zip(pair.tolist(), logs.tolist()))
+        self.arcs = dict(zip((u * self.width + w).tolist(), logs.tolist()))
         self.root = self.base.tolist()
         self.fails = np.log10(np.maximum(backoff, 1e-300)).tolist()
         self.state = np.where(at_state >= 0, np.arange(self.width), -1).tolist()
@@ -245,7 +284,7 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
         if not t.num_rows:
             return pa.table([pa.array([], f.type) for f in [t.schema.field("id"), *LAST]], ["id", *(f.name for f in LAST)])
         texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
-        automaton, rows = Automaton(hashes, texts, told, n, v), []
+        automaton, rows = Automaton(hashes, told, n, v), []
         for x in texts:
             words = x[1:]
             rows.append((len(words), int((automaton.counts[words] > 0).sum()), n, float(automaton.base[words].sum()), automaton.traverse(x.tolist())))
