@@ -104,9 +104,62 @@ def test_linkage(spark):
     pairs = linkage.key_pairs(left, right, "website", "website").unionByName(linkage.best_by_name(left, right))
     merged = {(r.l_id, r.r_id): r for r in linkage.merge_evidence(pairs).collect()}
     assert (merged[1, 10].tier, merged[1, 10].score, merged[1, 10].also) == ("website", 1.0, "name")
-    claims = spark.createDataFrame([(1, 7, "website", "yes"), (2, 7, "website", "yes"), (3, 8, "name", "yes")], "l_id long, r_id long, tier string, verdict string")
+    claims = spark.createDataFrame(
+        [(1, 7, "website", "yes", ["a.b"]), (2, 7, "website", "yes", ["a.b"]), (3, 8, "name", "yes", []), (1, 9, "phone", "yes", ["1"]), (2, 9, "phone", "yes", ["2"]), (3, 9, "name", "pending", []), (2, 10, "email", "yes", ["c"]), (3, 10, "name", "yes", [])],
+        "l_id long, r_id long, tier string, verdict string, evidence array<string>")
     two = spark.createDataFrame([(1, "Pune University"), (2, "Pune University School"), (3, "x")], "id long, name string")
-    assert [(r.r_id, r.kind) for r in linkage.conflicts(claims, two).collect()] == [(7, "shared-signal")]
+    kinds = {r.r_id: (r.n_claims, r.kind) for r in linkage.conflicts(claims, two).collect()}
+    assert kinds == {7: (2, "shared-signal"), 9: (2, "parent-child"), 10: (2, "ambiguous")}  # values must be equal, one for each
+
+
+def best_match(left, right, cap, least):
+    """Blocks opened rarest first until more than ``cap`` distinct rows were seen, over all rows of a block."""
+    out = {}
+    for i, name in left:
+        bag = set(name.split())
+        count = lambda w: sum(w in n.split() for _, n in right)
+        best, seen = None, set()
+        for word in sorted(bag, key=lambda w: (count(w), w))[:3]:
+            for j, other in right:
+                if word in other.split() and j not in seen:
+                    seen.add(j)
+                    both = set(other.split())
+                    score = len(bag & both) / len(bag | both)
+                    if best is None or score > best[1]:
+                        best = (j, score)
+            if len(seen) > cap:
+                break
+        if best and best[1] >= least:
+            out[i] = (best[0], round(best[1], 6))
+    return out
+
+
+def test_best_by_name_against_brute_force(spark):
+    """Common words, equal names, long names, and caps that close blocks after distinct rows."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(14)] + ["common"] * 4 + ["often"] * 2
+    name = lambda k: " ".join(sorted({rng.choice(words) for _ in range(k)}, key=lambda _: rng.random()))
+    left = [(i, name(rng.choice((1, 2, 3, 4, 6, 18)))) for i in range(40)]
+    right = [(100 + i, name(rng.choice((1, 2, 3, 4, 6, 18)))) for i in range(80)]
+    left += [(90, "alpha beta gamma")]
+    right += [(300, "alpha beta x1 x2"), (301, "alpha beta x1 x3"), (302, "gamma")]
+    df = lambda rows: spark.createDataFrame(rows, "id long, name string")
+    for cap in (3, 25, 600):
+        got = {r.l_id: (r.r_id, r.score) for r in linkage.best_by_name(df(left), df(right), cap=cap).collect()}
+        assert got == best_match(left, right, cap, 0.45)
+    assert linkage.best_by_name(df([]), df(right)).count() == linkage.best_by_name(df(left), df([])).count() == 0
+    plan = linkage.best_by_name(df(left), df(right))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan
+
+
+def test_short_forms(spark):
+    kinds = "id long, short_form string, city string"
+    left = spark.createDataFrame([(1, "iit", "New Delhi"), (2, "iit", ""), (3, "", "Delhi"), (4, "iit", "Pune")], kinds)
+    right = spark.createDataFrame([(10 + i, "iit", "Delhi") for i in range(12)] + [(50, "iit", "New Town")], kinds)
+    got = {(r.l_id, r.r_id) for r in linkage.short_form_pairs(left, right).collect()}
+    assert got == {(1, 10 + i) for i in range(8)}
 
 
 def test_sources(spark, tmp_path):
@@ -120,6 +173,8 @@ def test_sources(spark, tmp_path):
     df = spark.createDataFrame([(html,), (None,), ("no state",)], "html string")
     states = [r.state for r in pages.script_state(df, "html", "window.S =").collect()]
     assert states == ['{"k": "}\\"{", "n": {"m": 2}}', None, None]
+    for text, want in (("S = {'a': '}', 'b': 1} {", "{'a': '}', 'b': 1}"), ("S = {\"it's\": {'x': '\"}'}}", "{\"it's\": {'x': '\"}'}}"), ("S = {'open: 1}", None), ("S = {a: {}", None), ("S = {'\\\\': 1}", "{'\\\\': 1}")):
+        assert pages.balanced_object(text, "S =") == want
     row = df.select(pages.script_json(F.col("html")).alias("j"), pages.table_rows(F.col("html")).alias("t"), pages.title(F.col("html")).alias("n")).first()
     assert (row.j, row.t, row.n) == ('{"a": 1}', [["Name"], ["x", "2"]], "T")
     nested = spark.createDataFrame([(1, None, [1, 2])], "a int, b string, c array<int>")
@@ -128,6 +183,62 @@ def test_sources(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first().c == "[1,2]"
 
 
+def test_packed_and_blocked_payloads(spark):
+    import zlib
+
+    packed = [gzip.compress("é".encode()), zlib.compress(b"plain"), b"text", b"\x1f\x8bno", None]
+    df = spark.createDataFrame(list(enumerate(packed)), "id long, content binary")
+    texts = {r.id: r.text for r in pages.decompressed(df).collect()}
+    assert (texts[0], texts[1], texts[2], texts[4]) == ("é", "plain", "text", "") and "no" in texts[3]
+    html = spark.createDataFrame([("<TITLE x> Just A Moment </title>",), ("fine",), ("",), (None,), ("x" * 20_000 + "__cf_chl_",)], "html string")
+    assert [r.b for r in html.select(pages.block_page(F.col("html")).alias("b")).collect()] == [True, False, True, True, False]
+
+
+def test_repeated_batch_changes_nothing(spark, tmp_path):
+    """A batch that is run again after its version was written reads the version before it."""
+    schema, at = "id long, v string, seq long", str(tmp_path)
+    run = lambda point: promote.promote(spark, f"{at}/staging", f"{at}/master", f"{at}/{point}", schema, ["id"], ["seq"])
+    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], schema).coalesce(1).write.parquet(f"{at}/staging")
+    run("first")
+    want = sorted(tuple(r) for r in promote.current(spark, f"{at}/master").collect())
+    run("again")  # a checkpoint that has lost the commit: the same batch number once more
+    assert sorted(tuple(r) for r in promote.current(spark, f"{at}/master").collect()) == want == [(1, "b", 2), (2, "c", 1)]
+
+
+def test_observed_rows(spark):
+    """Each line of the decision table: new, same, resynced, returned, changed, returned with changes."""
+    kinds = "id long, v string"
+    was = spark.createDataFrame([(i, f"v{i}") for i in range(2, 8)], kinds)
+    before = cdc.with_fingerprint(was, ["v"]).withColumn("content_hash", F.when(F.col("id").isin(3, 5), "old rule").when(F.col("id") == 7, None).otherwise(F.col("content_hash")))
+    gone = F.when(F.col("id").isin(4, 5, 6), F.lit("2024-01-01"))
+    before = before.withColumns({"inactive_since": gone, "first_seen": F.lit("2020-01-01"), "last_changed": F.lit("2021-01-01")})
+    after = spark.createDataFrame([(1, "x"), (2, "v2"), (3, "v3"), (4, "v4"), (5, "v5"), (6, "new" * 200), (7, "v7")], kinds)
+    rows = {r.id: r for r in cdc.observed(before, after, ["id"], ["v"], "2024-06-01").collect()}
+    assert {i: (r.verdict, r.resynced) for i, r in rows.items()} == {1: ("new", False), 2: ("same", False), 3: ("same", True), 4: ("returned", False), 5: ("returned", True), 6: ("returned", False), 7: ("new", False)}
+    assert {i for i, r in rows.items() if r.last_changed == "2024-06-01"} == {1, 6, 7} and rows[1].first_seen == "2024-06-01" and rows[3].first_seen == "2020-01-01"
+    log = {(r.id, r.change_type, r.field) for r in cdc.change_log(before, after, ["id"], ["v"]).collect()}
+    assert log == {(1, "new", "*"), (4, "returned", "*"), (5, "returned", "*"), (6, "changed", "v"), (7, "new", "*")}
+    long = cdc.change_log(before, after, ["id"], ["v"]).where("id = 6").first()
+    assert len(long.new_value) == 401 and long.new_value.endswith("…")
+
+
+def test_located_and_flattened(spark):
+    rows = [(1, '{"a": {"b": {"id": 1, "name": "x"}}, "c": {"id": 2, "name": "y"}}'), (2, '[{"id": 3}, [{"id": 4, "name": "z"}]]'), (3, "7"), (4, None), (5, "{broken")]
+    df = spark.createDataFrame(rows, "k long, raw string").select("k", F.try_parse_json("raw").alias("v"))
+    found = {r.k: r.node for r in payload.located(df, ["id", "name"]).select("k", F.to_json("node").alias("node")).collect()}
+    assert found == {1: '{"id":2,"name":"y"}', 2: '{"id":4,"name":"z"}', 3: None, 4: None, 5: None}
+    flat = sorted((r.k, r.i) for r in payload.flattened(df, "id").select("k", payload.field(F.col("node"), "$.id", "long").alias("i")).collect())
+    assert flat == [(1, 1), (1, 2), (2, 3), (2, 4)]
+
+
+def test_guarded_select(spark):
+    df = spark.range(2000)
+    assert R.guarded_select(spark, " SELECT id FROM {t} ", t=df).count() == 1000
+    for bad in ("SELECT 1; SELECT 2", "DROP TABLE x", "INSERT INTO x VALUES (1)"):
+        with pytest.raises(ValueError):
+            R.guarded_select(spark, bad, t=df)
+
+
 def test_promotion_stream(spark, tmp_path):
     schema, at = "id long, v string, seq long", str(tmp_path)
     stage = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/staging")
