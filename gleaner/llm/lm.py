@@ -11,7 +11,7 @@ the model what it holds, a part adds up what all blocks tell it, and answers eac
 that block's own entries, so counting and asking are one exchange. First words, by 64-bit hashes: a part numbers
 its words, frequent ones low. Then pairs of numbers, dealt by both words, so that a frequent history meets nowhere;
 what the arcs of a state take is added up by history in a third, small exchange. The model stays distributed; each task
-has the automaton of its own block only. Numbers are sent in planes of bytes, of which most are zeros that compress away.
+has the automaton of its own block only. Numbers are sent in planes of bytes, of which most are zeros, and compressed.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, u64
+from .common import as_bytes, checkpointed, in_small_batches, u64
 from .sharding import scattered
 
 #: A word pair seen so often is an arc, whatever the input's size.
@@ -32,8 +32,8 @@ LEAST = 2
 DISCOUNT = 0.5
 #: Added to each count of the root.
 ADD = 0.1
-BLOCK_BYTES = 8 << 20
-PART_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+PART_BYTES = 12 << 20
 #: Stand for a text's end and start: no word holds a space.
 END, START = b" end", b" start"
 
@@ -67,12 +67,18 @@ def numbered(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Numbers as bytes, all first bytes before all second ones."""
-    return x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers packed: how many, then all first bytes before all second ones, compressed."""
+    raw = x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def size_of(cell: bytes) -> int:
+    return int.from_bytes(cell[:8], "little")
 
 
 def unplaned(cells: list[bytes | None]) -> np.ndarray:
-    return np.concatenate([np.zeros(0, dtype=np.int64), *(np.frombuffer(c, dtype=np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel() for c in cells if c)])
+    one = lambda c: np.frombuffer(pa.decompress(c[8:], 8 * size_of(c), codec="zstd", asbytes=True), dtype=np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel()
+    return np.concatenate([np.zeros(0, dtype=np.int64), *(one(c) for c in cells if c and size_of(c))])
 
 
 def read(cells: list[bytes | None], kind=np.uint64) -> np.ndarray:
@@ -176,7 +182,7 @@ def answer_pairs(t: pa.Table) -> pa.Table:
     taken = np.bincount(of, counts[arcs] - DISCOUNT, len(histories))
     rows, a = [row(part, -2, states=planes(histories), backoffs=taken.tobytes())], 0
     for block, x in zip(t["block"].to_pylist(), cells):
-        at = np.arange(a, a + len(x) // 8)
+        at = np.arange(a, a + size_of(x))
         a, at = a + len(at), at[arcs[which[at]]]
         rows.append(row(part, block, u=planes(u[at]), w=planes(w[at]), counts=planes(counts[which[at]])))
     return answer_table(rows)
@@ -274,7 +280,7 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
     null text is empty. With no training row at all, N is 0 and every word is unknown. Rows with equal
     ids keep a row each, rows alike in all columns too. Columns besides the two named are not read.
     """
-    source = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
+    source = in_small_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     tagged, _, n_blocks = scattered(source, 3, block_bytes)
     docs = tagged.select(F.col("_gl_bucket").alias("block"), "id", "text", "training")
     answers, n, v = train(docs.select("block", "text", "training"), max(8, n_blocks * block_bytes // PART_BYTES))
