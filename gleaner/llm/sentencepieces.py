@@ -30,7 +30,7 @@ REMEMBERED = 50_000
 SEGMENT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 #: Pairs of pieces that a task remembers.
 PAIRS = 120_000
-#: New words that one suffix array indexes.
+#: Characters that one suffix array indexes.
 INDEXED_CHARS = 1 << 17
 
 
@@ -124,20 +124,28 @@ class PieceCoder:
             key = rank[:n] << np.uint64(32) | rank[have : n + have]
             have *= 2
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words through one suffix array over all of them."""
-        text = "\n".join(words) + "\n"
-        codes = self.rank[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
-        n = len(codes)
+    def edges(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(start, piece) of every occurrence of a piece that begins in the first ``n`` characters: the pieces'
+        ranges in the suffix array. A longer text (one word without an end) is indexed run by run."""
         array = self.suffix_array(codes)
         padded = np.concatenate([codes, np.zeros(self.width, dtype=np.uint16)]).astype(">u2")
-        keys = np.lib.stride_tricks.sliding_window_view(padded, self.width)[:n][array]
+        keys = np.lib.stride_tricks.sliding_window_view(padded, self.width)[: len(codes)][array]
         ordered = np.ascontiguousarray(keys).view(f"S{2 * self.width}").reshape(-1)
         low, high = np.searchsorted(ordered, self.keys, "left"), np.searchsorted(ordered, self.tops, "left")
         found = np.flatnonzero(high > low)
         counts = (high - low)[found]
         runs = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         starts, which = array[np.repeat(low[found], counts) + runs], np.repeat(found, counts)
+        return starts[starts < n], which[starts < n]
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words through a suffix array over all of them."""
+        text = "\n".join(words) + "\n"
+        codes = self.rank[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+        n = len(codes)
+        found = [self.edges(codes[i : i + INDEXED_CHARS + self.width], min(INDEXED_CHARS, n - i)) for i in range(0, n, INDEXED_CHARS)]
+        starts = np.concatenate([x + i * INDEXED_CHARS for i, (x, _) in enumerate(found)])
+        which = np.concatenate([x for _, x in found])
         # edges by their place in the word, then by position
         sizes = np.array([len(w) for w in words])
         begins = np.cumsum(sizes + 1) - sizes - 1

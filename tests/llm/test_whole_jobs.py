@@ -8,7 +8,8 @@ from types import SimpleNamespace
 import numpy as np
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontam, licenses, lm, simhash
+import corpus_pipeline
+from gleaner.llm import decontam, licenses, linededup, lm, quality, sentencepieces, simhash, tokencount, toxicity
 from gleaner.operators import relational
 from gleaner.plans import catalogue
 
@@ -221,3 +222,82 @@ def test_masked_overlaps_by_brute_force():
                 want[i] = max(found)[2]
         have = decontam.best_by_item(index, tokens)
         assert have == want
+
+
+def test_one_word_longer_than_an_index(monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.VOCABULARY)
+    rng = np.random.default_rng(21)
+    word = "".join(rng.choice(list("aeinrst") + ["tion", "é", "中"], 4000))
+    monkeypatch.setattr(sentencepieces, "INDEXED_CHARS", 300)
+    assert sentencepieces.PieceCoder().encode_batch([word, "a " + word[:700]]) == model.encode([word, "a " + word[:700]])
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes, with and without spaces, with lines and with repeats: each operator gives one result."""
+    rng = np.random.default_rng(22)
+    many = " ".join(f"w{x}" for x in rng.integers(0, 50_000, 300_000))
+    texts = [many, many + " more", "x" * 200_000, "the same line again\n" * 60_000, "mit license " * 50_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    bench = spark.createDataFrame([(1, " ".join(many.split()[1000:1040])), (2, "the same line again " * 20)], "item_id long, text string")
+    hits = {(r.doc_id, r.item_id) for r in decontam.op3_decontamination(docs, bench).collect()}
+    assert hits == {(0, 1), (1, 1), (3, 2)}
+    assert {r.doc_id: r.n_words for r in quality.op4_quality(docs).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    assert sentencepieces.op5_sentencepiece(docs).where("round_trip").count() == len(texts)
+    assert linededup.op7_line_dedup(docs).count() == len(texts)
+    prints = {r.doc_id: r for r in simhash.op8_simhash(docs).collect()}
+    assert prints[0].component_id == prints[1].component_id == 0
+    assert {r.id: r.group for r in simhash.near_groups(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_words for r in tokencount.op9_token_counts(docs).collect()} == {i: len(t.split()) for i, t in enumerate(texts)}
+    scan = {r.doc_id: r for r in licenses.op10_license_scan(docs).collect()}
+    assert (scan[4].n_base, scan[4].base_labels, scan[0].labels) == (50_000, "mit", "")
+    scored = lm.score_documents(docs, F.lit(True)).collect()
+    assert sorted(r.n_tokens for r in scored) == sorted(len(t.split()) + 1 for t in texts)
+    few = spark.createDataFrame([(0, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.op6_toxicity(docs, few).where("score between 0 and 1").count() == len(texts)
+
+
+def test_pipeline_bears_odd_tables(spark, tmp_path):
+    """No rows, no benchmark, no labels, null ids beside null texts, repeated rows, clashing columns."""
+    rows = [(1, "one two three four five six seven", "en", "a"), (2, None, None, None), (None, "null id", "en", "b"), (None, None, "en", "b"), (1, "one two three four five six seven", "en", "a"), (3, "", "en", "a")]
+    kinds = "doc_id long, text string, lang string, source string"
+    clash = {c: F.lit(7) for c in ("shard", "id", "cell", "label", "n", "score", "part", "same", "component", "group", "line", "ids", "fp", "n_chars")}
+    write = lambda name, df: df.write.parquet(f"{tmp_path}/{name}.parquet")
+    write("benchmark", spark.createDataFrame([], "item_id long, text string"))
+    write("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    for docs, want in ((spark.createDataFrame(rows, kinds).withColumns(clash), 6), (spark.createDataFrame([], kinds), 0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() == want
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).where("round_trip").count() == want
+
+
+def test_hot_fingerprint_cells(spark):
+    """A cell of more than ``cell_rows`` distinct fingerprints is dealt by its other bits, a few rows for each member."""
+    rng = np.random.default_rng(23)
+    fps = sorted({int(x) << 22 | 5 for x in rng.integers(0, 1 << 41, 3000)} | {(int(x) << 22 | 5) ^ (1 << 60) for x in rng.integers(0, 1 << 41, 10)})
+    fps += [f ^ (1 << 30) ^ (1 << 50) for f in fps[:40]]
+    df = spark.createDataFrame([(f, f) for f in fps], "id long, fp long")
+    cells = simhash.run_cells(df, 2, 64)
+    assert cells.count() <= 3 * 3 * len(fps)
+    links = simhash.cell_links(cells, 2, 64)
+    found = {r.id: r.component for r in simhash.components(links).collect()}
+    near = {(a, b) for i, a in enumerate(fps[:3010]) for b in (a ^ (1 << 30) ^ (1 << 50),) if b in set(fps[3010:])}
+    assert len(near) == 40 and all(found.get(a, a) == found.get(b, b) for a, b in near)
+
+
+def test_pivots_link_large_components(spark):
+    """Two families and loners in one candidate component, larger than a task may hold."""
+    rng = np.random.default_rng(24)
+    base = [[f"a{x}" for x in rng.integers(0, 5000, 200)], [f"b{x}" for x in rng.integers(0, 5000, 200)]]
+    texts = []
+    for i in range(60):
+        t = list(base[i % 2]) if i % 10 else [f"c{i}x{x}" for x in rng.integers(0, 5000, 200)]
+        t[int(rng.integers(0, 200))] = f"z{i}"
+        texts.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    links = spark.createDataFrame([(0, i) for i in range(1, 60)], "a long, b long")
+    held = simhash.held_links(links, df, 0.8, "doc_id", "text", 1500)
+    found = {r.id: r.component for r in simhash.components(held).collect()}
+    assert [found.get(i, i) for i in range(60)] == linked(texts)
