@@ -37,11 +37,11 @@ def n(name: str = "n"):
 
 
 @query("A3_sparse_tail_pages", """SELECT job_id, count(*) AS pages_read FROM (SELECT *, sum(g) OVER (PARTITION BY job_id ORDER BY page ROWS UNBOUNDED PRECEDING) AS gaps FROM
- (SELECT job_id, page, CASE WHEN page - lag(page, 1, 0) OVER (PARTITION BY job_id ORDER BY page) > 6 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT job_id, CAST(floor(value / 10) AS BIGINT) AS page FROM logs))) WHERE gaps = 0 GROUP BY job_id""")
+ (SELECT job_id, page, CASE WHEN page - lag(page, 1, 0) OVER (PARTITION BY job_id ORDER BY page) > 6 THEN 1 ELSE 0 END AS g FROM (SELECT DISTINCT job_id, CAST(floor(value / 10) AS BIGINT) AS page FROM logs WHERE value < 4000))) WHERE gaps = 0 GROUP BY job_id""")
 def sparse_tail(t):
-    """Pages with rows, up to the first run of more than five empty ones."""
+    """Pages with rows, up to the first run of more than five empty ones, and 400 at most."""
     w = Window.partitionBy("job_id").orderBy("page")
-    pages = t.logs.select("job_id", F.floor(F.col("value") / 10).cast("long").alias("page")).distinct()
+    pages = t.logs.select("job_id", F.floor(F.col("value") / 10).cast("long").alias("page")).where("page < 400").distinct()
     gap = F.when(F.col("page") - F.lag("page", 1, 0).over(w) > 6, 1).otherwise(0)
     return pages.withColumn("g", gap).withColumn("gaps", F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("gaps = 0").groupBy("job_id").agg(n("pages_read"))
 
@@ -473,7 +473,7 @@ def i7(t):
 
 # ---- writes and governance (J, K) ----
 
-BATCH = "(SELECT college_id, CASE WHEN college_id % 3 = 0 THEN '' ELSE concat('new', CAST(college_id AS STRING)) END AS name, CASE WHEN college_id % 2 = 0 THEN NULL ELSE city END AS city FROM directory WHERE college_id < 5000)"
+BATCH = "(SELECT college_id, CASE WHEN college_id % 3 = 0 THEN '' ELSE concat('new', CAST(college_id AS STRING)) END AS name, CASE WHEN college_id % 2 = 0 THEN NULL ELSE city END AS city FROM directory)"
 
 
 def batch(t):
