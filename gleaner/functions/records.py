@@ -390,3 +390,68 @@ def scholarship_amount(text: Column) -> tuple[Column, Column, Column]:
     inr = scaled_amount(F.nullif(F.regexp_extract(text, "₹\\s*([0-9,]+)", 1), F.lit("")))
     currency, amount = native_fee(F.nullif(F.regexp_extract(text, "\\(([^)]+)\\)", 1), F.lit("")))
     return inr, amount, currency
+
+
+# Members of the children of a record.
+BASE_COURSE = """
+base_course_id      int       id
+name                text:200  name
+level               text:40   courseLevel
+min_fees            int       minFees
+max_fees            int       maxFees
+total_seats         int       totalSeats
+course_count        int       courseCount
+rating              real      courseRating
+exams               list:name,examName  exams
+"""
+
+RANKING = """
+scope               raw       scope
+rank                int       rank
+rank_out_of         int       rank_out_of
+score               raw       score
+"""
+
+EXAM_SCORE = """
+short_form          raw       short_form
+exam_score          raw       exam_score
+out_of              raw       exam_out_of_score
+"""
+
+
+def listed(v: Column, path: str) -> Column:
+    """The items at a path: of a list, or a single object as a list of one."""
+    one = field(v, path, "variant")
+    none = F.array().cast("array<variant>")
+    return F.coalesce(field(v, path, "array<variant>"), F.when(kind_of(one) == "object", F.array(one)), none)
+
+
+def child_rows(df: DataFrame, keys: list[str], path: str, fields: str, v: str = "v") -> DataFrame:
+    """A row (keys, fields) for each object of a list."""
+    rows = df.select(*keys, F.explode(listed(F.col(v), path)).alias("_item")).where(kind_of(F.col("_item")) == "object")
+    return rows.select(*keys, *project(F.col("_item"), fields))
+
+
+def keyed_rows(df: DataFrame, keys: list[str], path: str, name: str, fields: str, v: str = "v") -> DataFrame:
+    """A row (keys, name, fields) for each object of the lists of a keyed object; ``name`` is the list's key."""
+    lists = df.select(*keys, F.explode(field(F.col(v), path, "map<string,variant>")).alias(name, "_list"))
+    return child_rows(lists, [*keys, name], "$", fields, "_list")
+
+
+def ranking_rows(df: DataFrame, keys: list[str], streams: str, v: str = "v") -> DataFrame:
+    """A row for each agency, year and stream of a university's rankings; ``streams`` is the key under which an entry
+    holds them. An agency that the record doesn't name is ''."""
+    own = df.withColumn("_names", field(F.col(v), "$.ranking_data.agencies", "map<string,variant>"))
+    entries = own.select(*keys, "_names", F.explode(F.map_values(field(F.col(v), "$.ranking_data.year_wise_data", "map<string,variant>"))).alias("_list"))
+    entries = entries.select(*keys, "_names", F.explode(listed(F.col("_list"), "$")).alias("_e"))
+    agency, year = (whole(field(F.col("_e"), f"$.{c}", "string")) for c in ("agencyId", "year"))
+    rows = entries.select(*keys, "_names", agency.alias("agency_id"), year.alias("year"), F.explode(field(F.col("_e"), f"$.stream['{streams}']", "map<string,variant>")).alias("stream", "_s"))
+    name = field(F.try_element_at("_names", F.col("agency_id").cast("string")), "$.name", "string")
+    return rows.where(kind_of(F.col("_s")) == "object").select(*keys, "agency_id", F.coalesce(name, F.lit("")).alias("agency"), "year", "stream", *project(F.col("_s"), RANKING))
+
+
+def base_course_rows(df: DataFrame, key: str, v: str = "v") -> DataFrame:
+    """A row for each base course of a college page; a repeated one counts once, one without an id not at all."""
+    rows = df.select(key, F.posexplode(listed(F.col(v), "$.baseCourseTuples")).alias("_pos", "_item")).select(key, "_pos", *project(F.col("_item"), BASE_COURSE))
+    first = Window.partitionBy(key, "base_course_id").orderBy("_pos")
+    return rows.where("base_course_id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_pos")

@@ -20,7 +20,7 @@ JUNK_SITES = (
 #: Contact columns that the given tables lack, in SQL that both engines run.
 LEFT = """SELECT college_id AS id, name, replace(city, '_', 'x') AS city, CASE WHEN college_id % 9 = 4 THEN 'https://www.facebook.com/x' ELSE website END AS website, phone,
  CASE WHEN college_id % 4 = 3 THEN '' WHEN college_id % 10 = 2 THEN 'office@gmail.com' ELSE concat('Office@Mail', CAST(college_id - college_id % 2 AS STRING), '.ac.in') END AS email,
- concat('S.', upper(substring(city, 1, 3)), '-', CAST(college_id % 20 AS STRING)) AS short_form, concat(name, ' ', city, ' u', substring(name, length(name) - 2, 3)) AS full_name FROM {colleges}"""
+ concat('S.', upper(substring(city, 1, 3)), '-', CAST(college_id % 20 AS STRING)) AS short_form, concat(name, ' ', city, CASE WHEN college_id % 3 = 1 THEN ' v' ELSE ' u' END, substring(name, length(name) - 2, 3)) AS full_name FROM {colleges}"""
 RIGHT = """SELECT college_id AS id, name, replace(city, '_', 'x') AS city, website, phone,
  CASE WHEN college_id % 5 = 4 THEN NULL WHEN college_id % 10 = 7 THEN 'info@yahoo.com' ELSE concat('info@mail', CAST(college_id - college_id % 4 AS STRING), '.ac.in') END AS email,
  CASE WHEN college_id % 3 = 0 THEN '' ELSE concat('s', lower(substring(city, 1, 3)), CAST(college_id % 30 AS STRING)) END AS short_form, concat(name, ' ', city, ' u', substring(name, length(name) - 2, 3)) AS full_name FROM {directory}"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import records as W
-from .catalogue import query
+from .catalogue import n, query
 
 
 def parsed(df, key, body):
@@ -82,3 +82,64 @@ def detail_rows(t):
     )
     out = W.detail_rows(parsed(t.courses, "course_id", body))
     return out.select("course_id", "course_name", "fees_total", "fees_total_json", "fees_hostel_json", "admission_steps", "internships_available", "duration", "elig_xii_general", "medium", "stream_id", "course_level")
+
+
+@query("C2_rankings", """SELECT college_id, a AS agency_id, CASE a WHEN 1 THEN 'One' WHEN 2 THEN 'Two' ELSE '' END AS agency, 2020 + y AS year, stream, CASE WHEN stream = 'Overall' THEN college_id + y END AS rank, CASE WHEN stream = 'Overall' THEN 'world' ELSE '' END AS scope
+ FROM colleges, (VALUES (1, 0), (2, 0), (3, 1)) AS e(a, y), (VALUES ('Overall'), ('Law')) AS s(stream)""")
+def rankings(t):
+    """Agencies, years and streams; a year holds a list or one entry, and one agency has no name."""
+    i = F.col("college_id").cast("string")
+    entry = lambda a, y: F.concat(F.lit(f'{{"agencyId": {a}, "year": "{2020 + y}", "stream": {{"uni": {{"Overall": {{"rank": '), (F.col("college_id") + y).cast("string"), F.lit(', "scope": "world"}, "Law": {}, "Bad": 7}}}'))
+    years = F.concat(F.lit('{"2020": ['), entry(1, 0), F.lit(", 5, "), entry(2, 0), F.lit('], "2021": '), entry(3, 1), F.lit("}"))
+    body = F.concat(F.lit('{"id": '), i, F.lit(', "ranking_data": {"agencies": {"1": {"name": "One"}, "2": {"name": "Two"}}, "year_wise_data": '), years, F.lit("}}"))
+    out = W.ranking_rows(t.colleges.select("college_id", F.try_parse_json(body).alias("v")), ["college_id"], "uni")
+    return out.select("college_id", "agency_id", "agency", "year", "stream", "rank", "scope")
+
+
+@query("C2_costs_and_places", """SELECT college_id, 'hostel' AS kind, 'Room' AS label, CAST(state_id AS VARCHAR) AS value FROM colleges UNION ALL SELECT college_id, 'hostel', 'Board', '' FROM colleges UNION ALL SELECT college_id, 'airport', city, '7.5' FROM colleges WHERE college_id % 2 = 0""")
+def costs_and_places(t):
+    """Lists under keys: costs of living and what is near; items without a label are passed over."""
+    one = lambda label, value: F.struct(F.lit(label).alias("label"), value.cast("string").alias("value"))
+    cost = F.create_map(F.lit("hostel"), F.array(one("Room", F.col("state_id")), one("Board", F.lit(None)), one("", F.lit(1))))
+    near = F.create_map(F.lit("airport"), F.when(F.col("college_id") % 2 == 0, F.array(F.struct(F.col("city").alias("name"), F.lit(7.5).alias("distance")))))
+    df = parsed(t.colleges, "college_id", F.struct(cost.alias("accommodation_data"), near.alias("nearby")))
+    costs = W.keyed_rows(df, ["college_id"], "$.accommodation_data", "kind", "label raw label\nvalue raw value").where("label <> ''")
+    return costs.unionByName(W.keyed_rows(df, ["college_id"], "$.nearby", "kind", "label raw name\nvalue raw distance").where("label <> ''"))
+
+
+@query("C2_exam_scores", "SELECT course_id, 'GRE' AS short_form, CAST(college_count AS VARCHAR) AS exam_score, '340' AS out_of FROM courses UNION ALL SELECT course_id, 'IELTS', '', '9' FROM courses WHERE course_id % 3 = 0")
+def exam_scores(t):
+    one = F.struct(F.lit("GRE").alias("short_form"), F.col("college_count").cast("string").alias("exam_score"), F.lit("340").alias("exam_out_of_score"))
+    two = F.struct(F.when(F.col("course_id") % 3 == 0, "IELTS").alias("short_form"), F.lit("").alias("exam_score"), F.lit("9").alias("exam_out_of_score"))
+    df = parsed(t.courses, "course_id", F.struct(F.array(one, two).alias("exam_data")))
+    return W.child_rows(df, ["course_id"], "$.exam_data", W.EXAM_SCORE).where("short_form <> ''")
+
+
+@query("C2_scholarships", "SELECT p_partkey AS scholarship_id, p_name AS name, CAST(p_size AS BIGINT) * 1000 AS inr, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS BIGINT) * 10 END AS amount, CASE WHEN p_size % 2 = 0 THEN 'EUR' END AS currency FROM part")
+def scholarships(t):
+    size = F.col("p_size").cast("string")
+    text = F.concat(F.lit("₹"), size, F.lit(",000"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" (€ "), size, F.lit("0)"))).otherwise(""))
+    df = parsed(t.read("part"), "p_partkey", F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), text.alias("amount")))
+    out = df.select(*W.project(F.col("v"), "scholarship_id int id\nname text title name\nraw_amount raw amount"))
+    inr, amount, currency = W.scholarship_amount(F.col("raw_amount"))
+    return out.select("scholarship_id", "name", inr.alias("inr"), amount.alias("amount"), currency.alias("currency"))
+
+
+BASE_COURSES = "(SELECT college_id, course_id, min(fees_amount) AS low, max(fees_amount) AS high, count(*) AS m FROM offerings WHERE source_job_id < 10 GROUP BY college_id, course_id)"
+
+
+@query("C3_base_courses", f"SELECT college_id, course_id AS base_course_id, concat('Course ', CAST(course_id AS VARCHAR)) AS name, low AS min_fees, high AS max_fees, m AS course_count, '[\"E\"]' AS exams FROM {BASE_COURSES}")
+def base_courses(t):
+    """The fees table of a college page: one row for each base course; repeated tuples and such without an id go."""
+    g = t.offerings.where("source_job_id < 10").groupBy("college_id", "course_id").agg(F.min("fees_amount").alias("low"), F.max("fees_amount").alias("high"), n("m"))
+    one = F.struct(F.col("course_id").cast("string").alias("id"), F.concat(F.lit("<i>Course</i> "), "course_id").alias("name"), F.col("low").alias("minFees"), F.col("high").alias("maxFees"), F.col("m").alias("courseCount"), F.array(F.struct(F.lit("E").alias("examName"))).alias("exams"))
+    pages = g.groupBy("college_id").agg(F.collect_list(one).alias("xs"))
+    body = F.struct(F.concat("xs", F.slice("xs", 1, 2), F.transform(F.slice("xs", 1, 1), lambda x: x.withField("id", F.lit("none")))).alias("baseCourseTuples"))
+    out = W.base_course_rows(parsed(pages, "college_id", body), "college_id")
+    return out.select("college_id", "base_course_id", "name", "min_fees", "max_fees", "course_count", "exams")
+
+
+@query("C3_course_catalogue", f"SELECT course_id AS base_course_id, concat('Course ', CAST(course_id AS VARCHAR)) AS name, count(*) AS colleges FROM {BASE_COURSES} GROUP BY course_id")
+def course_catalogue(t):
+    """The shared catalogue, from the base courses of all colleges."""
+    return base_courses(t).groupBy("base_course_id", "name").agg(n("colleges"))
