@@ -120,28 +120,32 @@ def tell_words(t: pa.Table, n_parts: int) -> pa.Table:
 
 
 def answer_words(t: pa.Table, n_parts: int) -> pa.Table:
-    """Numbers and totals of each block's words, of those that training rows hold; with block -1 the part's
-    number of tokens and of words."""
+    """Numbers (from 1, 0: no training row holds it) and totals of each block's words, in the order in which it told
+    them; with block -1 the part's number of tokens and of words."""
     part, cells = t["part"][0].as_py(), t["words"].to_pylist()
     words, which = np.unique(read(cells), return_inverse=True)
     totals = np.bincount(which, unplaned(t["totals"].to_pylist()), len(words)).astype(np.int64)
     ids = np.empty(len(words), dtype=np.int64)
     ids[np.argsort(-totals, kind="stable")] = np.arange(len(words)) * n_parts + part
+    ids = np.where(totals > 0, ids + 1, 0)
     own = words != START_HASH
     rows, a = [row(part, -1, totals=planes(np.array([totals[own].sum(), (totals[own] > 0).sum()])))], 0
     for block, x in zip(t["block"].to_pylist(), cells):
         at = which[a : a + len(x) // 8]
-        a, at = a + len(at), at[totals[at] > 0]
-        rows.append(row(part, block, words=words[at].tobytes(), ids=planes(ids[at]), totals=planes(totals[at])))
+        a += len(at)
+        rows.append(row(part, block, ids=planes(ids[at]), totals=planes(totals[at])))
     return answer_table(rows)
 
 
-def ids_of(hashes: np.ndarray, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(number or -1, total) of each word of a block, from the parts' answers."""
-    words, at = np.unique(read(told["words"].to_pylist()), return_index=True)
-    found = place(words, hashes)
-    of = lambda c, none: np.r_[unplaned(told[c].to_pylist())[at], none][found]
-    return of("ids", -1), of("totals", 0)
+def ids_of(hashes: np.ndarray, told: pa.Table, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number or -1, total) of each word of a block, from the parts' answers to what it has told them."""
+    ids, totals = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+    order, of = runs(hashes % np.uint64(n_parts), hashes)
+    for part, x, y in zip(*(told[c].to_pylist() for c in ("part", "ids", "totals"))):
+        if x:
+            at = order[of[part]]
+            ids[at], totals[at] = unplaned([x]) - 1, unplaned([y])
+    return ids, totals
 
 
 def pair_parts(u: np.ndarray, w: np.ndarray, n_parts: int) -> np.ndarray:
@@ -155,7 +159,7 @@ def tell_pairs(t: pa.Table, told: pa.Table, n_parts: int) -> pa.Table:
     if not t.num_rows:
         return answer_table([])
     texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
-    ids, _ = ids_of(hashes, told)
+    ids, _ = ids_of(hashes, told, n_parts)
     token, training = np.concatenate(texts), np.repeat(t["training"].to_numpy().astype(np.int64), [len(x) for x in texts])
     inner = np.flatnonzero(token != 1)  # tokens that have one before them
     pair, which = np.unique(token[inner - 1] * len(hashes) + token[inner], return_inverse=True)
@@ -194,9 +198,9 @@ def left_over(asked: pa.Table, taken: pa.Table) -> pa.Table:
     mass = np.bincount(which, read(taken["backoffs"].to_pylist(), np.float64), len(states))
     rows = []
     for part, block, x, y in zip(*(asked[c].to_pylist() for c in ("part", "block", "ids", "totals"))):
-        ids = unplaned([x])
+        ids = unplaned([x]) - 1
         at = place(states, ids)
-        some = at >= 0
+        some = (at >= 0) & (ids >= 0)
         rows.append(row(part, block, states=planes(ids[some]), backoffs=(1 - mass[at[some]] / unplaned([y])[some]).tobytes()))
     return answer_table(rows)
 
@@ -240,8 +244,8 @@ class Automaton:
     to the root if it has none. The root's arcs are ``root[word]``.
     """
 
-    def __init__(self, hashes: np.ndarray, told: pa.Table, n: int, v: int):
-        ids, counts = ids_of(hashes, told)
+    def __init__(self, hashes: np.ndarray, told: pa.Table, n_parts: int, n: int, v: int):
+        ids, counts = ids_of(hashes, told, n_parts)
         states, at = np.unique(unplaned(told["states"].to_pylist()), return_index=True)
         at_state = np.where(ids >= 0, place(states, ids), -1)
         backoff = np.r_[read(told["backoffs"].to_pylist(), np.float64)[at], 1.0][at_state]
@@ -283,14 +287,15 @@ def score_documents(df: DataFrame, training: Column, id_col: str = "doc_id", tex
     source = in_small_batches(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("training"))
     tagged, _, n_blocks = scattered(source, 3, block_bytes)
     docs = tagged.select(F.col("_gl_bucket").alias("block"), "id", "text", "training")
-    answers, n, v = train(docs.select("block", "text", "training"), max(8, n_blocks * block_bytes // PART_BYTES))
+    n_parts = max(8, n_blocks * block_bytes // PART_BYTES)
+    answers, n, v = train(docs.select("block", "text", "training"), n_parts)
     kind = source.schema["id"].dataType.simpleString()
 
     def score(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table([pa.array([], f.type) for f in [t.schema.field("id"), *LAST]], ["id", *(f.name for f in LAST)])
         texts, hashes = numbered(as_bytes(t["text"].combine_chunks()))
-        automaton, rows = Automaton(hashes, told, n, v), []
+        automaton, rows = Automaton(hashes, told, n_parts, n, v), []
         for x in texts:
             words = x[1:]
             rows.append((len(words), int((automaton.counts[words] > 0).sum()), n, float(automaton.base[words].sum()), automaton.traverse(x.tolist())))
