@@ -43,6 +43,13 @@ def whole_masks(n: int) -> list[str]:
     return ["".join("0" if i in out else "1" for i in range(n)) for out in sets]
 
 
+class Numbers(dict):
+    """Numbers of tokens; a token of no item is 0."""
+
+    def __missing__(self, token: str) -> int:
+        return 0
+
+
 class SeedIndex:
     """Masked windows of some benchmark items: tokens as small numbers; for each mask a sorted array of hashes
     and, in the same order, where in which item each window begins."""
@@ -69,6 +76,33 @@ class SeedIndex:
             order = np.argsort(h, kind="stable")
             where = where[order]
             self.seeds.append((len(mask), at, h[order], owner[where].astype(np.int32), inside[where].astype(np.int32)))
+        # for each mask which low bits its hashes have: nearly all windows of a text are told apart by them
+        self.bits = []
+        for _, _, hashes, *_ in self.seeds:
+            bits = np.zeros(1 << min(24, (16 * len(hashes) + 1).bit_length()), dtype=bool)
+            bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+            self.bits.append(bits)
+
+    def touched(self, texts: list[np.ndarray]) -> list[int]:
+        """Which of some texts (arrays of tokens) have a masked match at all; they are looked through end to end."""
+        gap = np.zeros(max((s[0] for s in self.seeds), default=0), dtype=np.int64)  # no mask reaches over it
+        laid = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
+        begins = len(gap) + np.cumsum([0, *(len(t) + len(gap) for t in texts)])[:-1]
+        known, hit = laid > 0, np.zeros(len(texts), dtype=bool)
+        for (span, at, hashes, *_), bits in zip(self.seeds, self.bits):
+            n = len(laid) - span + 1
+            if n <= 0 or not len(hashes):
+                continue
+            ok = known[at[0] : at[0] + n].copy()
+            for o in at[1:]:
+                ok &= known[o : o + n]
+            where = np.flatnonzero(ok)
+            h = masked_hashes(laid, at, where)
+            some = bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)]
+            where, h = where[some], h[some]
+            found = hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+            hit[np.searchsorted(begins, where[found], "right") - 1] = True
+        return np.flatnonzero(hit).tolist()
 
     def hits(self, tokens: np.ndarray) -> list[tuple[int, int]]:
         """(item index, diagonal) of every masked match in an array of tokens; 0 is a token of no item.
@@ -188,13 +222,11 @@ def contaminated(
 def scanner(index, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds: SeedIndex = index.value
-        number = seeds.vocabulary.get
+        number = Numbers(seeds.vocabulary).__getitem__
         for whole in batches:
             for b in byte_slices(whole, "text"):
-                rows = []
-                for k, text in enumerate(as_texts(b.column(1))):
-                    tokens = np.array([number(w, 0) for w in TOKEN.findall(text.lower())], dtype=np.int64)
-                    rows += [(k, seeds.items[i][0], *x, len(seeds.items[i][1])) for i, x in best_by_item(seeds, tokens).items()]
+                texts = [np.array(list(map(number, TOKEN.findall(text.lower()))), dtype=np.int64) for text in as_texts(b.column(1))]
+                rows = [(k, seeds.items[i][0], *x, len(seeds.items[i][1])) for k in seeds.touched(texts) for i, x in best_by_item(seeds, texts[k]).items()]
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, pa.int64()) for c in cols[1:])],
