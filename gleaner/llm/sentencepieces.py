@@ -26,10 +26,10 @@ from .common import as_texts, byte_slices, in_small_batches
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a task remembers.
-REMEMBERED = 50_000
+REMEMBERED = 100_000
 SEGMENT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 #: Pairs of pieces that a task remembers.
-PAIRS = 120_000
+PAIRS = 250_000
 #: Characters that one suffix array indexes.
 INDEXED_CHARS = 1 << 17
 
@@ -70,7 +70,7 @@ class PieceCoder:
         self.lengths = np.array([len(p) for p in whole])
         self.piece_ids = np.array([self.ids[p] for p in whole], dtype=np.int64)
         self.settled: dict[int, bool] = {}
-        self.slot_keys, self.slot_holds = np.full(1 << 18, -1, dtype=np.int64), np.zeros(1 << 18, dtype=bool)
+        self.slot_keys, self.slot_holds = np.full(1 << 20, -1, dtype=np.int64), np.zeros(1 << 20, dtype=bool)
 
     def coded(self, pieces: list[str], end: bytes) -> np.ndarray:
         """Fixed-width search keys; big-endian, so that they sort as their character numbers do."""
