@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytepairs, conversations, decontam, licenses, linededup, lm, quality, sentencepieces, sharding, simhash, tokencount, toxicity
+from . import bytepairs, conversations, decontam, licenses, linededup, lm, negatives, quality, sentencepieces, sharding, simhash, tokencount, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_simhash": on(simhash.op8_simhash, "documents"),
         "op9_token_counts": on(tokencount.op9_token_counts, "documents"),
         "op10_license_scan": on(licenses.op10_license_scan, "documents"),
+        "op11_hard_negatives": on(negatives.op11_hard_negatives, "embeddings"),
         "op12_conversation_repair": on(conversations.op12_conversation_repair, "conversations"),
         "op13_byte_bpe": on(bytepairs.op13_byte_bpe, "documents"),
     }
