@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import tempfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``. Where it is unset: a folder of the warehouse, which a cluster shares, too;
-    in local mode, where driver and tasks are one process, a temporary folder."""
+    in local mode, where driver and tasks are one process, a temporary folder. A cluster without either is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.split("[")[0] == "local":
         return tempfile.mkdtemp(prefix="spark-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return warehouse.rstrip("/") + "/_checkpoints"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -65,6 +71,13 @@ def in_small_batches(df: DataFrame, batch_bytes: int = 2 << 20) -> DataFrame:
     return df
 
 
+def sent(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """A broadcast of ``thing``, and what gives it in a task. Its classes travel with it, as code does, so that workers
+    need no copy of this library; a plain broadcast would only name them."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(shared.value)
+
+
 def sent_whole(keys: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """``keys`` marked for broadcast if it is counted to hold at most ``most_rows``; else the join shuffles.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, byte_slices, checkpointed, in_small_batches, sent_whole, u64
+from .common import as_texts, byte_slices, checkpointed, in_small_batches, sent, sent_whole, u64
 
 #: 1: the token counts, 0: it may differ. One of them fits into every overlap of 10 to 23 tokens with the
 #: permitted substitutions, and so into longer ones: of pieces that long, one has no larger share of them.
@@ -213,7 +213,7 @@ def contaminated(
     passes = []
     for block in range(n_blocks):
         mine = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(n_blocks)) == block)
-        index = df.sparkSession.sparkContext.broadcast(SeedIndex([tuple(r) for r in mine.orderBy("item_id", "t").collect()]))
+        index = sent(df.sparkSession, SeedIndex([tuple(r) for r in mine.orderBy("item_id", "t").collect()]))
         passes.append(source.mapInArrow(scanner(index, source.schema["id"].dataType), schema))
     out = reduce(DataFrame.unionByName, passes)
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
@@ -221,7 +221,7 @@ def contaminated(
 
 def scanner(index, kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds: SeedIndex = index.value
+        seeds: SeedIndex = index()
         number = Numbers(seeds.vocabulary).__getitem__
         for whole in batches:
             for b in byte_slices(whole, "text"):
@@ -237,9 +237,10 @@ def scanner(index, kind):
 
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows whose document overlaps with no benchmark item. Rows with a null id stay."""
-    found = checkpointed(contaminated(df, benchmark, id_col, text_col).select(id_col).distinct())
-    return df.join(sent_whole(found), id_col, "left_anti")
+    """Rows whose text overlaps with no benchmark item. Rows of one id are told apart by their texts; rows with a null id stay."""
+    own = df.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")).alias("_gl_row"), F.col(text_col).alias("text"))
+    found = checkpointed(contaminated(own, benchmark, "_gl_row", "text").select(F.col("_gl_row.id").alias("_gl_id"), F.col("_gl_row.mark").alias("_gl_mark")).distinct())
+    return df.join(sent_whole(found), (df[id_col] == F.col("_gl_id")) & (F.xxhash64(df[text_col]) == F.col("_gl_mark")), "left_anti")
 
 
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,11 +35,17 @@ PAIRS = 250_000
 INDEXED_CHARS = 1 << 17
 
 
+def model_file(path: str) -> bytes:
+    """The vocabulary's content, read by the driver; tasks get these bytes."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 class PieceCoder:
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, path: str = VOCABULARY, model: bytes | None = None):
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        m = sentencepiece.SentencePieceProcessor(model_proto=model_file(path) if model is None else model)
         size = m.get_piece_size()
         self.byte_ids = {}
         self.piece_bytes: list[bytes] = []
@@ -236,12 +243,13 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
-def coder_of(vocabulary: str) -> PieceCoder:
+def coder_of(model: bytes) -> PieceCoder:
     """One coder for each worker process, kept from task to task."""
-    state = sys.modules.setdefault("_gleaner_coders", types.ModuleType("_gleaner_coders"))
-    if vocabulary not in vars(state):
-        setattr(state, vocabulary, PieceCoder(vocabulary))
-    return getattr(state, vocabulary)
+    state = vars(sys.modules.setdefault("_gleaner_coders", types.ModuleType("_gleaner_coders")))
+    key = xxhash.xxh3_64_hexdigest(model)
+    if key not in state:
+        state[key] = PieceCoder(model=model)
+    return state[key]
 
 
 def encode(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text", out_col: str = "pieces") -> DataFrame:
@@ -250,9 +258,10 @@ def encode(df: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text",
     names = [c for c in df.columns if c != out_col]
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(out_col, kind)])
+    shared = df.sparkSession.sparkContext.broadcast(model_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(vocabulary)
+        coder = coder_of(shared.value)
         at = names.index(text_col)
         for whole in batches:
             for b in byte_slices(whole, text_col):
@@ -269,9 +278,10 @@ def decode(df: DataFrame, ids_col: str = "ids", vocabulary: str = VOCABULARY, ou
     """``df`` with the text of its ids; null ids give a null text."""
     names = [c for c in df.columns if c != out_col]
     schema = T.StructType([*(df.schema[c] for c in names), T.StructField(out_col, T.StringType())])
+    shared = df.sparkSession.sparkContext.broadcast(model_file(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(vocabulary)
+        coder = coder_of(shared.value)
         for b in batches:
             texts = [None if x is None else coder.decode(x) for x in b.column(names.index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, out_col])

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, byte_slices, in_small_batches
+from .common import as_texts, byte_slices, in_small_batches, sent
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Marks the start of a word in the vocabulary.
@@ -80,11 +80,11 @@ class LengthAutomaton:
 def token_counts(df: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens, n_unknown): words are split at white space; a word that the vocabulary
     can't spell counts as one unknown token. Null and empty texts have no words. One row for each row."""
-    shared = df.sparkSession.sparkContext.broadcast(LengthAutomaton(pieces_of(vocabulary)))
+    shared = sent(df.sparkSession, LengthAutomaton(pieces_of(vocabulary)))
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known = shared.value.count, {}
+        count, known = shared().count, {}
         for whole in batches:
             for b in byte_slices(whole, "text"):
                 out = []

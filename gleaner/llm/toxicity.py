@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_texts, byte_slices, in_small_batches
+from .common import as_texts, byte_slices, in_small_batches, sent
 
 TOKEN = re.compile(r"[^\W_]+")
 SAMPLE = {1: 1000, 0: 2000}
@@ -277,13 +277,13 @@ def score_documents(df: DataFrame, field: Field, text_col: str = "text", out_col
     """``df`` with ``out_col``: struct(score, spans array<struct(start, end, p)>). Null and empty texts
     get the score of a text without tokens and no spans. A column named ``out_col`` is replaced."""
     names = [c for c in df.columns if c != out_col]
-    shared = df.sparkSession.sparkContext.broadcast(field)
+    shared = sent(df.sparkSession, field)
     span = T.StructType().add("start", "integer").add("end", "integer").add("p", "double")
     schema = df.select(*names).schema.add(out_col, T.StructType().add("score", "double").add("spans", T.ArrayType(span)))
     kind = pa.struct([("score", pa.float64()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
+        field = shared()
         cache, at = Emissions(field), names.index(text_col)
         for whole in batches:
             for b in byte_slices(whole, text_col, BATCH_BYTES):
