@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, byte_slices, checkpointed, in_small_batches, sent_whole, signed, u64
@@ -304,8 +304,16 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+FULL = (1 << 64) - 1
+
+
+def words_hash(text: bytes) -> int:
+    """Alike for texts that differ only in white space or ASCII case."""
+    return xxhash.xxh64_intdigest(b" ".join(text.lower().split()), SEED)
+
+
 def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, same, bands array, fp): a hash of the words, ``BANDS`` keys and the SimHash of the distinct five-word shingles."""
+    """(id, mark, same, bands array, fp): a hash of the text and of its words, ``BANDS`` keys and the SimHash of the distinct five-word shingles."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,11 +324,11 @@ def near_signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     five = np.unique(shingle_hashes(t, SHINGLE))
                     bands.append(band_keys(five).view(np.int64))
                     prints.append(fingerprint(mixed(five, 1)))
-                    same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), SEED))
-                yield pa.RecordBatch.from_arrays([b.column("id"), signed(same), pa.array(bands, pa.list_(pa.int64())), signed(prints)], ["id", "same", "bands", "fp"])
+                    same.append(words_hash(t))
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mark"), signed(same), pa.array(bands, pa.list_(pa.int64())), signed(prints)], ["id", "mark", "same", "bands", "fp"])
 
-    texts = in_small_batches(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-    return texts.mapInArrow(run, f"id {kind}, same long, bands array<long>, fp long")
+    texts = in_small_batches(df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text")))
+    return texts.mapInArrow(run, f"id {kind}, mark long, same long, bands array<long>, fp long")
 
 
 def most_bits(similarity: float) -> int:
@@ -346,20 +354,22 @@ def candidate_links(classes: DataFrame, similarity: float, cell_rows: int = CELL
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
-    """(id, component, n, shingles binary) of (id, component, text): the distinct five-word shingles of each
-    text, as 32 bits of their hashes, and their number."""
+    """(id, component, n, shingles binary) of (id, component, same, text): the distinct five-word shingles of each
+    text, as 32 bits of their hashes, and their number. A text that isn't of the class ``same``, where that
+    isn't null, is another row of its id."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in byte_slices(batch, "text"):
+                b = b.filter(pa.array([s is None or words_hash(t) == s & FULL for t, s in zip(as_bytes(b.column("text")), b.column("same").to_pylist())], pa.bool_()))
                 sets = [np.unique(shingle_hashes(t, SHINGLE).astype(np.uint32)) for t in as_bytes(b.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("id"), b.column("component"), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
                     ["id", "component", "n", "shingles"],
                 )
 
-    return in_small_batches(texts.select("id", "component", "text")).mapInArrow(run, f"id {kind}, component long, n long, shingles binary")
+    return in_small_batches(texts.select("id", "component", "same", "text")).mapInArrow(run, f"id {kind}, component long, n long, shingles binary")
 
 
 def as_sets(column: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
@@ -462,13 +472,17 @@ def large_links(sets: DataFrame, similarity: float, cell_shingles: int = CELL_SH
     return links.union(linked_in_cells(deal(left, 1, "rest", "all").union(deal(sets, 0, "all", "rest")), similarity))
 
 
-def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
-    """Links (a, b) that join the ids inside each component of the candidates ``links`` exactly as all pairs
+def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str, text_col: str, cell_shingles: int = CELL_SHINGLES, classes: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join the ids, or the numbers of the ``classes`` (id, own, same), inside each component of the candidates ``links`` exactly as all pairs
     of this similarity of the five-word shingles do, whichever candidates the forests of the cells kept."""
     found = components(links)
-    members = checkpointed(found.union(found.select("component", "component").distinct()).toDF(id_col, "component"))
-    texts = df.select(id_col, text_col).join(sent_whole(members), id_col)
-    sets = checkpointed(shingle_sets(texts.select(F.col(id_col).alias("id"), "component", F.col(text_col).alias("text"))))
+    members = found.union(found.select("component", "component").distinct()).toDF("id", "component")
+    if classes is None:
+        members = checkpointed(members.withColumns({"_gl_own": F.col("id"), "same": F.lit(None).cast("long")}))
+    else:
+        members = checkpointed(classes.select("id", F.col("own").alias("_gl_own"), "same").join(sent_whole(checkpointed(members)), "id"))
+    texts = df.select(F.col(id_col).alias("_gl_own"), F.col(text_col).alias("text")).join(sent_whole(members), "_gl_own")
+    sets = checkpointed(shingle_sets(texts))
     large = checkpointed(sets.groupBy("component").agg(F.sum("n").alias("total")).where(F.col("total") > cell_shingles).select("component"))
     large = sent_whole(large)
     small = sets.join(large, "component", "left_anti").select(F.xxhash64("component").alias("cell"), F.lit(0).alias("side"), "id", "shingles")
@@ -478,23 +492,36 @@ def held_links(links: DataFrame, df: DataFrame, similarity: float, id_col: str,
     return out.union(large_links(checkpointed(sets.join(large, "component", "left_semi")), similarity, cell_shingles).where("a <> b"))
 
 
+def near_classes(df: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, own, node, group) of each row: ``mark`` is the text's hash, ``own`` the smallest id of its class, ``node``
+    the class's number and ``group`` the least number that it is linked with."""
+    ids = checkpointed(near_signatures(df, id_col, text_col))
+    classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("own"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
+    # a class has its smallest id for a number; where rows of one id have several texts, all but one class have a hash above all ids
+    place = F.row_number().over(Window.partitionBy("own").orderBy("same"))
+    other = F.xxhash64("own", "same").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    classes = checkpointed(classes.withColumn("place", place).withColumn("id", F.when(F.col("place") == 1, F.col("own")).otherwise(other)).drop("place"))
+    empty = F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).astype(np.int64)))
+    links = checkpointed(candidate_links(classes.where(F.col("same") != empty), similarity))
+    found = components(checkpointed(held_links(links, df, similarity, id_col, text_col, classes=classes)))
+    named = classes.join(found, "id", "left").select("same", "own", F.col("id").alias("node"), F.coalesce("component", "id").alias("group"))
+    alone = (F.col("same") == empty) | F.col("id").isNull()
+    rows = ids.select("id", "mark", "same").join(named, "same", "left")
+    return rows.select("id", "mark", *(F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c) for c in ("own", "node", "group")))
+
+
 def near_groups(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, group): texts of one group are linked by a five-word-shingle similarity of ``similarity`` or
     more; the group is its smallest id. Candidates agree on a band of smallest shingle hashes, and a binary trie
     self-join of their SimHash fingerprints drops what is far off. Whatever hangs together by candidates is then joined by exact
-    counts only, of all its pairs. Texts that differ only in white space or ASCII case are one class. Null and wordless texts stay alone; rows
-    with one id are one document."""
-    ids = checkpointed(near_signatures(df, id_col, text_col))
-    classes = ids.where(F.col("id").isNotNull()).groupBy("same").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
-    empty = F.lit(int(np.uint64(xxhash.xxh64_intdigest(b"", SEED)).astype(np.int64)))
-    links = checkpointed(candidate_links(classes.where(F.col("same") != empty), similarity))
-    found = components(checkpointed(held_links(links, df, similarity, id_col, text_col)))
-    named = classes.join(found, "id", "left").select("same", F.coalesce("component", "id").alias("group"))
-    own = F.when((F.col("same") == empty) | F.col("group").isNull(), F.col("id")).otherwise(F.col("group"))
-    return ids.select("id", "same").join(named, "same", "left").select("id", own.alias("group"))
+    counts only, of all its pairs. Texts that differ only in white space or ASCII case are one class. Null and wordless texts stay alone.
+    Rows of one id are told apart by their texts; a group of such rows alone may have a hash above 2**62 for a name."""
+    return near_classes(df, similarity, id_col, text_col).select("id", "group")
 
 
 def drop_near_copies(df: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group stays: the one with the smallest id. Rows with a null id stay."""
-    gone = checkpointed(near_groups(df, similarity, id_col, text_col).where("id <> group").select(F.col("id").alias(id_col)).distinct())
-    return df.join(sent_whole(gone), id_col, "left_anti")
+    """One document of each group stays: the one with the smallest id. Rows with a null id stay; of rows that share an id
+    each text is a document."""
+    rows = near_classes(df, similarity, id_col, text_col).where((F.col("node") != F.col("group")) | (F.col("id") != F.col("own")))
+    gone = checkpointed(rows.select(F.col("id").alias("_gl_id"), F.col("mark").alias("_gl_mark")).distinct())
+    return df.join(sent_whole(gone), (df[id_col] == F.col("_gl_id")) & (F.xxhash64(df[text_col]) == F.col("_gl_mark")), "left_anti")
