@@ -29,11 +29,16 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def named_host(host_col: str) -> Column:
+    """A host's name after ``h``; a null host, which is a host of its own, is the empty text."""
+    return F.coalesce(F.concat(F.lit("h"), F.col(host_col).cast("string")), F.lit(""))
+
+
 def boilerplate_lines(
     df: DataFrame, host_col: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
     """(_gl_host, line, pages, host_pages): hashes of the lines over the ratio. Lines without a word don't count."""
-    host, text = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.coalesce(F.col(text_col), F.lit(""))
+    host, text = named_host(host_col), F.coalesce(F.col(text_col), F.lit(""))
     page = df.select(host.alias("_gl_host"), F.xxhash64(text).alias("_gl_page"), text.alias("_gl_text"))
     totals = page.groupBy("_gl_host", "_gl_page").count().groupBy("_gl_host").agg(F.count(F.lit(1)).alias("host_pages"))
     worded = F.transform(F.filter(_lines(F.col("_gl_text")), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x))
@@ -53,22 +58,23 @@ def drop_boilerplate(
     """``df`` with boilerplate lines gone from ``text_col`` and their number in ``n_dropped_lines``.
 
     Every row stays, even if no line of it does. Null texts stay null with 0 dropped lines; a null
-    host is a host of its own. An input column named n_dropped_lines is replaced.
+    host is a host of its own. An input column named n_dropped_lines, in any case, is replaced.
     """
     found = checkpointed(boilerplate_lines(df, host_col, text_col, max_ratio, min_pages).select("_gl_host", "line"))
     lists = found.groupBy("_gl_host").agg(F.collect_list("line").alias("_gl_drop"))
     few = found.limit(broadcast_lines + 1).count() <= broadcast_lines
-    host, part = F.coalesce(F.col(host_col).cast("string"), F.lit("")), F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(PARTS)).cast("int")
+    host, part = named_host(host_col), F.pmod(F.xxhash64(text_col, F.lit(5)), F.lit(PARTS)).cast("int")
     part = F.lit(0) if few else part
     lists = F.broadcast(lists.withColumn("_gl_part", F.lit(0))) if few else lists.withColumn("_gl_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     lines = F.split(F.col(text_col), "\n")
     drops = lambda x: F.array_contains(F.col("_gl_drop"), F.xxhash64(x)) & x.rlike(WORD)
     left = F.when(F.col("_gl_drop").isNull(), lines).otherwise(F.filter(lines, lambda x: ~drops(x)))
-    out = df.drop("n_dropped_lines").withColumn("_gl_host", host).withColumn("_gl_part", part)
+    kept = [c for c in df.columns if c.lower() != "n_dropped_lines"]
+    out = df.select(*kept).withColumn("_gl_host", host).withColumn("_gl_part", part)
     out = out.join(lists, ["_gl_host", "_gl_part"], "left").withColumn("_gl_left", left)
     gone = F.coalesce(F.size(lines) - F.size("_gl_left"), F.lit(0)).cast("long")
     return out.select(
-        *(F.array_join("_gl_left", "\n").alias(c) if c == text_col else F.col(c) for c in df.columns if c != "n_dropped_lines"),
+        *(F.array_join("_gl_left", "\n").alias(c) if c == text_col else F.col(c) for c in kept),
         gone.alias("n_dropped_lines"),
     )
 
@@ -79,7 +85,7 @@ def op7_line_dedup(docs: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-WITH d AS (SELECT doc_id, source, text, coalesce(source, '') AS h, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, source, text, coalesce('h' || source, '') AS h, coalesce(text, '') AS t FROM documents),
 p AS (SELECT DISTINCT h, t FROM d),
 n AS (SELECT h, count(*) AS host_pages FROM p GROUP BY h),
 l AS (SELECT DISTINCT h, t, unnest(string_split(t, chr(10))) AS line FROM p),
