@@ -23,7 +23,12 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without their hosts' boilerplate lines; a null source is a host of its own."""
-    out = linededup.drop_boilerplate(docs).drop("n_dropped_lines")
+    # the stage's own columns go by; whatever the input has keeps its name and place
+    own = [c for c in ("doc_id", "source", "text", "n_chars") if c in docs.columns]
+    held = [c for c in docs.columns if c not in own]
+    packed = docs.select(*own, F.struct(*held).alias("_gl_held")) if held else docs
+    out = linededup.drop_boilerplate(packed).drop("n_dropped_lines")
+    out = out.select(*(F.col(f"_gl_held.{c}") if c in held else F.col(c) for c in docs.columns))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
