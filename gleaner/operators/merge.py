@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +32,22 @@ def last_wins(batch: DataFrame, pk: Sequence[str], order: Sequence[str]) -> Data
     return batch.dropna(subset=list(pk)).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
-def upsert(target: DataFrame, batch: DataFrame, pk: Sequence[str], policy: Policy = overwrite, guard: Column | None = None) -> DataFrame:
+def sortable(df: DataFrame, pk: Sequence[str]) -> list[str]:
+    """Columns beside the key by which rows can be sorted; the key, if there are none."""
+    return [f.name for f in df.schema if f.name not in pk and not any(x in f.dataType.simpleString() for x in ("map<", "variant"))] or list(pk)
+
+
+def upsert(
+    target: DataFrame, batch: DataFrame, pk: Sequence[str], policy: Policy = overwrite, guard: Column | None = None, own: Mapping[str, Policy] | None = None
+) -> DataFrame:
     """Insert new keys; on a known key each column of the batch meets the policy, other columns stay.
 
-    ``guard`` is a condition on the stored row (as alias ``t``); rows for which it fails are not touched.
+    ``guard`` is a condition on the stored row (as alias ``t``); rows for which it fails are not touched. ``own`` has columns with
+    a policy of their own. Batch rows without a whole key go; of a repeated key the greatest row by its other columns stays
+    (:func:`last_wins` chooses by an order).
     """
     known = F.col("t._in").isNotNull()
+    batch = last_wins(batch, pk, sortable(batch, pk))
     t, s = target.withColumn("_in", F.lit(1)).alias("t"), batch.withColumn("_in", F.lit(1)).alias("s")
     joined = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in pk], "full_outer")
     touched = F.col("s._in").isNotNull() & (F.lit(True) if guard is None else F.coalesce(guard, F.lit(False)) | ~known)
@@ -48,14 +58,16 @@ def upsert(target: DataFrame, batch: DataFrame, pk: Sequence[str], policy: Polic
             out.append(F.coalesce(old, F.col(f"s.{c}")).alias(c))
         elif c in batch.columns:
             new = F.col(f"s.{c}")
-            out.append(F.when(touched & known, policy(old, new)).when(known, old).otherwise(new).alias(c))
+            out.append(F.when(touched & known, (own or {}).get(c, policy)(old, new)).when(known, old).otherwise(new).alias(c))
         else:
             out.append(old.alias(c))
     return joined.select(*out)
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, pk: Sequence[str]) -> DataFrame:
-    return target.unionByName(batch.join(target.select(*pk), list(pk), "left_anti"), allowMissingColumns=True)
+    """New keys are added; of a repeated one the greatest row, and none without a whole key."""
+    new = last_wins(batch, pk, sortable(batch, pk)).join(target.select(*pk), list(pk), "left_anti")
+    return target.unionByName(new, allowMissingColumns=True)
 
 
 def update_only(target: DataFrame, batch: DataFrame, pk: Sequence[str], policy: Policy = preserve) -> DataFrame:
