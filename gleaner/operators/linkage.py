@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +77,76 @@ def opened_blocks(asked: DataFrame, right: DataFrame, df: DataFrame, cap: int) -
     return rows.select("lt", F.transform(keep, lambda x: F.struct(x["block"].alias("block"), x["token"].alias("token"))).alias("b"))
 
 
+def long_pairs(left: DataFrame, right: DataFrame, df: DataFrame, least: float, cap: int) -> DataFrame:
+    """(lt, rt): candidates among two tables of distinct word sets (``set``) that have a set of more than ``SHORT_SET`` words; no
+    pair of a Jaccard similarity of ``least`` or more is missing.
+
+    Words are sorted by their number of right rows, rarest first. Two sizes tell how many words such a pair shares at least, so
+    its first k common words are among the first (size - that number + k) of each: a set is dealt for each size that a
+    partner may have. If the first common word is in at most ``cap`` right rows, it makes the pair; if not, the first two make it
+    together, and where these are in more than ``cap`` sets, the first three. What is left behind the last of these words
+    rules pairs out before their words are compared.
+    """
+    fewest = math.ceil(least * (SHORT_SET + 1) - 1e-9)
+    levels = min(3, max(1, fewest))
+
+    def sizes_of(sets: DataFrame) -> Column:
+        return F.array(*(F.lit(n) for (n,) in sets.select(F.size("set")).distinct().collect()))  # as many as the longest name has words
+
+    def ordered(sets: DataFrame, others: Column) -> DataFrame:
+        words = sets.select("set", F.explode("set").alias("token")).join(df, "token", "left").fillna(0, ["df"])
+        words = words.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("w"), F.count(F.lit(1)).cast("int").alias("n"))
+        words = words.select("*", F.explode(others).alias("m")).where((F.greatest("n", "m") > SHORT_SET) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9))
+        return words.withColumn("must", F.ceil(least / (1 + least) * (F.col("n") + F.col("m")) - 1e-9).cast("int"))
+
+    def first(k: int) -> Column:
+        """Words among which the first ``k`` common ones are, with their places."""
+        return F.transform(F.slice("w", F.lit(1), F.least(F.col("n"), F.col("n") - F.col("must") + k)), lambda x, i: F.struct(i.alias("at"), x["token"].alias("token"), (x["df"] > cap).alias("common")))
+
+    def once(sets: DataFrame) -> DataFrame:
+        word = sets.select("set", "n", "m", F.explode(first(1)).alias("x"))
+        return (word if levels == 1 else word.where("not x.common")).select("set", "n", "m", "x.at", F.col("x.token").alias("key"))
+
+    def later(k: int, at: Column) -> Column:
+        """Common words behind a place."""
+        return F.filter(first(k), lambda x: x["common"] & (x["at"] > at))
+
+    def twice(sets: DataFrame) -> DataFrame:
+        out = sets.select("*", F.explode(F.filter(first(2), lambda x: x["common"])).alias("x")).select("*", F.explode(later(2, F.col("x.at"))).alias("y"))
+        return out.withColumn("key", F.concat_ws(" ", "x.token", "y.token"))
+
+    def thrice(both: DataFrame) -> DataFrame:
+        return both.select("set", "n", "m", "key", F.explode(later(3, F.col("y.at"))).alias("z")).select("set", "n", "m", "z.at", F.concat_ws(" ", "key", "z.token").alias("key"))
+
+    def joined(x: DataFrame, y: DataFrame, k: int) -> DataFrame:
+        x = x.select(F.col("set").alias("lt"), F.col("n").alias("ln"), F.col("m").alias("rn"), F.col("at").alias("la"), "key")
+        y = y.select(F.col("set").alias("rt"), F.col("n").alias("rn"), F.col("m").alias("ln"), F.col("at").alias("ra"), "key")
+        room = k - 1 + F.least(F.col("ln") - F.col("la"), F.col("rn") - F.col("ra"))
+        return x.join(y, ["key", "ln", "rn"]).where(room >= least / (1 + least) * (F.col("ln") + F.col("rn")) - 1e-9).select("lt", "rt")
+
+    x, y = ordered(left, sizes_of(right)), ordered(right, sizes_of(left))
+    out = joined(once(x), once(y), 1)
+    if levels > 1:
+        xs, ys = twice(x), twice(y)
+        if levels > 2:
+            many = ys.groupBy("key", "n", "m").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > cap).select("key", F.col("n").alias("right"), F.col("m").alias("left"))
+            on = lambda df, n, m: (df["key"] == many["key"]) & (df["n"] == many[n]) & (df["m"] == many[m])
+            split = lambda how: (xs.join(many, on(xs, "left", "right"), how), ys.join(many, on(ys, "right", "left"), how))
+            threes, (xs, ys) = split("left_semi"), split("left_anti")
+            out = out.union(joined(thrice(threes[0]), thrice(threes[1]), 3))
+        flat = lambda both: both.select("set", "n", "m", F.col("y.at").alias("at"), "key")
+        out = out.union(joined(flat(xs), flat(ys), 2))
+    return out.distinct()
+
+
 def best_by_name(left: DataFrame, right: DataFrame, cap: int = 600, least: float = 0.45, sure: float = 0.85) -> DataFrame:
     """The most similar right row of each left row among the blocks of its three rarest name tokens, at a similarity
     of ``least`` or more; of equal ones that of the earliest block, then of the smallest id.
 
     No pair is made through a common word. Rows of one token set are one entry. Two sets of a similarity of ``least``
     share a subset of that share of each; so each entry is dealt by its subsets, a subset keeps the smallest
-    right id of each size, and the largest shared subset gives the similarity itself. Sets of more
-    than ``SHORT_SET`` words are joined by their rarest words, of which two such sets must share one.
+    right id of each size, and the largest shared subset gives the similarity itself. Pairs with a set of more
+    than ``SHORT_SET`` words are found by :func:`long_pairs`.
     """
     words = F.array_sort(tokens(F.col("name")))
     l = left.select(F.col("id").alias("l_id"), words.alias("lt")).where("size(lt) > 0")  # noqa: E741
@@ -97,14 +161,7 @@ def best_by_name(left: DataFrame, right: DataFrame, cap: int = 600, least: float
     found = parts.join(few.groupBy("part", "rn").agg(F.min("r_id").alias("r_id")), "part")
     found = found.select("lt", "r_id", score(F.size("part"), F.col("rn")).alias("score"), block(F.col("part")).alias("block"))
 
-    def rare(entries: DataFrame, c: str) -> DataFrame:
-        """Entries by the words of which a partner must hold one: all but the most common share."""
-        by = entries.select(c, F.explode(c).alias("token")).join(df, "token", "left").fillna(0, ["df"]).groupBy(c).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_w"))
-        return by.select(c, F.explode(F.slice("_w", F.lit(1), F.size("_w") - F.ceil(least * F.size("_w")).cast("int") + 1)).alias("_w")).select(c, "_w.token")
-
-    long = lambda c: F.size(c) > SHORT_SET
-    lefts, rights = rare(asked.select("lt"), "lt"), rare(r.select("rt"), "rt")
-    pairs = lefts.where(long("lt")).join(rights, "token").union(lefts.where(~long("lt")).join(rights.where(long("rt")), "token")).select("lt", "rt").distinct()
+    pairs = long_pairs(asked.select(F.col("lt").alias("set")), r.select(F.col("rt").alias("set")), df, least, cap)
     pairs = pairs.join(asked, "lt").join(r.select("rt", "r_id"), "rt").withColumn("shared", F.array_intersect("lt", "rt"))
     found = found.union(pairs.select("lt", "r_id", score(F.size("shared"), F.size("rt")).alias("score"), block(F.col("shared")).alias("block")))
 
