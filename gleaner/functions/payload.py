@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import json
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = {"OBJECT": "object", "ARRAY": "list", "STRING": "text", "BOOLEAN": "flag", "VOID": "null"}
 
@@ -53,8 +57,8 @@ def located(df: DataFrame, markers: Sequence[str], v: str = "v", depth: int = 3)
     """``df`` with ``node``: the first object in ``v``, down to ``depth`` levels, that has all of the marker keys; the
     shallowest one, then the first by its path. Rows without one have a null node."""
     spark, rest = df.sparkSession, [c for c in df.columns if c != v]
-    keyed = df.withColumn("_row", F.xxhash64(*rest))
-    level, found = keyed.select("_row", F.lit("").alias("path"), F.col(v).alias("v")), []
+    keyed = df.withColumn("_row", F.sha2(F.to_json(v), 256))  # equal payloads have equal nodes
+    level, found = keyed.select("_row", F.lit("").alias("path"), F.col(v).alias("v")).dropDuplicates(["_row"]), []
     for i in range(depth + 1):
         keys = F.json_object_keys(F.when(kind_of(F.col("v")) == "object", F.to_json("v")))
         found.append(level.where(F.forall(F.array(*map(F.lit, markers)), lambda m: F.array_contains(keys, m))).select("_row", F.struct(F.lit(i).alias("depth"), "path").alias("at"), F.to_json("v").alias("node")))
@@ -64,8 +68,18 @@ def located(df: DataFrame, markers: Sequence[str], v: str = "v", depth: int = 3)
     return keyed.join(first, "_row", "left").select(*rest, F.try_parse_json("node").alias("node"))
 
 
-def flattened(df: DataFrame, key: str, v: str = "v", depth: int = 4) -> DataFrame:
-    """A row (..., node) for each object that holds ``key``, however lists and objects are nested around it."""
+def nesting(text: Column) -> Column:
+    """How many brackets of a JSON text are open at once, at most; those in quoted texts don't count."""
+    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    step = lambda a, x: F.struct((a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    return F.aggregate(F.filter(F.split(marks, ""), lambda x: x != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
+
+
+def flattened(df: DataFrame, key: str, v: str = "v", depth: int | None = None) -> DataFrame:
+    """A row (..., node) for each object that holds ``key``, however lists and objects are nested around it. Without a
+    ``depth`` the deepest payload is looked for first, so that none is cut."""
+    if depth is None:
+        depth = df.agg(F.coalesce(F.max(nesting(F.to_json(v))), F.lit(0))).first()[0]
     spark, rest = df.sparkSession, [c for c in df.columns if c != v]
     level, found = df.withColumnRenamed(v, "v"), []
     names = ", ".join(rest)
@@ -83,7 +97,19 @@ def names_joined(v: Column) -> Column:
     return F.when(kind_of(v) == "list", F.array_join(many, ", ")).when(kind_of(v) == "text", F.trim(field(v, "$", "string"))).otherwise("")
 
 
+@F.pandas_udf(T.StringType())
+def literal_json(texts: pd.Series) -> pd.Series:
+    """JSON of Python literals (quotes, nesting, tuples and None read as Python reads them); null for what is none."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(ast.literal_eval(text.strip()), ensure_ascii=False, allow_nan=False)
+        except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
+            return None
+
+    return texts.map(one)
+
+
 def repaired(text: Column) -> Column:
-    """A stored object as a variant, whether it was stored as JSON or as a Python literal."""
-    literal = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.to_json(F.from_json(literal, "map<string,string>"))))
+    """A stored object as a variant, whether it was stored as JSON or as a Python literal. Only what isn't JSON goes to Python."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(literal_json(F.when(F.try_parse_json(text).isNull(), text))))

@@ -15,10 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .payload import field, kind_of, ordered_steps
-from .text import absolute_url, duration_months
+from .text import absolute_url, duration_months, unescaped
 
-# Named entities, the ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&rsquo;", "’"), ("&lsquo;", "‘"), ("&ndash;", "–"), ("&mdash;", "—"), ("&#8377;", "₹"), ("&amp;", "&"))
+# Most items of a list, characters of one, and characters of a JSON cell.
 LIST_ITEMS, ITEM_CHARS, JSON_CHARS = 60, 200, 4000
 
 # Members of a college page's node.
@@ -248,9 +247,8 @@ description         raw       article.description
 
 
 def plain_text(c: Column) -> Column:
-    """Without tags, entities and runs of white space."""
-    bare = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, F.regexp_replace(c, "<[^>]+>", " "))
-    return F.trim(F.regexp_replace(bare, r"[\s ]+", " "))
+    """Without tags and runs of white space, character references resolved."""
+    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(c, "<[^>]+>", " ")), r"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def number(c: Column) -> Column:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that no name is told by.
 STOP_WORDS = ("of", "the", "and", "for", "in", "at", "a", "an", "s")
@@ -130,16 +136,106 @@ def absolute_url(c: Column, root: str) -> Column:
     return F.when(missing(c), "").when(c.startswith("http"), c).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), F.ltrim(c, F.lit("/"))))
 
 
-def canonical(c: Column, kind: str) -> Column:
-    """One text for a value: absent is '', flags are 1/0, whole floats have no fraction."""
-    if kind == "boolean":
-        c = c.cast("int").cast("string")
-    elif kind in ("double", "float"):
-        c = F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(F.round(c, 6).cast("string"))
-    return F.coalesce(F.trim(c.cast("string")), F.lit(""))
-
-
-def fingerprint(kinds: dict[str, str]) -> Column:
+#: White space as Python's ``str.strip`` knows it.
+SPACE = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def shortest(x: Column, whole_point: bool) -> Column:
+    """The shortest decimal text that is this double again, with an exponent below 1e-4 and, if ``whole_point``, from 1e16 on, where
+    whole numbers also get a fraction; else whole numbers are all their digits (past 38 of them, zeros)."""
+    tried = [F.format_string(f"%.{p}e", x) for p in (14, 15, 16)]
+    text = F.coalesce(*(F.when(t.try_cast("double") == x, t) for t in tried[:2]), tried[2])
+    sign = F.when(F.startswith(text, F.lit("-")), "-").otherwise("")
+    digits = F.rtrim(F.replace(F.regexp_extract(text, "^-?([0-9.]+)e", 1), F.lit(".")), F.lit("0"))
+    power = F.regexp_extract(text, "e([+-][0-9]+)$", 1).try_cast("int")
+    first, rest = F.left(digits, F.lit(1)), F.substring(digits, 2, 30)
+    fixed = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(30))))
+    mantissa = F.when(rest == "", first).otherwise(F.concat(first, F.lit("."), rest))
+    lifted = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    whole = (F.abs(x) >= 2.0**53) | (x == F.floor(x))  # floor gives a long
+    plain = F.when(F.abs(x) < 1e38, F.when(x == 0, F.lit(0)).otherwise(x).cast("decimal(38,0)").cast("string")).otherwise(F.format_string("%.0f", x))
+    small = F.concat(sign, F.when(power < -4, lifted).otherwise(fixed))
+    if whole_point:
+        number = F.when(whole & (F.abs(x) < 1e16), F.concat(F.when(x == 0, sign).otherwise(""), plain, F.lit(".0"))).when(power >= 16, F.concat(sign, lifted)).otherwise(small)
+    else:
+        number = F.when(whole, plain).otherwise(small)
+    endless = F.when(F.isnan(x), "NaN" if whole_point else "nan").when(x > 0, "Infinity" if whole_point else "inf").otherwise("-Infinity" if whole_point else "-inf")
+    return F.when(x.isNull(), None).when(F.isnan(x) | (F.abs(x) == float("inf")), endless).otherwise(number)
+
+
+def as_json(c: Column, kind: T.DataType) -> Column:
+    """A value as JSON with sorted keys, and one blank after commas and colons; of any depth."""
+    if isinstance(kind, T.StructType):
+        cells = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), as_json(c[f.name], f.dataType)) for f in sorted(kind, key=lambda f: f.name)]
+        text = F.concat(F.lit("{"), F.concat_ws(", ", *cells), F.lit("}"))
+    elif isinstance(kind, T.MapType):
+        cell = lambda k: F.concat(as_json(k.cast("string"), T.StringType()), F.lit(": "), as_json(c[k], kind.valueType))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(c)), cell), ", "), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: as_json(x, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.VariantType):
+        text = sorted_json(F.to_json(c))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = shortest(c.cast("string").cast("double") if isinstance(kind, T.FloatType) else c, True)
+    elif isinstance(kind, (T.NumericType, T.BooleanType)):
+        text = c.cast("string")
+    else:
+        text = F.regexp_extract(F.to_json(F.array(c.cast("string"))), r"(?s)^\[(.*)\]$", 1)
+    return F.coalesce(text, F.lit("null"))
+
+
+@F.pandas_udf(T.StringType())
+def sorted_json(texts: pd.Series) -> pd.Series:
+    """JSON texts with sorted keys: a variant's members are known row by row only."""
+    return texts.map(lambda x: None if x is None else json.dumps(json.loads(x), sort_keys=True, ensure_ascii=False))
+
+
+def canonical(c: Column, kind: str | T.DataType) -> Column:
+    """One text for a value: absent is '', flags are 1/0, whole floats have no fraction and no exponent, other floats are as
+    short as they can be, nested values are JSON with sorted keys, texts have no outer white space."""
+    kind = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    if isinstance(kind, T.BooleanType):
+        text = c.cast("int").cast("string")
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = shortest(c.cast("string").cast("double") if isinstance(kind, T.FloatType) else c, False)
+    elif isinstance(kind, (T.StructType, T.MapType, T.ArrayType, T.VariantType)):
+        text = F.when(c.isNotNull(), as_json(c, kind))
+    else:
+        text = F.btrim(c.cast("string"), F.lit(SPACE))
+    return F.coalesce(text, F.lit(""))
+
+
+def entities() -> dict[str, str]:
+    """Texts of named references, as they stand after the ampersand, and of the numbers that stand for other characters."""
+    return html.entities.html5 | {f"#{k};": html.unescape(f"&#{k};") for k in (*range(32), *range(127, 160))}
+
+
+def unescaped(c: Column) -> Column:
+    """A text with HTML's character references resolved: names, also old ones without a semicolon, and numbers."""
+    known = F.from_json(F.lit(json.dumps(entities())), "map<string,string>")
+    old = "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=len, reverse=True))
+
+    def resolved(piece: Column) -> Column:
+        number, hexed, name = (F.regexp_extract(piece, p, 1) for p in ("^#([0-9]{1,9});?", "^#[xX]([0-9a-fA-F]{1,7});?", "^([A-Za-z][A-Za-z0-9]*;)"))
+        code = F.when(number != "", number.try_cast("long")).when(hexed != "", F.conv(hexed, 16, 10).cast("long"))
+        odd = F.try_element_at(known, F.concat(F.lit("#"), code.cast("string"), F.lit(";")))
+        char = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.coalesce(odd, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        short = F.regexp_extract(piece, f"^({old})", 1)
+        named = F.try_element_at(known, name)
+        behind = lambda size: F.substring(piece, size + 1, F.length(piece))
+        return (
+            F.when(code.isNotNull(), F.concat(char, F.regexp_replace(piece, "^#(?:[0-9]{1,9}|[xX][0-9a-fA-F]{1,7});?", "")))
+            .when(named.isNotNull(), F.concat(named, behind(F.length(name))))
+            .when(short != "", F.concat(F.try_element_at(known, short), behind(F.length(short))))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(c, "&", -1)
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), resolved), ""))
+    return F.when(F.contains(c, F.lit("&")), whole).otherwise(c)
+
+
+def fingerprint(kinds: dict[str, str | T.DataType]) -> Column:
     """SHA-1 over name and value of each column, in the order of the names."""
     parts = [x for n in sorted(kinds) for x in (F.lit(n + "\x1f"), canonical(F.col(n), kinds[n]), F.lit("\x1e"))]
     return F.sha1(F.concat(*parts).cast("binary"))

@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import canonical, fingerprint
 
 
-def kinds_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
-    return {c: df.schema[c].dataType.simpleString() for c in columns}
+def kinds_of(df: DataFrame, columns: Sequence[str]) -> dict[str, T.DataType]:
+    return {c: df.schema[c].dataType for c in columns}
 
 
 def with_fingerprint(df: DataFrame, columns: Sequence[str], name: str = "content_hash") -> DataFrame:
@@ -37,7 +38,7 @@ def reconcile(before: DataFrame, after: DataFrame, pk: Sequence[str], columns: S
     joined = now.join(old, list(pk), "left").join(changes, list(pk), "left")
     differs = (F.col("_was") != F.col("_now")) & F.col("n_fields").isNotNull()
     verdict = F.when(F.col("_was").isNull(), "new").when(F.col("_gone"), "returned").when(differs, "changed").otherwise("same")
-    return joined.select(*pk, verdict.alias("verdict"), F.coalesce("n_fields", F.lit(0)).cast("long").alias("n_fields"))
+    return joined.select(*pk, verdict.alias("verdict"), F.when(verdict == "same", 0).otherwise(F.coalesce("n_fields", F.lit(0))).cast("long").alias("n_fields"))
 
 
 def mark_missing(table: DataFrame, sweep_start, seen: str = "last_seen", inactive: str = "inactive_since") -> DataFrame:
@@ -87,12 +88,14 @@ def clipped(text: Column) -> Column:
 
 def change_log(before: DataFrame, after: DataFrame, pk: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(pk, change_type, field, old_value, new_value): one ``new`` or ``returned`` row with field ``*``, or a ``changed`` row
-    for each field. A row that returns with other values is logged by its fields only."""
+    for each field. A row that returns with other values is logged by its fields only; one that is the ``same`` isn't logged,
+    whatever its columns say."""
     verdicts = reconcile(before, after, pk, columns)
     none = F.lit(None).cast("string")
     whole = verdicts.where((F.col("verdict") == "new") | ((F.col("verdict") == "returned") & (F.col("n_fields") == 0)))
     whole = whole.select(*pk, F.col("verdict").alias("change_type"), F.lit("*").alias("field"), none.alias("old_value"), none.alias("new_value"))
-    fields = field_changes(before, after, pk, columns).join(before.where("content_hash is not null").select(*pk), list(pk), "left_semi")
+    moved = verdicts.where(F.col("verdict").isin("changed", "returned")).select(*pk)
+    fields = field_changes(before, after, pk, columns).join(moved, list(pk), "left_semi")
     fields = fields.select(*pk, F.lit("changed").alias("change_type"), "field", clipped(F.col("old_value")).alias("old_value"), clipped(F.col("new_value")).alias("new_value"))
     return whole.unionByName(fields)
 
