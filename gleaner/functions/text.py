@@ -151,7 +151,7 @@ def shortest(x: Column, whole_point: bool) -> Column:
     first, rest = F.left(digits, F.lit(1)), F.substring(digits, 2, 30)
     fixed = F.when(power < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)).otherwise(F.concat(F.left(digits, power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(30))))
     mantissa = F.when(rest == "", first).otherwise(F.concat(first, F.lit("."), rest))
-    lifted = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    lifted = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
     whole = (F.abs(x) >= 2.0**53) | (x == F.floor(x))  # floor gives a long
     plain = F.when(F.abs(x) < 1e38, F.when(x == 0, F.lit(0)).otherwise(x).cast("decimal(38,0)").cast("string")).otherwise(F.format_string("%.0f", x))
     small = F.concat(sign, F.when(power < -4, lifted).otherwise(fixed))

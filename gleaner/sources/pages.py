@@ -8,9 +8,11 @@ import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import unescaped
+
 # What a page says that only checks its visitor.
 CHALLENGE_TITLES = ("just a moment", "attention required", "access denied", "security check", "are you a robot", "ddos-guard")
 CHALLENGE_TOKENS = ("cf-browser-verification", "__cf_chl_", "cf_chl_opt", "request unsuccessful. incapsula", "please enable cookies and reload the page")
@@ -150,3 +152,17 @@ def named_cells(html: Column, names: dict[str, Sequence[str]]) -> Column:
     at = lambda words: F.array_position(F.transform(heads, lambda h: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(h, w))), True)
     cell = lambda row, words: F.try_element_at(row, F.nullif(at(words), F.lit(0)).cast("int"))
     return F.transform(F.slice(rows, 2, 1_000_000), lambda row: F.struct(*(cell(row, words).alias(n) for n, words in names.items())))
+
+
+def sitemap_files(spark: SparkSession, paths: Sequence[str], base: str | None = None) -> DataFrame:
+    """(loc, lastmod, and the partitions below ``base``) of the entries in sitemap files: Spark's XML reader splits a file by entry. A
+    file that is no XML to its end, as by a bare ampersand, is read leniently as a whole; a missing lastmod is ''."""
+    reader = spark.read.format("xml").option("rowTag", "url").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").schema("loc string, lastmod string, _bad string")
+    df = (reader.option("basePath", base) if base else reader).load(list(paths))
+    rest = [c for c in df.columns if c not in ("loc", "lastmod", "_bad")]
+    df = df.select(*rest, "loc", "lastmod", "_bad", F.col("_metadata.file_path").alias("_file"))
+    bad = df.where("_bad is not null").select("_file", "_bad", *rest).dropDuplicates(["_file"])
+    tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    good = df.where("_bad is null").join(bad.select("_file"), "_file", "left_anti").select(*rest, tidy(F.col("loc")).alias("loc"), tidy(F.col("lastmod")).alias("lastmod"))
+    lenient = sitemap_entries(bad.drop("_file"), "_bad").select(*rest, unescaped(F.col("loc")).alias("loc"), "lastmod")
+    return good.unionByName(lenient).where("loc <> ''")

@@ -27,7 +27,7 @@ def plain(v):
 
 def test_doubles(spark):
     rnd = random.Random(1)
-    values = [0.0, -0.0, 1.0, -2.0, 0.1, 1e20, 1e16, 123456789012345678.0, 0.12345678, 0.12345699, 1e-5, 1.5e-7, 1e-4, 2.5e15 + 0.5, 1 / 3, 2e-3, 1.1e-5, 5e-324, float("nan"), float("inf"), -float("inf"), 2.0**-44, 9007199254740993.0, 1e22, 1e23]
+    values = [0.0, -0.0, 1.0, -2.0, 0.1, 1e20, 1e16, 123456789012345678.0, 0.12345678, 0.12345699, 1e-5, 1.5e-7, 1e-4, 2.5e15 + 0.5, 1 / 3, 2e-3, 1.1e-5, 1.25e-300, float("nan"), float("inf"), -float("inf"), 2.0**-44, 9007199254740993.0, 1e22, 1e23]
     values += [struct.unpack("<d", struct.pack("<q", rnd.getrandbits(63) & ~(1 << 62) | (rnd.randint(990, 1080) << 52)))[0] for _ in range(400)] + [round(rnd.uniform(-1e6, 1e6), rnd.randint(0, 9)) for _ in range(400)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", X.canonical(F.col("v"), "double").alias("t"), X.as_json(F.col("v"), df_type("double")).alias("j"))
     for r in df.collect():
