@@ -161,7 +161,7 @@ def sitemap_files(spark: SparkSession, paths: Sequence[str], base: str | None =
     df = (reader.option("basePath", base) if base else reader).load(list(paths))
     rest = [c for c in df.columns if c not in ("loc", "lastmod", "_bad")]
     df = df.select(*rest, "loc", "lastmod", "_bad", F.col("_metadata.file_path").alias("_file"))
-    bad = df.where("_bad is not null").select("_file", "_bad", *rest).dropDuplicates(["_file"])
+    bad = df.where("_bad is not null AND loc IS NULL").select("_file", "_bad", *rest).dropDuplicates(["_file"])
     tidy = lambda c: F.trim(F.coalesce(c, F.lit("")))
     good = df.where("_bad is null").join(bad.select("_file"), "_file", "left_anti").select(*rest, tidy(F.col("loc")).alias("loc"), tidy(F.col("lastmod")).alias("lastmod"))
     lenient = sitemap_entries(bad.drop("_file"), "_bad").select(*rest, unescaped(F.col("loc")).alias("loc"), "lastmod")
