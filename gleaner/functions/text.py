@@ -54,15 +54,17 @@ def clean_date(text: Column) -> Column:
     return F.when(t == "0000-00-00", "").otherwise(t)
 
 
+# Labels of the streams 1 to 20.
+STREAMS = (
+    "Agriculture", "Architecture", "Arts", "Aviation", "Commerce", "Computer Applications", "Dental", "Design", "Education", "Engineering",
+    "Hotel Management", "Law", "Management", "Mass Communications", "Medical", "Paramedical", "Pharmacy", "Science", "Veterinary Sciences", "Vocational Courses",
+)
+
+
 def stream_name(stream: Column) -> Column:
     """Label of a stream number; an unknown one is named by it, what is no number is ''."""
-    # Labels of the streams 1 to 20.
-    labels = (
-        "Agriculture", "Architecture", "Arts", "Aviation", "Commerce", "Computer Applications", "Dental", "Design", "Education", "Engineering",
-        "Hotel Management", "Law", "Management", "Mass Communications", "Medical", "Paramedical", "Pharmacy", "Science", "Veterinary Sciences", "Vocational Courses",
-    )
     n = stream.try_cast("int")
-    known = F.when(n >= 1, F.try_element_at(F.array(*map(F.lit, labels)), n))
+    known = F.when(n >= 1, F.try_element_at(F.array(*map(F.lit, STREAMS)), n))
     return F.when(n.isNull(), "").otherwise(F.coalesce(known, F.concat(F.lit("Stream "), n.cast("string"))))
 
 

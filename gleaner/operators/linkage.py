@@ -190,11 +190,13 @@ def conflicts(pairs: DataFrame, names: DataFrame, same: float = 0.8) -> DataFram
     Claims by key are capped, those by name are alike in their words; a group is as large as its distinct names.
     """
     claims = pairs.where("verdict = 'yes'").join(names.select(F.col("id").alias("l_id"), "name"), "l_id").withColumn("_v", F.get("evidence", F.lit(0)))
+    claims = claims.withColumn("_n", F.struct(F.lower("name").alias("name"), tokens(F.col("name")).alias("bag")))
     groups = claims.groupBy("r_id").agg(
-        F.count(F.lit(1)).alias("n_claims"), F.collect_set(F.lower("name")).alias("ns"), F.min(F.size("evidence")).alias("least"), F.max(F.size("evidence")).alias("most"),
+        F.count(F.lit(1)).alias("n_claims"), F.collect_set("_n").alias("ns"), F.min(F.size("evidence")).alias("least"), F.max(F.size("evidence")).alias("most"),
         F.min("_v").alias("v1"), F.max("_v").alias("v2"),
     ).where("n_claims > 1")
-    bags = F.transform("ns", tokens)
+    groups = groups.withColumns({"bags": F.transform("ns", lambda x: x["bag"]), "ns": F.transform("ns", lambda x: x["name"])})
+    bags = F.col("bags")
     alike = F.forall(F.transform(bags, lambda x: F.array_min(F.transform(bags, lambda y: jaccard(x, y)))), lambda m: m >= same)
     shared = (F.col("least") == 1) & (F.col("most") == 1) & (F.col("v1") == F.col("v2"))
     inside = F.exists("ns", lambda x: F.exists("ns", lambda y: (x != y) & F.contains(y, x)))

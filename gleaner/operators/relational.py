@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -69,6 +70,11 @@ def guarded_select(spark: SparkSession, sql: str, most: int = 1000, **tables: Da
     text = sql.strip()
     if ";" in text or not text.lower().startswith(("select ", "with ")):
         raise ValueError("one SELECT without a semicolon is asked for")
+    # a command would run as soon as it is given to the session: the parsed plan has to be a query
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(re.sub(r"\{(\w+)\}", r"\1", text)).toString()
+    for node in re.findall(r"(?m)^[\s:+-]*'?([A-Z]\w*)", plan):
+        if re.search("Command|Statement|^(Insert|Merge|Update|Delete|Overwrite|Append|Create|Replace|Drop|Set|Alter|Truncate|Cache)", node):
+            raise ValueError(f"one SELECT is asked for, not {node}")
     return spark.sql(text, **tables).limit(most)
 
 

@@ -397,9 +397,9 @@ def g5(t):
     return R.top_k(t.logs, ["job_id"], [F.desc("id")], 3).select("job_id", "id")
 
 
-@query("G6_latest_per_level", """SELECT level, arg_max(id, ts) AS id, max(ts) AS ts FROM logs GROUP BY level""")
+@query("G6_latest_per_level", """SELECT level, arg_max(id, {'ts': ts, 'id': id}) AS id, max(ts) AS ts FROM logs GROUP BY level""")
 def g6(t):
-    return t.logs.groupBy("level").agg(F.max_by("id", "ts").alias("id"), F.max("ts").alias("ts"))
+    return t.logs.groupBy("level").agg(F.max_by("id", F.struct("ts", "id")).alias("id"), F.max("ts").alias("ts"))
 
 
 @query("G9_widest_ranges", """SELECT course_id, min(fees_amount) AS low, max(fees_amount) AS high FROM offerings GROUP BY course_id ORDER BY max(fees_amount) - min(fees_amount) DESC, course_id LIMIT 20""")

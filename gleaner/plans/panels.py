@@ -121,9 +121,9 @@ def f30(t):
     return t.offerings.groupBy("course_id").agg(n("m")).groupBy(bucket.alias("bucket")).agg(n("courses"), F.sum("m").alias("offerings"), F.round(F.avg("m"), 3).alias("mean"))
 
 
-@query("F33_level_sets", "SELECT levels, count(*) AS colleges FROM (SELECT college_id, array_to_string(list_sort(list_distinct(list(level))), '+') AS levels FROM offerings JOIN courses USING (course_id) WHERE ranking > 48 GROUP BY college_id) GROUP BY levels ORDER BY colleges DESC, levels LIMIT 20")
+@query("F33_level_sets", "SELECT levels, count(*) AS colleges FROM (SELECT college_id, array_to_string(list_sort(list_distinct(list(level))), '+') AS levels FROM offerings JOIN courses USING (course_id) GROUP BY college_id) GROUP BY levels ORDER BY colleges DESC, levels LIMIT 20")
 def f33(t):
-    sets = t.offerings.where("ranking > 48").join(t.courses, "course_id").groupBy("college_id").agg(F.array_join(F.array_sort(F.collect_set("level")), "+").alias("levels"))
+    sets = t.offerings.join(t.courses, "course_id").groupBy("college_id").agg(F.array_join(F.array_sort(F.collect_set("level")), "+").alias("levels"))
     return sets.groupBy("levels").agg(n("colleges")).orderBy(F.desc("colleges"), "levels").limit(20)
 
 
@@ -447,10 +447,10 @@ def s9(t):
     return t.courses.where("name <> ''").select("course_id", "name", slug.alias("slug"))
 
 
-@query("S12_why_stopped", "SELECT job_id, last_work, last_level, CASE WHEN errors * 2 > m THEN 'failing' WHEN last_level = 'error' THEN 'ended in error' WHEN last_work < (SELECT max(ts) FROM logs) - INTERVAL 2 DAY THEN 'stalled' ELSE 'running' END AS verdict FROM (SELECT job_id, max(ts) AS last_work, arg_max(level, ts) AS last_level, count(*) AS m, count(*) FILTER (WHERE level = 'error') AS errors FROM logs GROUP BY job_id)")
+@query("S12_why_stopped", "SELECT job_id, last_work, last_level, CASE WHEN errors * 2 > m THEN 'failing' WHEN last_level = 'error' THEN 'ended in error' WHEN last_work < (SELECT max(ts) FROM logs) - INTERVAL 2 DAY THEN 'stalled' ELSE 'running' END AS verdict FROM (SELECT job_id, max(ts) AS last_work, arg_max(level, {'ts': ts, 'id': id}) AS last_level, count(*) AS m, count(*) FILTER (WHERE level = 'error') AS errors FROM logs GROUP BY job_id)")
 def s12(t):
     newest = F.broadcast(t.logs.agg(F.max("ts").alias("newest")))  # one row
-    jobs = t.logs.groupBy("job_id").agg(F.max("ts").alias("last_work"), F.max_by("level", "ts").alias("last_level"), n("m"), F.count_if(F.col("level") == "error").alias("errors")).join(newest)
+    jobs = t.logs.groupBy("job_id").agg(F.max("ts").alias("last_work"), F.max_by("level", F.struct("ts", "id")).alias("last_level"), n("m"), F.count_if(F.col("level") == "error").alias("errors")).join(newest)
     verdict = F.when(F.col("errors") * 2 > F.col("m"), "failing").when(F.col("last_level") == "error", "ended in error").when(F.col("last_work") < F.col("newest") - F.expr("INTERVAL 2 DAY"), "stalled").otherwise("running")
     return jobs.select("job_id", "last_work", "last_level", verdict.alias("verdict"))
 

@@ -125,13 +125,13 @@ def scholarships(t):
     return out.select("scholarship_id", "name", inr.alias("inr"), amount.alias("amount"), currency.alias("currency"))
 
 
-BASE_COURSES = "(SELECT college_id, course_id, min(fees_amount) AS low, max(fees_amount) AS high, count(*) AS m FROM offerings WHERE source_job_id < 10 GROUP BY college_id, course_id)"
+BASE_COURSES = "(SELECT college_id, course_id, min(fees_amount) AS low, max(fees_amount) AS high, count(*) AS m FROM offerings GROUP BY college_id, course_id)"
 
 
 @query("C3_base_courses", f"SELECT college_id, course_id AS base_course_id, concat('Course ', CAST(course_id AS VARCHAR)) AS name, low AS min_fees, high AS max_fees, m AS course_count, '[\"E\"]' AS exams FROM {BASE_COURSES}")
 def base_courses(t):
     """The fees table of a college page: one row for each base course; repeated tuples and such without an id go."""
-    g = t.offerings.where("source_job_id < 10").groupBy("college_id", "course_id").agg(F.min("fees_amount").alias("low"), F.max("fees_amount").alias("high"), n("m"))
+    g = t.offerings.groupBy("college_id", "course_id").agg(F.min("fees_amount").alias("low"), F.max("fees_amount").alias("high"), n("m"))
     one = F.struct(F.col("course_id").cast("string").alias("id"), F.concat(F.lit("<i>Course</i> "), "course_id").alias("name"), F.col("low").alias("minFees"), F.col("high").alias("maxFees"), F.col("m").alias("courseCount"), F.array(F.struct(F.lit("E").alias("examName"))).alias("exams"))
     pages = g.groupBy("college_id").agg(F.collect_list(one).alias("xs"))
     body = F.struct(F.concat("xs", F.slice("xs", 1, 2), F.transform(F.slice("xs", 1, 1), lambda x: x.withField("id", F.lit("none")))).alias("baseCourseTuples"))
