@@ -3,15 +3,12 @@
 import re
 import time
 from itertools import combinations
-from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import decontam, licenses, linededup, lm, quality, sentencepieces, simhash, tokencount, toxicity
-from gleaner.operators import relational
-from gleaner.plans import catalogue
 
 
 def linked(texts, similarity=0.8):
@@ -148,12 +145,6 @@ def test_signatures_pass_their_keywords_and_nested_spans_go():
     assert len(spans) == 800 and time.perf_counter() - began < 2
 
 
-def test_batch_is_the_whole_directory(spark):
-    """The incoming batch grows with the directory."""
-    directory = spark.range(4_990, 5_010).select(F.col("id").alias("college_id"), F.lit("town").alias("city"))
-    assert catalogue.batch(SimpleNamespace(directory=directory)).count() == 20
-
-
 def test_every_permitted_overlap_has_a_seed():
     """Over all patterns of substitutions in overlaps of up to 19 tokens and in whole short items."""
     for n in range(1, 20):
@@ -177,14 +168,6 @@ def test_substituted_overlaps_are_found(spark):
     assert {(r.doc_id, r.item_id, r.first_token, r.end_token, r.n_matched) for r in found} == {(1, 7, 2, 17, 12), (2, 8, 0, 6, 5)}
 
 
-def test_upper_median_counts_values_first(spark):
-    rows = [("a", x) for x in (5, 1, 1, 9)] + [("b", x) for x in (3, None, 2, 7)] + [("c", None), (None, 4), ("d", 8)]
-    out = relational.upper_median(spark.createDataFrame(rows, "level string, n int"), "level", "n")
-    assert {r.level: r.median for r in out.collect()} == {"a": 5, "b": 3, "c": None, None: 4, "d": 8}
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert "collect_list" not in plan
-
-
 def test_repeated_words_against_repeated_words():
     """Hits of one word that fills text and item: every diagonal is found, and the work follows the lengths."""
     rng = np.random.default_rng(12)
