@@ -34,4 +34,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.SQL, "op7_line_dedup": linededup.SQL}
+    return {"op4_quality_rules": quality.SQL, "op7_line_dedup": linededup.SQL, "op11_hard_negatives": negatives.SQL}
