@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import html.entities
 import json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -155,7 +156,14 @@ def shortest(x: Column, whole_point: bool) -> Column:
     mantissa = F.when(rest == "", first).otherwise(F.concat(first, F.lit("."), rest))
     lifted = F.concat(mantissa, F.when(power < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(power)))
     whole = (F.abs(x) >= 2.0**53) | (x == F.floor(x))  # floor gives a long
-    plain = F.when(F.abs(x) < 1e38, F.when(x == 0, F.lit(0)).otherwise(x).cast("decimal(38,0)").cast("string")).otherwise(F.format_string("%.0f", x))
+    # all digits of a whole number, from three parts that are exact
+    size = F.abs(x)
+    high = F.floor(size / 2.0**64)
+    middle = F.floor((size - high.cast("double") * 2.0**64) / 2.0**32)
+    low = F.floor(size - high.cast("double") * 2.0**64 - middle.cast("double") * 2.0**32)
+    part = lambda n, unit: n.cast("decimal(19,0)") * F.lit(Decimal(unit))
+    exact = (part(high, 2**64) + part(middle, 2**32) + low.cast("decimal(19,0)")).cast("decimal(38,0)").cast("string")
+    plain = F.when(size < 1e38, F.concat(F.when(x < 0, "-").otherwise(""), exact)).otherwise(F.format_string("%.0f", x))
     small = F.concat(sign, F.when(power < -4, lifted).otherwise(fixed))
     if whole_point:
         number = F.when(whole & (F.abs(x) < 1e16), F.concat(F.when(x == 0, sign).otherwise(""), plain, F.lit(".0"))).when(power >= 16, F.concat(sign, lifted)).otherwise(small)
