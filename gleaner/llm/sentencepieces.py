@@ -27,10 +27,10 @@ from .common import as_texts, byte_slices, in_small_batches
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Words whose encodings a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 SEGMENT = re.compile(MARK + "*[^" + MARK + "]+|" + MARK + "+")
 #: Pairs of pieces that a task remembers.
-PAIRS = 500_000
+PAIRS = 350_000
 #: Characters that one suffix array indexes.
 INDEXED_CHARS = 1 << 17
 
