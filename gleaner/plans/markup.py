@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..sources import html as H
 from .catalogue import n, query
 
-#: SQL of a text between two patterns, without entities and outer blanks.
-INNER = "trim(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'))"
+#: SQL of a text between two patterns, without entities and outer blanks. As HTML has it, these names need no semicolon.
+INNER = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '\"', 'g'), '&amp;?', '&', 'g'))"
 BARE = "regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>', '<script>', 'g'), '(?s)<style>.*?</style>', '<style>', 'g'), '(?s)<!--.*?-->', '', 'g')"
 
 
