@@ -11,7 +11,7 @@ from .catalogue import query
 from .specified import COLLEGES
 
 #: Seconds of a sweep, and partitions of the state.
-WIDTH, PARTITIONS = 6 * 3600, 8
+WIDTH, PARTITIONS = 6 * 3600, 24
 SEEN = """SELECT user_id AS id, ts AS seen_at, CASE WHEN event_id % 5 = 0 THEN '' ELSE concat('s', CAST(event_id % 7 AS STRING), substr('longer', 1, CAST(event_id % 6 AS INT))) END AS slug,
  concat('/', event_type) AS url, event_id % 3 = 0 AS home, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_type END AS tab, concat('2024-', CAST(10 + event_id % 90 AS STRING)) AS lastmod FROM {events} WHERE user_id % 10 <> 9 OR value < 40"""
 

@@ -2,8 +2,8 @@
 
 A sighting says that a sweep has met an id at a time, perhaps with a slug, an address, a tab or a date. Sets grow, the newest
 date and the shortest home slug stay. Sweeps follow one another at a fixed width; an id that a whole sweep has not met is
-``gone`` at that sweep's end, and ``returned`` when a later one meets it. The stream holds this as state: facts and two maps
-for each id, and a timer at the end of the sweep in which the id has to be met again. The batch form gives the same rows.
+``gone`` at that sweep's end, and ``returned`` when a later one meets it. The stream holds this as state: facts with the first
+names of each set, two maps for the names beyond, and a timer at the end of the sweep in which the id has to be met again. The batch form gives the same rows.
 """
 
 from __future__ import annotations
@@ -17,9 +17,13 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 #: A sighting; ``home``: the slug is that of the id's own page.
 SIGHTING = "id long, seen_at timestamp, slug string, url string, home boolean, tab string, lastmod string"
-FACTS = "seq long, slug string, url string, lastmod string, n_tabs long, n_aliases long, first_sweep long, last_sweep long, gone boolean"
+FACTS = "seq long, slug string, url string, lastmod string, n_tabs long, n_aliases long, first_sweep long, last_sweep long, gone boolean, tabs array<string>, aliases array<string>"
+#: Names of a set that are read and written with the facts, in one call; each one beyond is a call of its own.
+HELD = 500
 #: ``event``: new, seen (a batch has touched the id), gone or returned; ``at``: the beginning of the sweep that met the id, or
 #: the end of the one that did not. ``seq`` counts an id's rows.
+#: A call tells all that it found in one row, as lists (``events``, ``ats``), because a row from Python costs far more than one in the JVM.
+TOLD = "id long, seq long, events array<string>, ats array<long>, slug string, url string, lastmod string, tabs array<string>, alias_count long, first_seen long, last_seen long, active boolean"
 STATE = "id long, seq long, event string, at long, slug string, url string, lastmod string, tabs array<string>, alias_count long, first_seen long, last_seen long, active boolean"
 TIMES = ("at", "first_seen", "last_seen")
 
@@ -40,11 +44,23 @@ class Known(StatefulProcessor):
         """When an id that this sweep has met is gone, if no later one meets it: the next one's end, in milliseconds."""
         return (sweep + 2) * self.width * 1000
 
+    def joined(self, names: set[str], held: list[str], state) -> int:
+        """How many names are new to a set; they are in it then."""
+        new = 0
+        for name in sorted(names.difference(held)):
+            if len(held) < HELD:
+                held.append(name)
+            elif state.containsKey((name,)):
+                continue
+            else:
+                state.updateValue((name,), (True,))
+            new += 1
+        return new
+
     def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
-        seed = initialState
-        for tab in seed.tabs or ():
-            self.tabs.updateValue((tab,), (True,))
-        self.facts.update((0, seed.slug or "", seed.url or "", "", len(set(seed.tabs or ())), seed.alias_count or 0, seed.sweep, seed.sweep, False))
+        seed, tabs = initialState, []
+        n = self.joined(set(seed.tabs or ()), tabs, self.tabs)
+        self.facts.update((0, seed.slug or "", seed.url or "", "", n, seed.alias_count or 0, seed.sweep, seed.sweep, False, tabs, []))
         self.handle.registerTimer(self.due(seed.sweep))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
@@ -59,13 +75,10 @@ class Known(StatefulProcessor):
             if r.tab:
                 tabs.add(r.tab)
             lastmod = max(lastmod, r.lastmod or "")
-        seen = self.facts.get() if self.facts.exists() else None
-        f = list(seen) if seen is not None else [0, "", "", "", 0, 0, min(sweeps), None, False]
-        for names, state, count in ((tabs, self.tabs, 4), (aliases, self.aliases, 5)):
-            for name in names:
-                if not state.containsKey((name,)):
-                    state.updateValue((name,), (True,))
-                    f[count] += 1
+        seen = self.facts.get()
+        f = [*seen[:9], list(seen[9]), list(seen[10])] if seen is not None else [0, "", "", "", 0, 0, min(sweeps), None, False, [], []]
+        f[4] += self.joined(tabs, f[9], self.tabs)
+        f[5] += self.joined(aliases, f[10], self.aliases)
         for _, slug, url in homes:
             if not f[1] or (len(slug), slug, url) < (len(f[1]), f[1], f[2]):
                 f[1], f[2] = slug, url
@@ -88,19 +101,20 @@ class Known(StatefulProcessor):
         yield from self.told(key, f, events)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if not self.facts.exists():
+        seen = self.facts.get()
+        if seen is None:
             return
-        f = list(self.facts.get())
+        f = [*seen[:9], list(seen[9]), list(seen[10])]
         if f[8] or expiredTimerInfo.getExpiryTimeInMs() != self.due(f[7]):
             return
         f[8] = True
         yield from self.told(key, f, [("gone", f[7] + 2)])
 
     def told(self, key: tuple, f: list, events: list[tuple[str, int]]) -> Iterator[Row]:
-        tabs = sorted(k[0] for k in self.tabs.keys())
-        for event, sweep in events:
-            f[0] += 1
-            yield Row(id=key[0], seq=f[0], event=event, at=sweep, slug=f[1], url=f[2], lastmod=f[3], tabs=tabs, alias_count=f[5], first_seen=f[6], last_seen=f[7], active=not f[8])
+        tabs = sorted([*f[9], *(k[0] for k in self.tabs.keys())] if f[4] > len(f[9]) else f[9])
+        names, ats = map(list, zip(*events))
+        yield Row(id=key[0], seq=f[0], events=names, ats=ats, slug=f[1], url=f[2], lastmod=f[3], tabs=tabs, alias_count=f[5], first_seen=f[6], last_seen=f[7], active=not f[8])
+        f[0] += len(events)
         self.facts.update(tuple(f))
 
     def close(self) -> None:
@@ -113,7 +127,9 @@ def grown(sightings: DataFrame, width: int, late: str = "0 seconds", seed: DataF
     what storage knew when the stream first began. Needs the RocksDB state store: see :func:`started`."""
     keyed = sightings.where("id is not null and seen_at is not null").withColumn("sweep", sweep_of(width)).withWatermark("seen_at", late).groupBy("id")
     initial = None if seed is None else seed.groupBy("id")
-    out = keyed.transformWithState(Known(width), STATE, "Append", "EventTime", initial)
+    out = keyed.transformWithState(Known(width), TOLD, "Append", "EventTime", initial)
+    out = out.select("*", F.posexplode("events").alias("_n", "event")).withColumns({"at": F.get("ats", F.col("_n")), "seq": F.col("seq") + F.col("_n") + 1})
+    out = out.select(*(c.split()[0] for c in STATE.split(", ")))
     return out.withColumns({c: beginning(F.col(c), width) for c in TIMES})
 
 

@@ -63,3 +63,55 @@ def test_what_storage_knew_is_not_new(spark, tmp_path):
     one = S.latest(states).where("id = 1").first()
     assert (one.slug, one.url, one.tabs, one.alias_count, one.active) == ("one", "/one", ["courses", "fees"], 5, True)
     assert [r.event for r in states.where("id = 2").collect()] == ["gone"]
+
+
+def test_a_set_is_one_call_and_goes_on_in_a_map():
+    """What is held with the facts needs no call for each name; beyond that no name is lost or counted twice."""
+    from types import SimpleNamespace
+
+    class State:
+        def __init__(self):
+            self.calls, self.names = 0, {}
+
+        def containsKey(self, name):
+            self.calls += 1
+            return name in self.names
+
+        def updateValue(self, name, value):
+            self.calls += 1
+            self.names[name] = value
+
+        def keys(self):
+            return iter(self.names)
+
+    class Facts:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    known = S.Known(DAY)
+    known.handle = SimpleNamespace(registerTimer=lambda at: None, deleteTimer=lambda at: None)
+    known.facts, known.tabs, known.aliases = Facts(), State(), State()
+    seen = lambda names: [SimpleNamespace(sweep=1, slug=f"s{i}", url="", home=False, tab=f"t{i}", lastmod="") for i in names]
+    out = list(known.handleInputRows((1,), seen(range(S.HELD)), None))
+    assert (out[-1].alias_count, len(out[-1].tabs), known.tabs.calls + known.aliases.calls) == (S.HELD, S.HELD, 0)
+    assert (len(out), out[-1].events, out[-1].ats) == (1, ["new", "seen"], [1, 1])
+    for _ in range(2):
+        out = list(known.handleInputRows((1,), seen(range(S.HELD + 20)), None))
+        assert out[-1].alias_count == S.HELD + 20 and out[-1].tabs == sorted(f"t{i}" for i in range(S.HELD + 20))
+    assert len(known.aliases.names) == 20
+
+
+def test_names_beyond_those_held_in_a_stream(spark, tmp_path):
+    many = S.HELD + 30
+    data = [(1, FIRST + datetime.timedelta(days=d), f"s{i}", "/", True, f"t{i}", "") for d in range(2) for i in range(many)]
+    for d in range(2):
+        spark.createDataFrame(data[d * many :][:many], S.SIGHTING).coalesce(1).write.mode("append").parquet(str(tmp_path / "staged"))
+    stream = spark.readStream.schema(S.SIGHTING).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "staged"))
+    S.started(S.grown(stream, DAY), str(tmp_path / "out"), str(tmp_path / "checkpoint"), 2).awaitTermination()
+    last = S.latest(spark.read.parquet(str(tmp_path / "out"))).first()
+    assert last.alias_count == many and list(last.tabs) == sorted(f"t{i}" for i in range(many))
