@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -70,7 +71,9 @@ def located(df: DataFrame, markers: Sequence[str], v: str = "v", depth: int = 3)
 
 def nesting(text: Column) -> Column:
     """How many brackets of a JSON text are open at once, at most; those in quoted texts don't count."""
-    marks = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    marks = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^\[\]{}]++", "")
+    for inner in ("", "{}", "{{}}"):  # siblings that are equally deep are as deep as one of them; that leaves little to count
+        marks = F.regexp_replace(marks, rf"(?:[\[{{]{re.escape(inner)}[\]}}]){{2,}}+|\[{re.escape(inner)}\]", f"{{{inner}}}")
     step = lambda a, x: F.struct((a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(a["most"], a["now"] + F.when(x.isin("[", "{"), 1).otherwise(-1)).alias("most"))
     return F.aggregate(F.filter(F.split(marks, ""), lambda x: x != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), step)["most"]
 
@@ -81,13 +84,19 @@ def flattened(df: DataFrame, key: str, v: str = "v", depth: int | None = None) -
     if depth is None:
         depth = df.agg(F.coalesce(F.max(nesting(F.to_json(v))), F.lit(0))).first()[0]
     spark, rest = df.sparkSession, [c for c in df.columns if c != v]
-    level, found = df.withColumnRenamed(v, "v"), []
-    names = ", ".join(rest)
-    for _ in range(depth + 1):
-        holds = F.coalesce(F.array_contains(F.json_object_keys(F.when(kind_of(F.col("v")) == "object", F.to_json("v"))), key), F.lit(False))
-        found.append(level.where(holds).select(*rest, F.col("v").alias("node")))
-        level = spark.sql(f"SELECT {names}, value AS v FROM {{level}}, LATERAL variant_explode(v)", level=level.where(~holds))
-    return reduce(DataFrame.union, found)
+    level = df.select(*rest, F.col(v).alias("v"), holding(F.col(v), key).alias("_held"))
+    names = ", ".join(f"`{c}`" for c in rest)
+    for _ in range(depth):  # what holds the key stays as it is; one pass goes through all levels
+        level = spark.sql(f"SELECT {names}, IF(_held, v, NULL) AS _kept, value AS _value, _held FROM {{level}}, LATERAL variant_explode_outer(IF(_held, NULL, v))", level=level)
+        level = level.where("_held OR _value IS NOT NULL").select(*rest, F.coalesce("_kept", "_value").alias("v"), (F.col("_held") | holding(F.col("_value"), key)).alias("_held"))
+    return level.where("_held").select(*rest, F.col("v").alias("node"))
+
+
+def holding(v: Column, key: str) -> Column:
+    """Whether a variant is an object with a key, whatever its value."""
+    if re.fullmatch(r"[^\"?]+", key):
+        return field(v, f'$["{key}"]', "variant").isNotNull()
+    return F.coalesce(F.array_contains(F.json_object_keys(F.when(kind_of(v) == "object", F.to_json(v))), key), F.lit(False))
 
 
 def names_joined(v: Column) -> Column:
