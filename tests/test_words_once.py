@@ -5,7 +5,7 @@ from gleaner.plans import catalogue, linking  # noqa: F401  registers its querie
 
 
 def test_matches_by_name_read_their_tables_once(spark):
-    for name in ("N7_blocked_best_match", "N13_overlap"):
+    for name in ("N7_blocked_best_match", "N8_merged_evidence", "N13_overlap"):
         plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         most = 1 if name.startswith("N7") else 0  # there the left ids are looked up by name at the end
         assert plan.count("FileScan parquet [s_suppkey") <= most, name
