@@ -9,6 +9,8 @@ number NULL.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -259,16 +261,17 @@ def whole(c: Column) -> Column:
     return number(c).try_cast("long")
 
 
-def items(v: Column, path: str, keys: list[str]) -> Column:
-    """The texts of a list's items; an item is a text or an object with one of the keys."""
-    own = lambda x: F.when(kind_of(x) != "object", field(x, "$", "string"))
-    text = lambda x: F.coalesce(*(F.nullif(field(x, f"$.{k}", "string"), F.lit("")) for k in keys), own(x))
-    return F.filter(F.transform(field(v, path, "array<variant>"), text), lambda x: x.isNotNull() & (x != ""))
+def items(found: Column, keys: list[str]) -> Column:
+    """The texts of a list's items; an item is a text or an object with one of the keys. Each item is opened once."""
+    kind = struct_of(dict.fromkeys(keys or ["_"], "string"))
+    opened = F.transform(found, lambda x: F.struct(field(x, "$", kind).alias("o"), x.alias("x")))
+    text = lambda e: F.coalesce(*(F.nullif(e["o"][k], F.lit("")) for k in keys), F.when(e["o"].isNull(), field(e["x"], "$", "string")))
+    return F.filter(F.transform(opened, text), lambda x: x.isNotNull() & (x != ""))
 
 
 def as_list(texts: Column) -> Column:
     kept = F.slice(F.transform(texts, lambda x: F.left(x, F.lit(ITEM_CHARS))), 1, LIST_ITEMS)
-    return F.when(F.size(texts) > 0, F.to_json(kept)).otherwise("")
+    return F.coalesce(F.nullif(F.to_json(kept), F.lit("[]")), F.lit(""))
 
 
 def as_json(node: Column) -> Column:
@@ -276,14 +279,51 @@ def as_json(node: Column) -> Column:
     return F.when(text.isNull() | text.isin("{}", "[]", "null"), "").otherwise(F.left(text, F.lit(JSON_CHARS)))
 
 
-def column_of(v: Column, kind: str, paths: list[str]) -> Column:
+# What reads the value at a path as a type; NULL where the path is missing or holds another type.
+Reader = Callable[[str, str], Column]
+
+# Types in which kinds are read; others are read as texts.
+READ_AS = {"list": "array<variant>", "titled": "array<variant>", "keys": "map<string,variant>", "steps": "map<string,variant>", "json": "variant"}
+
+
+def fields_of(fields: str) -> list[tuple[str, str, list[str]]]:
+    """(column, kind, paths) of each line of a field table."""
+    return [(name, kind, paths) for name, kind, *paths in map(str.split, fields.strip().splitlines())]
+
+
+def struct_of(types: dict[str, str]) -> str:
+    return f"struct<{','.join(f'`{k}`:{kind}' for k, kind in types.items())}>"
+
+
+def members(fields: str, texts: Sequence[str] = ()) -> dict[str, str]:
+    """The members of an object that a field table and ``texts`` name, and the type in which each is read."""
+    types: dict[str, str] = dict.fromkeys(texts, "string")
+    for _, kind, paths in fields_of(fields):
+        for path in paths:
+            head = re.split(r"[.\[]", path)[0]
+            wanted = READ_AS.get(kind.partition(":")[0], "string") if head == path else "variant"
+            types[head] = wanted if types.get(head, wanted) == wanted else "variant"
+    return types
+
+
+def reader(node: Column, types: dict[str, str]) -> Reader:
+    """Reads from an object that was opened as a struct of ``types``, so that no path is looked for again."""
+
+    def read(path: str, kind: str) -> Column:
+        head = re.split(r"[.\[]", path)[0]
+        return node[head] if types[head] == kind and head == path else field(node[head], "$" + path[len(head) :], kind)
+
+    return read
+
+
+def column_of(read: Reader, kind: str, paths: list[str]) -> Column:
     kind, _, option = kind.partition(":")
-    paths = [f"$.{p}" for p in paths]
-    texts = [F.nullif(F.trim(field(v, p, "string")), F.lit("")) for p in paths]
+    texts = [F.nullif(F.trim(read(p, "string")), F.lit("")) for p in paths]
     clip = lambda c: F.left(c, F.lit(int(option))) if option else c
     match kind:
         case "text":
-            return clip(F.coalesce(*(F.nullif(plain_text(t), F.lit("")) for t in texts), F.lit("")))
+            *others, last = map(plain_text, texts)
+            return clip(F.coalesce(*(F.nullif(t, F.lit("")) for t in others), last, F.lit("")))
         case "raw":
             return clip(F.coalesce(*texts, F.lit("")))
         case "int":
@@ -295,26 +335,26 @@ def column_of(v: Column, kind: str, paths: list[str]) -> Column:
             known = F.when(texts[0].isin("false", "0", "[]", "{}"), 0).when(texts[0].isNotNull(), 1)
             return known if kind == "flag?" else F.coalesce(known, F.lit(0))
         case "list":
-            found = [F.coalesce(items(v, p, option.split(",") if option else []), F.array().cast("array<string>")) for p in paths]
+            found = [F.coalesce(items(read(p, "array<variant>"), option.split(",") if option else []), F.array().cast("array<string>")) for p in paths]
             return as_list(F.array_distinct(F.concat(*found)) if len(found) > 1 else found[0])
         case "titled":
             part = lambda x, *keys: F.coalesce(*(F.nullif(plain_text(field(x, f"$.{k}", "string")), F.lit("")) for k in keys), F.lit(""))
             line = lambda x: F.trim(F.concat(F.left(part(x, "title", "key", "name"), F.lit(80)), F.lit(": "), F.left(part(x, "value", "description"), F.lit(160))), F.lit(": "))
-            found = F.filter(F.transform(field(v, paths[0], "array<variant>"), line), lambda x: x != "")
+            found = F.filter(F.transform(read(paths[0], "array<variant>"), line), lambda x: x != "")
             return as_list(F.coalesce(found, F.array().cast("array<string>")))
         case "keys":
-            return as_list(F.array_sort(F.map_keys(field(v, paths[0], "map<string,variant>"))))
+            return as_list(F.array_sort(F.map_keys(read(paths[0], "map<string,variant>"))))
         case "steps":
-            return F.coalesce(as_json(ordered_steps(field(v, paths[0], "map<string,variant>"))), F.lit(""))
+            return F.coalesce(as_json(ordered_steps(read(paths[0], "map<string,variant>"))), F.lit(""))
         case "json":
-            return as_json(field(v, paths[0], "variant"))
+            return as_json(read(paths[0], "variant"))
     raise ValueError(kind)
 
 
-def project(v: Column, fields: str) -> list[Column]:
-    """The columns that a field table names, read from the variant ``v``."""
-    rows = [line.split() for line in fields.strip().splitlines()]
-    return [column_of(v, kind, paths).alias(name) for name, kind, *paths in rows]
+def project(v: Column, fields: str, read: Reader | None = None) -> list[Column]:
+    """The columns that a field table names, read from the variant ``v`` or, where they are many rows, from an opened object."""
+    read = read or (lambda path, kind: field(v, f"$.{path}", kind))
+    return [column_of(read, kind, paths).alias(name) for name, kind, paths in fields_of(fields)]
 
 
 def span_text(low: Column, high: Column, unit: Column) -> Column:
@@ -417,17 +457,22 @@ out_of              raw       exam_out_of_score
 """
 
 
-def listed(v: Column, path: str) -> Column:
-    """The items at a path: of a list, or a single object as a list of one."""
+def listed(v: Column, path: str, types: dict[str, str] | None = None) -> Column:
+    """The items at a path: of a list, or a single object as a list of one. With ``types`` they are opened as structs; what is
+    no object is NULL."""
     one = field(v, path, "variant")
+    if types:
+        kind = struct_of(types)
+        return F.coalesce(field(v, path, f"array<{kind}>"), F.when(kind_of(one) == "object", F.array(field(v, path, kind))), F.array().cast(f"array<{kind}>"))
     none = F.array().cast("array<variant>")
     return F.coalesce(field(v, path, "array<variant>"), F.when(kind_of(one) == "object", F.array(one)), none)
 
 
 def child_rows(df: DataFrame, keys: list[str], path: str, fields: str, v: str = "v") -> DataFrame:
     """A row (keys, fields) for each object of a list."""
-    rows = df.select(*keys, F.explode(listed(F.col(v), path)).alias("_item")).where(kind_of(F.col("_item")) == "object")
-    return rows.select(*keys, *project(F.col("_item"), fields))
+    types, item = members(fields), F.col("_item")
+    rows = df.select(*keys, F.explode(listed(F.col(v), path, types)).alias("_item")).where(item.isNotNull())
+    return rows.select(*keys, *project(item, fields, reader(item, types)))
 
 
 def keyed_rows(df: DataFrame, keys: list[str], path: str, name: str, fields: str, v: str = "v") -> DataFrame:
@@ -450,6 +495,7 @@ def ranking_rows(df: DataFrame, keys: list[str], streams: str, v: str = "v") ->
 
 def base_course_rows(df: DataFrame, key: str, v: str = "v") -> DataFrame:
     """A row for each base course of a college page; a repeated one counts once, one without an id not at all."""
-    rows = df.select(key, F.posexplode(listed(F.col(v), "$.baseCourseTuples")).alias("_pos", "_item")).select(key, "_pos", *project(F.col("_item"), BASE_COURSE))
+    types, item = members(BASE_COURSE), F.col("_item")
+    rows = df.select(key, F.posexplode(listed(F.col(v), "$.baseCourseTuples", types)).alias("_pos", "_item")).select(key, "_pos", *project(item, BASE_COURSE, reader(item, types)))
     first = Window.partitionBy(key, "base_course_id").orderBy("_pos")
     return rows.where("base_course_id is not null").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_pos")
