@@ -374,12 +374,15 @@ def college_rows(df: DataFrame, v: str = "v") -> DataFrame:
 
 def listing_rows(df: DataFrame, page: str, v: str = "v") -> DataFrame:
     """A row for each course of a listing page that belongs to the page's own college; the first of repeated ones."""
-    tuples = df.select(page, whole(field(F.col(v), "$.listingId", "string")).alias("college_id"), F.posexplode(field(F.col(v), "$.courseTuples", "array<variant>")).alias("_pos", "_t"))
+    types = members(LISTING, ("instituteId", "duration", "maxDuration", "durationUnit", "maxDurationUnit"))
+    cards = field(F.col(v), "$.courseTuples", f"array<{struct_of(types)}>")
+    pages = df.select(page, v, whole(field(F.col(v), "$.listingId", "string")).alias("college_id"))  # once for a page, not for each card
+    tuples = pages.select(page, "college_id", F.posexplode(cards).alias("_pos", "_t"))
     t = F.col("_t")
-    int_at = lambda k: whole(field(t, f"$.{k}", "string"))
-    unit = F.coalesce(*(F.nullif(field(t, f"$.{k}", "string"), F.lit("")) for k in ("durationUnit", "maxDurationUnit")), F.lit(""))
-    own = tuples.where(F.coalesce(int_at("instituteId"), "college_id") == F.col("college_id"))
-    rows = own.select(page, "_pos", "college_id", *project(t, LISTING), span_text(int_at("duration"), int_at("maxDuration"), unit).alias("duration")).where("course_id IS NOT NULL")
+    unit = F.coalesce(*(F.nullif(t[k], F.lit("")) for k in ("durationUnit", "maxDurationUnit")), F.lit(""))
+    belongs = F.coalesce(whole(t["instituteId"]), "college_id") == F.col("college_id")
+    own = tuples.where(F.coalesce(belongs, F.lit(False)))  # no condition on the page follows from it, which would be read twice
+    rows = own.select(page, "_pos", "college_id", *project(t, LISTING, reader(t, types)), span_text(whole(t["duration"]), whole(t["maxDuration"]), unit).alias("duration")).where("course_id IS NOT NULL")
     first = Window.partitionBy(page, "college_id", "course_id").orderBy("_pos")
     rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n", "_pos")
     return rows.withColumn("course_slug", F.element_at(F.split("url", "/"), -1))
